@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trailmark.operators.ordering import Lanes, dense_index
+from trailmark.storage import materialise
 
 USER, ITEM = "user_id", "item_id"
 COLUMNS = (USER, ITEM, "score", "rank")
@@ -69,6 +70,7 @@ def unseen_from(places: DataFrame, users: DataFrame, taken: DataFrame, k: int) -
 
 def complete(recommendations: DataFrame, places: DataFrame, users: DataFrame, seen: DataFrame, k: int) -> DataFrame:
     """Fill lists shorter than ``k`` with unseen items from a global order, scored 0."""
+    recommendations = materialise(recommendations, "lists")
     have = recommendations.groupBy(USER).agg(F.count("*").alias("_have"))
     short = users.select(USER).join(have, USER, "left").withColumn("_have", F.coalesce("_have", F.lit(0))).filter(F.col("_have") < k)
     taken = seen.select(USER, ITEM).unionByName(recommendations.select(USER, ITEM)).join(short.select(USER), USER, "left_semi")

@@ -88,6 +88,8 @@ def invert_blocks(matrix: DataFrame, count: int, block: int) -> DataFrame:
             return to_bytes(-product)
         return to_bytes(from_bytes(row["data"], block) - product)
 
+    if count == 1:
+        return map_blocks(current, inverse)
     for k in range(count):
         pivot = map_blocks(current.filter((F.col("bi") == k) & (F.col("bj") == k)), inverse)
         pivot = materialise(pivot, "pivot")

@@ -49,16 +49,20 @@ def fit_latent(weights: DataFrame, rank: int = 64, iterations: int = 10, regular
         userCol="user_index", itemCol="item_index", ratingCol="weight",
     )
     model = solver.fit(rows)
-    user_factors = model.userFactors.join(users, F.col("id") == users["idx"]).select(users["id"].alias(USER), F.col("features").alias("factors"))
-    item_factors = model.itemFactors.withColumnRenamed("id", "_no").join(items, F.col("_no") == items["idx"]).select(
-        items["id"].alias(ITEM), F.col("idx"), F.col("features").alias("factors")
-    )
+    user_factors = _named(model.userFactors, users, USER).drop("idx")
+    item_factors = _named(model.itemFactors, items, ITEM)
     return LatentModel(
         materialise(user_factors, "user-factors"), materialise(item_factors, "item-factors"),
         materialise(pairs_of(weights), "history"), rank, items.count(),
     )
 
 
+def _named(factors: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """Factor vectors with the id and number they belong to."""
+    numbered = factors.select(F.col("id").cast("long").alias("idx"), F.col("features").alias("factors"))
+    return numbered.join(ids.withColumnRenamed("id", name), "idx")
+
+
 def recommend_latent(
     model: LatentModel, users: DataFrame, k: int = 10, block: int = BLOCK, users_per_shard: int = USERS_PER_SHARD
 ) -> DataFrame:

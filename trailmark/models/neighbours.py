@@ -23,6 +23,7 @@ from trailmark.models.common import (
 from trailmark.operators.cleaning import top_keys
 from trailmark.operators.cooccurrence import cosine_neighbours
 from trailmark.operators.encoding import id_table
+from trailmark.storage import materialise
 
 
 def _by_id(train: DataFrame) -> DataFrame:
@@ -72,7 +73,7 @@ def item_knn_weighted(
         .groupBy(USER, F.col("neighbour").alias(ITEM))
         .agg(F.round(F.sum(F.col("weight") * F.col("similarity")), 9).alias("score"))
     )
-    scored = top_k(scores.filter(F.col("score") > 0).join(own, [USER, ITEM], "left_anti"), k)
+    scored = materialise(top_k(scores.filter(F.col("score") > 0).join(own, [USER, ITEM], "left_anti"), k), "lists")
     found = scored.select(USER).distinct()
     filled = complete(scored, _by_id(weights), found, own, k)
     rest = users.select(USER).join(found, USER, "left_anti")

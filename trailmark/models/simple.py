@@ -19,6 +19,7 @@ from trailmark.models.common import (
     unseen_from,
 )
 from trailmark.operators.encoding import id_table
+from trailmark.storage import materialise
 
 
 def popularity(train: DataFrame, users: DataFrame, k: int = 10, exclude_seen: bool = False) -> DataFrame:
@@ -40,7 +41,7 @@ def most_popular(weights: DataFrame, users: DataFrame, k: int = 10, exclude_seen
     if not exclude_seen:
         return same_list(users, ranked_top(totals, k))
     places = place_items(totals)
-    fresh = unseen_from(places, users, weights, k)
+    fresh = materialise(unseen_from(places, users, weights, k), "lists")
     have = fresh.groupBy(USER).agg(F.count("*").alias("_have"))
     short = users.select(USER).join(have, USER, "left").withColumn("_have", F.coalesce("_have", F.lit(0))).filter(F.col("_have") < k)
     padding = same_list(short, ranked_top(totals, k)).join(short, USER).filter(F.col("_have") + F.col("rank") <= k)

@@ -10,6 +10,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -112,6 +113,25 @@ def _key(row: Sequence[Any]) -> tuple:
     return tuple((v is not None, v if v is not None else 0) for v in row)
 
 
+@dataclass(frozen=True)
+class _Range:
+    """Candidates from ``low`` to ``high``, both included: ``size`` rows after ``below`` smaller ones."""
+
+    low: tuple | None
+    high: tuple | None
+    below: int
+    size: int
+
+    def rows(self, keys: DataFrame, order: Sequence[str]) -> DataFrame:
+        """The first order column is compared on its own as well, so that the scan can skip data."""
+        lead, row = F.col(order[0]), _row(order)
+        if self.low is not None:
+            keys = keys.filter((lead >= F.lit(self.low[0])) & (row >= _literal(keys.schema, order, self.low)))
+        if self.high is not None:
+            keys = keys.filter((lead <= F.lit(self.high[0])) & (row <= _literal(keys.schema, order, self.high)))
+        return keys
+
+
 def keys_at_ranks(
     frame: DataFrame, order: Sequence[str], ranks: Sequence[int], total: int | None = None
 ) -> dict[int, RankKey]:
@@ -119,64 +139,81 @@ def keys_at_ranks(
 
     The candidate range is narrowed around each rank with sampled pivots and
     exact counts until at most ``DRIVER_ROWS`` order keys are left to sort, so
-    neither a global sort nor a large collect happens.
+    neither a global sort nor a large collect happens. All ranks share the
+    passes over the full table.
     """
     keys = frame.select(*order)
     if total is None:
         total = keys.count()
+    wanted = sorted(set(ranks))
+    if wanted and not (0 <= wanted[0] and wanted[-1] < total):
+        raise ValueError(f"ranks {wanted} outside 0..{total - 1}")
     found: dict[int, RankKey] = {}
-    for rank in sorted(set(ranks)):
-        if not 0 <= rank < total:
-            raise ValueError(f"rank {rank} outside 0..{total - 1}")
-        found[rank] = _find_rank(keys, order, rank, total)
+    open_ranges = {_Range(None, None, 0, total): wanted} if wanted else {}
+    attempt = 0
+    while open_ranges:
+        attempt += 1
+        narrowed: dict[_Range, list[int]] = {}
+        for span, inside in open_ranges.items():
+            candidates = span.rows(keys, order)
+            if span.size <= DRIVER_ROWS:
+                found.update(_sorted_ranks(candidates, span, inside))
+                continue
+            for rank, outcome in _probe(candidates, order, span, inside, attempt).items():
+                if isinstance(outcome, RankKey):
+                    found[rank] = outcome
+                else:
+                    narrowed.setdefault(outcome, []).append(rank)
+        open_ranges = narrowed
     return found
 
 
-def _find_rank(keys: DataFrame, order: Sequence[str], rank: int, total: int) -> RankKey:
-    schema, row = keys.schema, _row(order)
-    low: tuple | None = None  # candidates are >= low
-    high: tuple | None = None  # and <= high
-    below, size, attempt = 0, total, 0
-    while True:
-        candidates = keys
-        if low is not None:
-            candidates = candidates.filter((F.col(order[0]) >= F.lit(low[0])) & (row >= _literal(schema, order, low)))
-        if high is not None:
-            candidates = candidates.filter((F.col(order[0]) <= F.lit(high[0])) & (row <= _literal(schema, order, high)))
-        if size <= DRIVER_ROWS:
-            rows = sorted((tuple(r) for r in candidates.collect()), key=_key)
-            key = rows[rank - below]
-            smaller = sum(1 for r in rows if _key(r) < _key(key))
-            return RankKey(key, below + smaller, rows.count(key))
-        attempt += 1
-        fraction = min(1.0, PIVOT_SAMPLE / size)
-        sample = sorted(
-            (tuple(r) for r in candidates.sample(fraction=fraction, seed=attempt).collect()), key=_key
-        )
-        if not sample:
-            continue
-        centre = (rank - below) / size * len(sample)
-        margin = 2 + 2 * math.sqrt(len(sample)) * attempt
-        first = sample[max(0, int(centre - margin))]
-        last = sample[min(len(sample) - 1, int(centre + margin))]
-        counted = candidates.agg(
-            F.count_if(row < _literal(schema, order, first)).alias("under"),
-            F.count_if(row <= _literal(schema, order, first)).alias("upto_first"),
-            F.count_if(row <= _literal(schema, order, last)).alias("upto_last"),
-        ).first()
-        under, upto_first, upto_last = (below + counted[i] for i in range(3))
-        if under <= rank < upto_first:
-            return RankKey(first, under, upto_first - under)
-        if rank < under:
-            high, size = first, upto_first - below
-        elif rank >= upto_last:
-            low, size, below = last, size - (_strictly_under(candidates, schema, order, last)), below + _strictly_under(candidates, schema, order, last)
-        else:
-            low, high, below, size = first, last, under, upto_last - under
+def _sorted_ranks(candidates: DataFrame, span: _Range, ranks: Sequence[int]) -> dict[int, RankKey]:
+    """Answer from the few candidates left, sorted by the driver."""
+    rows = sorted((_key(r), tuple(r)) for r in candidates.collect())
+    marks = [mark for mark, _ in rows]
+    result = {}
+    for rank in ranks:
+        mark, key = rows[rank - span.below]
+        first = bisect_left(marks, mark)
+        result[rank] = RankKey(key, span.below + first, bisect_right(marks, mark) - first)
+    return result
 
 
-def _strictly_under(candidates: DataFrame, schema: T.StructType, order: Sequence[str], key: tuple) -> int:
-    return candidates.filter(_row(order) < _literal(schema, order, key)).count()
+def _probe(
+    candidates: DataFrame, order: Sequence[str], span: _Range, ranks: Sequence[int], attempt: int
+) -> dict[int, RankKey | _Range]:
+    """Bracket each rank between two sampled rows and count exactly how many rows they enclose."""
+    fraction = min(1.0, PIVOT_SAMPLE / span.size)
+    sample = sorted((tuple(r) for r in candidates.sample(fraction=fraction, seed=attempt).collect()), key=_key)
+    if not sample:
+        return dict.fromkeys(ranks, span)
+    margin = 2 + 2 * math.sqrt(len(sample)) * min(attempt, 4)
+    pivots = {}
+    for rank in ranks:
+        centre = (rank - span.below) / span.size * len(sample)
+        pivots[rank] = (sample[max(0, int(centre - margin))], sample[min(len(sample) - 1, int(centre + margin))])
+    row, schema = _row(order), candidates.schema
+    counts = []
+    for pair in pivots.values():
+        for pivot in pair:
+            at = _literal(schema, order, pivot)
+            counts += [F.count_if(row < at), F.count_if(row <= at)]
+    counted = [span.below + n for n in candidates.agg(*counts).first()]
+    result: dict[int, RankKey | _Range] = {}
+    for i, (rank, (first, last)) in enumerate(pivots.items()):
+        under_first, upto_first, under_last, upto_last = counted[4 * i : 4 * i + 4]
+        if under_first <= rank < upto_first:
+            result[rank] = RankKey(first, under_first, upto_first - under_first)
+        elif under_last <= rank < upto_last:
+            result[rank] = RankKey(last, under_last, upto_last - under_last)
+        elif rank < under_first:
+            result[rank] = _Range(span.low, first, span.below, upto_first - span.below)
+        elif rank >= upto_last:
+            result[rank] = _Range(last, span.high, under_last, span.below + span.size - under_last)
+        else:
+            result[rank] = _Range(first, last, under_first, upto_last - under_first)
+    return result
 
 
 def split_at(frame: DataFrame, order: Sequence[str], cuts: Sequence[int], name: str, total: int | None = None) -> DataFrame:

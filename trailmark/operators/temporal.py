@@ -124,7 +124,7 @@ def join_audit(table: DataFrame, tree: DataFrame, digits: int = 2) -> DataFrame:
     keys = table.groupBy("event_id").agg(F.count("*").alias("n"))
     unique = keys.agg((F.coalesce(F.max("n"), F.lit(0)) <= 1).cast("int")).scalar()
     filled = {c: F.count(c) for c in ASOF_PROPERTIES.values()}
-    audit = table.join(F.broadcast(known), F.col("categoryid_asof") == F.col("_tree"), "left").agg(
+    audit = table.join(known, F.col("categoryid_asof") == F.col("_tree"), "left").agg(
         F.count("*").alias("event_rows"),
         *(percent(n, F.count("*"), digits).alias(f"{c}_filled_pct") for c, n in filled.items()),
         *(F.count_if(F.col(f"{c}_time") > F.col("timestamp")).alias(f"{c}_future_rows") for c in filled),

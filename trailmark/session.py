@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+import trailmark
+
+# functions sent to Python workers carry their code along, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(trailmark)
+
 RUNTIME_SETTINGS = {
     # epoch-ms columns are read as UTC instants everywhere
     "spark.sql.session.timeZone": "UTC",
