@@ -115,7 +115,7 @@ def _key(row: Sequence[Any]) -> tuple:
 
 @dataclass(frozen=True)
 class _Range:
-    """Candidates from ``low`` to ``high``, both included: ``size`` rows after ``below`` smaller ones."""
+    """Candidates strictly between ``low`` and ``high``: ``size`` rows after ``below`` smaller ones."""
 
     low: tuple | None
     high: tuple | None
@@ -126,9 +126,9 @@ class _Range:
         """The first order column is compared on its own as well, so that the scan can skip data."""
         lead, row = F.col(order[0]), _row(order)
         if self.low is not None:
-            keys = keys.filter((lead >= F.lit(self.low[0])) & (row >= _literal(keys.schema, order, self.low)))
+            keys = keys.filter((lead >= F.lit(self.low[0])) & (row > _literal(keys.schema, order, self.low)))
         if self.high is not None:
-            keys = keys.filter((lead <= F.lit(self.high[0])) & (row <= _literal(keys.schema, order, self.high)))
+            keys = keys.filter((lead <= F.lit(self.high[0])) & (row < _literal(keys.schema, order, self.high)))
         return keys
 
 
@@ -156,7 +156,7 @@ def keys_at_ranks(
         narrowed: dict[_Range, list[int]] = {}
         for span, inside in open_ranges.items():
             candidates = span.rows(keys, order)
-            if span.size <= DRIVER_ROWS:
+            if span.size <= max(DRIVER_ROWS, PIVOT_SAMPLE):
                 found.update(_sorted_ranks(candidates, span, inside))
                 continue
             for rank, outcome in _probe(candidates, order, span, inside, attempt).items():
@@ -183,12 +183,15 @@ def _sorted_ranks(candidates: DataFrame, span: _Range, ranks: Sequence[int]) ->
 def _probe(
     candidates: DataFrame, order: Sequence[str], span: _Range, ranks: Sequence[int], attempt: int
 ) -> dict[int, RankKey | _Range]:
-    """Bracket each rank between two sampled rows and count exactly how many rows they enclose."""
+    """Bracket each rank between two sampled rows and count exactly how many rows they enclose.
+
+    The new range leaves the pivots out, so it shrinks even when few values fill it.
+    """
     fraction = min(1.0, PIVOT_SAMPLE / span.size)
     sample = sorted((tuple(r) for r in candidates.sample(fraction=fraction, seed=attempt).collect()), key=_key)
     if not sample:
         return dict.fromkeys(ranks, span)
-    margin = 2 + 2 * math.sqrt(len(sample)) * min(attempt, 4)
+    margin = 2 + 2 * math.sqrt(len(sample))
     pivots = {}
     for rank in ranks:
         centre = (rank - span.below) / span.size * len(sample)
@@ -208,11 +211,11 @@ def _probe(
         elif under_last <= rank < upto_last:
             result[rank] = RankKey(last, under_last, upto_last - under_last)
         elif rank < under_first:
-            result[rank] = _Range(span.low, first, span.below, upto_first - span.below)
+            result[rank] = _Range(span.low, first, span.below, under_first - span.below)
         elif rank >= upto_last:
-            result[rank] = _Range(last, span.high, under_last, span.below + span.size - under_last)
+            result[rank] = _Range(last, span.high, upto_last, span.below + span.size - upto_last)
         else:
-            result[rank] = _Range(first, last, under_first, upto_last - under_first)
+            result[rank] = _Range(first, last, upto_first, under_last - upto_first)
     return result
 
 
