@@ -223,8 +223,9 @@ def split_at(frame: DataFrame, order: Sequence[str], cuts: Sequence[int], name:
     """Add ``name``: how many of the positions ``cuts`` lie at or before the row.
 
     A cut at ``c`` separates the first ``c`` rows from the rest. Each cut costs
-    one rank search; the result is a plain projection of ``frame``. Rows equal
-    in every order column are told apart by numbering just those copies.
+    one rank search; the result is a plain projection of ``frame``, which is read
+    several times: store it first when it is costly to compute. Rows equal in
+    every order column are told apart by numbering just those copies.
     """
     if total is None:
         total = frame.count()

@@ -71,7 +71,7 @@ def _(spark, folder):
 
 @query("split_three_way_orders", f"WITH {q.OHOLDOUT} SELECT user_id, item_id, timestamp, split FROM split")
 def _(spark, folder):
-    return splits.split_three_way(order_pairs(spark, folder), PAIR_ORDER)
+    return splits.split_three_way(materialise(order_pairs(spark, folder), "pairs"), PAIR_ORDER)
 
 
 @query(
@@ -80,7 +80,7 @@ def _(spark, folder):
     SELECT timestamp, visitorid, itemid, count(*) AS rows, count(*) FILTER (pos < n - greatest(1, floor(n * 0.15e0))) AS train_rows FROM p GROUP BY 1, 2, 3""",
 )
 def _(spark, folder):
-    rows = purchases(spark, folder).select("timestamp", "visitorid", "itemid")
+    rows = materialise(purchases(spark, folder).select("timestamp", "visitorid", "itemid"), "rows")
     split = splits.split_holdout(rows, ["timestamp", "visitorid", "itemid"])
     return split.groupBy("timestamp", "visitorid", "itemid").agg(
         F.count("*").alias("rows"), F.count_if(F.col("split") == "train").alias("train_rows")
