@@ -271,8 +271,11 @@ def _number_copies(frame: DataFrame) -> DataFrame:
 
 
 def percentiles(frame: DataFrame, value: str, fractions: Sequence[float], method: str = "linear") -> dict[float, float]:
-    """Exact percentiles of a column, ``linear`` interpolated or ``nearest`` rank; null when empty."""
-    present = frame.select(value).filter(F.col(value).isNotNull())
+    """Exact percentiles of a column, ``linear`` interpolated or ``nearest`` rank; null when empty.
+
+    The column is stored first, since the rank search reads it several times.
+    """
+    present = materialise(frame.select(value).filter(F.col(value).isNotNull()), "values")
     total = present.count()
     if total == 0:
         return {q: None for q in fractions}

@@ -19,6 +19,8 @@ from trailmark.functions.columns import (
     right_closed_bin,
 )
 from trailmark.operators.ordering import Lanes, percentiles
+from trailmark.operators.profiling import describe
+from trailmark.storage import materialise
 
 VISITOR_ORDER = ("timestamp", "itemid", "event", "event_id")
 
@@ -197,9 +199,7 @@ def outcome_counts(frame: DataFrame, events: Sequence[str] = FUNNEL) -> DataFram
 
 def gap_profile(frame: DataFrame, fractions: Sequence[float] = (0.5, 0.75, 0.9, 0.99)) -> DataFrame:
     """Count, mean, deviation and percentiles of the minutes since the previous event, per event type."""
-    from trailmark.operators.profiling import describe
-
-    seen = with_previous(frame)
+    seen = materialise(with_previous(frame).select("event", "minutes_since_previous"), "gaps")
     parts = [
         describe(seen.filter(F.col("event") == e), "minutes_since_previous", fractions).select(F.lit(e).alias("event"), "*")
         for e in FUNNEL

@@ -146,17 +146,29 @@ def missing_share(table: DataFrame, digits: int = 2) -> DataFrame:
 def feature_readiness(
     events: DataFrame, order: Sequence[str] = (*EVENT_ORDER, "event_id"), digits: int = 2
 ) -> DataFrame:
-    """Share of rows without user, item or any history, and the p95 of prior counts."""
-    rows = with_history(events, order)
-    no_user, no_item = F.col("user_events_before") == 0, F.col("item_events_before") == 0
-    shares = rows.agg(
-        F.count("*").alias("events"),
-        percent(F.count_if(no_user), F.count("*"), digits).alias("no_user_history_pct"),
-        percent(F.count_if(no_item), F.count("*"), digits).alias("no_item_history_pct"),
-        percent(F.count_if(~no_user & ~no_item), F.count("*"), digits).alias("both_histories_pct"),
+    """Share of rows without user, item or any history, and the p95 of prior counts.
+
+    A row lacks history exactly when it is the first of its key, so minima per
+    user and per item answer this without numbering rows.
+    """
+    first = F.min(F.struct(*order)).alias("first")
+    by_user, by_item = (events.groupBy(key).agg(first).select("first") for key in ("visitorid", "itemid"))
+    rows, users, items, both = (F.col(c) for c in ("events", "_users", "_items", "_both"))
+    counted = events.agg(F.count("*").alias("events")).withColumns(
+        {
+            "_users": by_user.agg(F.count("*")).scalar(),
+            "_items": by_item.agg(F.count("*")).scalar(),
+            "_both": by_user.join(by_item, "first").agg(F.count("*")).scalar(),
+        }
     )
     p95 = {f"p95_{c}": prior_count_percentile(events, key, 0.95) for c, key in (("user_events_before", "visitorid"), ("item_events_before", "itemid"))}
-    return shares.withColumns({n: F.lit(v).cast("double") for n, v in p95.items()})
+    return counted.select(
+        "events",
+        percent(users, rows, digits).alias("no_user_history_pct"),
+        percent(items, rows, digits).alias("no_item_history_pct"),
+        percent(rows - users - items + both, rows, digits).alias("both_histories_pct"),
+        *(F.lit(v).cast("double").alias(n) for n, v in p95.items()),
+    )
 
 
 def prior_count_percentile(events: DataFrame, key: str, fraction: float) -> float | None:

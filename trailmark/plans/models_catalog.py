@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trailmark.models import ease, latent, logistic, neighbours, simple
 from trailmark.models.common import ITEM, USER
 from trailmark.operators import cleaning, encoding, profiling, ranking_metrics, sampling, splits
-from trailmark.plans import comparison
+from trailmark.plans import comparison, stages
 from trailmark.plans import sql as q
 from trailmark.plans.registry import query
 from trailmark.sources.driver_tables import clicks, purchases
@@ -637,3 +637,68 @@ def _(spark, folder):
     asked = users.withColumn("limit", F.when(F.col(USER).cast("bigint") % 2 == 0, 3))
     answered = comparison.batch_recommend(asked, lambda u, k: simple.popularity(train, u, k))
     return answered.select(USER, F.array_join("recommendations", ",").alias("recommendations"))
+
+
+# ---------------------------------------------------------------- stages
+
+
+@query(
+    "feature_stage",
+    f"""WITH {q.EV}, seq AS (SELECT *, lag(timestamp) OVER w AS pt, lag(event) OVER w AS pe FROM ev WINDOW w AS
+      (PARTITION BY visitorid ORDER BY timestamp, CAST(itemid AS VARCHAR), event, event_id)),
+    st AS (SELECT *, CASE WHEN pt IS NULL OR timestamp - pt >= 1800000 OR (pe = 'transaction' AND event <> 'transaction') THEN 1 ELSE 0 END AS starts FROM seq),
+    se AS (SELECT *, CAST(sum(starts) OVER (PARTITION BY visitorid ORDER BY timestamp, CAST(itemid AS VARCHAR), event, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session_index,
+      row_number() OVER (ORDER BY timestamp, CAST(visitorid AS VARCHAR), CAST(itemid AS VARCHAR), event, event_id) - 1 AS pos, count(*) OVER () AS n FROM st),
+    b AS (SELECT *, greatest(1, floor(n * 0.7e0)) AS te FROM se), c AS (SELECT *, least(greatest(te + 1, floor(n * (0.7e0 + 0.15e0))), n - 1) AS ve FROM b)
+    SELECT event_id, concat(visitorid, '_', session_index) AS session_id,
+      dense_rank() OVER (ORDER BY CAST(visitorid AS VARCHAR)) - 1 AS user_index, dense_rank() OVER (ORDER BY CAST(itemid AS VARCHAR)) - 1 AS item_index,
+      CASE WHEN pos < te THEN 'train' WHEN pos < ve THEN 'validation' ELSE 'test' END AS split FROM c""",
+)
+def _(spark, folder):
+    features = stages.build_features(stages.preprocess(clicks(spark, folder), max_items=0, min_per_user=0))
+    return features.events.select("event_id", "session_id", "user_index", "item_index", "split")
+
+
+@query(
+    "stage_evaluation",
+    f"""WITH {q.EV}, {RANGE}, train AS (SELECT DISTINCT CAST(visitorid AS VARCHAR) AS user_id, CAST(itemid AS VARCHAR) AS item_id FROM ranged WHERE split = 'train'),
+    te AS (SELECT DISTINCT CAST(visitorid AS VARCHAR) AS user_id, CAST(itemid AS VARCHAR) AS item_id FROM ranged WHERE split = 'test'),
+    ok AS (SELECT user_id, item_id FROM te WHERE user_id IN (SELECT user_id FROM train) AND item_id IN (SELECT item_id FROM train)
+      AND (user_id, item_id) NOT IN (SELECT user_id, item_id FROM train)),
+    truth AS (SELECT * FROM ok WHERE user_id IN (SELECT DISTINCT user_id FROM ok ORDER BY user_id LIMIT 100)), users AS (SELECT DISTINCT user_id FROM truth),
+    totals AS (SELECT item_id, CAST(count(*) AS DOUBLE) AS score FROM train GROUP BY 1), {UNSEEN_TOP.format(seen='train')},
+    recs AS (SELECT * FROM ranked WHERE rank <= 10), {q.metric_ctes((10,))}
+    SELECT """
+    + ", ".join(f"round(avg({m}), 6) AS {m}_at_10" for m in ranking_metrics.METRICS)
+    + ", CAST((SELECT count(*) FROM users) AS DOUBLE) AS evaluated_users FROM per_user",
+)
+def _(spark, folder):
+    split = splits.split_time_range(clicks(spark, folder))
+    named = split.select(F.col("visitorid").cast("string").alias(USER), F.col("itemid").cast("string").alias(ITEM), "split").distinct()
+    stored = materialise(named, "split")
+    row = stages.evaluate(
+        lambda train, users, k: simple.popularity(train, users, k, exclude_seen=True), splits.part(stored, "train"), splits.part(stored, "test"), 10, 100
+    )
+    return row.select(*(F.round(c, 6).alias(c) for c in row.columns))
+
+
+@query(
+    "metric_names",
+    PER_USER_SQL + " " + " UNION ALL ".join(f"SELECT concat('{m}_at_', k) AS name, CAST(k AS INTEGER) AS k FROM grid" for m in ranking_metrics.METRICS),
+)
+def _(spark, folder):
+    from trailmark.functions.columns import metric_column, metric_k
+
+    _, truth, lists = _popular_lists(spark, folder)
+    long = ranking_metrics.long_metrics(ranking_metrics.mean_metrics(lists, truth, KS))
+    return long.filter("metric <> 'num_users'").select(metric_column("metric").alias("name"), metric_k("metric").alias("k"))
+
+
+@query(
+    "consolidated_results",
+    PER_USER_SQL + f" SELECT 'popularity' AS model, 'test' AS split, CAST(k AS INTEGER) AS k, {MEAN_COLUMNS} FROM per_user GROUP BY k",
+)
+def _(spark, folder):
+    _, truth, lists = _popular_lists(spark, folder)
+    stacked = ranking_metrics.stack_results({("popularity", "test"): ranking_metrics.mean_metrics(lists, truth, KS, digits=6)})
+    return stacked.select("model", "split", "k", *ranking_metrics.METRICS)

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folders: dict[str, str] = {}
+_stored: dict[str, list[str]] = {}
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -19,10 +20,10 @@ def scratch_folder(spark: SparkSession) -> str:
     Python exits. A cluster session must name one, because executors have to
     reach it after a node is lost.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", "")
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     app = context.applicationId
@@ -42,4 +43,15 @@ def materialise(frame: DataFrame, label: str) -> DataFrame:
     spark = frame.sparkSession
     path = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    _stored.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Delete the tables this application stored; frames built on them become unreadable."""
+    jvm = spark.sparkContext._jvm
+    paths = _stored.pop(spark.sparkContext.applicationId, [])
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
