@@ -9,33 +9,42 @@ from pyspark.sql.window import Window
 GROUP_ITEMS = 1_000  # items of one user that meet in one join group
 
 
-def cooccurrence(weights: DataFrame, user: str, item: str, weight: str, group_items: int = GROUP_ITEMS) -> DataFrame:
+def cooccurrence(
+    weights: DataFrame, user: str, item: str, weight: str, group_items: int = GROUP_ITEMS, norm: str | None = None
+) -> DataFrame:
     """Off-diagonal of the item Gram matrix, one row (item_i, item_j, dot) per pair with item_i < item_j.
 
     ``weights`` has one row per user and item. Products are summed before the
     shuffle on the pair. Users with more than ``group_items`` items are cut into
     blocks whose block pairs are separate join groups, so no group exceeds
     ``group_items`` rows a side and a heavy user is spread over the cluster.
+    With ``norm``, a column with one value per item, the product of both items'
+    values comes along as ``scale``.
     """
     degrees = weights.groupBy(user).agg(F.count("*").alias("_degree"))
     largest = degrees.agg(F.max("_degree")).first()[0] or 0
-    source = weights.select(F.col(user).alias("_u"), F.col(item).alias("_i"), F.col(weight).cast("double").alias("_w"))
+    scale = F.lit(1.0) if norm is None else F.col(norm)
+    source = weights.select(
+        F.col(user).alias("_u"), F.col(item).alias("_i"), F.col(weight).cast("double").alias("_w"), scale.alias("_s")
+    )
+    other = {"_i": "_j", "_w": "_v", "_s": "_t"}
     if largest <= group_items:
-        left = source
-        right = source.select(F.col("_u"), F.col("_i").alias("_j"), F.col("_w").alias("_v"))
-        pairs = left.join(right, "_u").filter(F.col("_i") < F.col("_j"))
+        pairs = source.join(source.withColumnsRenamed(other), "_u").filter(F.col("_i") < F.col("_j"))
     else:
         sized = source.join(degrees.select(F.col(user).alias("_u"), "_degree"), "_u")
         blocks = F.ceil(F.col("_degree") / group_items)
         placed = sized.withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64("_i"), F.col("_blocks")))
-        left = placed.select("_u", "_i", "_w", F.col("_block").alias("_a"), F.explode(F.sequence("_block", F.col("_blocks") - 1)).alias("_b"))
-        right = placed.select(
-            "_u", F.col("_i").alias("_j"), F.col("_w").alias("_v"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_block"))).alias("_a"), F.col("_block").alias("_b")
+        from_own = F.explode(F.sequence("_block", F.col("_blocks") - 1))
+        up_to_own = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_block")))
+        left = placed.select("_u", "_i", "_w", "_s", F.col("_block").alias("_a"), from_own.alias("_b"))
+        right = placed.select("_u", "_i", "_w", "_s", up_to_own.alias("_a"), F.col("_block").alias("_b"))
+        pairs = left.join(right.withColumnsRenamed(other), ["_u", "_a", "_b"]).filter(
+            (F.col("_a") < F.col("_b")) | (F.col("_i") < F.col("_j"))
         )
-        pairs = left.join(right, ["_u", "_a", "_b"]).filter((F.col("_a") < F.col("_b")) | (F.col("_i") < F.col("_j")))
-    return pairs.groupBy(F.least("_i", "_j").alias("item_i"), F.greatest("_i", "_j").alias("item_j")).agg(
-        F.sum(F.col("_w") * F.col("_v")).alias("dot")
-    )
+    sums = [F.sum(F.col("_w") * F.col("_v")).alias("dot")]
+    if norm is not None:
+        sums.append(F.first(F.col("_s") * F.col("_t")).alias("scale"))
+    return pairs.groupBy(F.least("_i", "_j").alias("item_i"), F.greatest("_i", "_j").alias("item_j")).agg(*sums)
 
 
 def mirrored(pairs: DataFrame, *columns: str) -> DataFrame:
@@ -52,12 +61,11 @@ def cosine_neighbours(weights: DataFrame, user: str, item: str, weight: str, n:
 
     Only items with a common user are similar; ties go to the smaller item.
     """
-    norms = weights.groupBy(item).agg(F.sqrt(F.sum(F.col(weight).cast("double") * F.col(weight))).alias("_norm"))
-    pairs = cooccurrence(weights, user, item, weight)
-    for side in ("item_i", "item_j"):
-        norm = norms.select(F.col(item).alias(side), F.col("_norm").alias(f"_{side}"))
-        pairs = pairs.join(norm, side)
-    similar = pairs.withColumn("similarity", F.round(F.col("dot") / (F.col("_item_i") * F.col("_item_j")), 12))
+    squares = F.sum(F.col(weight).cast("double") * F.col(weight))
+    norms = weights.groupBy(item).agg(F.sqrt(squares).alias("_norm"))
+    # norms join the interactions, which are far fewer than the pairs
+    pairs = cooccurrence(weights.join(norms, item), user, item, weight, norm="_norm")
+    similar = pairs.withColumn("similarity", F.round(F.col("dot") / F.col("scale"), 12))
     window = Window.partitionBy("item").orderBy(F.desc("similarity"), "neighbour")
     ranked = mirrored(similar, "similarity").withColumn("rank", F.row_number().over(window))
     return ranked.filter(F.col("rank") <= n)

@@ -32,20 +32,17 @@ def negatives_per_user(seen: DataFrame, num_items: int, n: int = 4, seed: int =
     gaps = ranked.select(USER, (F.col(ITEM) - F.col("_nth") + 1).alias("_unseen_before"))
     unseen = F.lit(num_items) - F.count("*")
     free = seen.groupBy(USER).agg(unseen.alias("_free")).filter(F.col("_free") > 0)
-    draws = free.select(USER, "_free", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("draw")).withColumn(
-        "_r", F.pmod(draw(seed, F.col(USER).cast("string"), F.col("draw").cast("string")), F.col("_free"))
+    numbers = range(1, n + 1)
+    draws = free.select(
+        USER, *(F.pmod(draw(seed, F.col(USER).cast("string"), F.lit(str(d))), F.col("_free")).alias(f"_r{d}") for d in numbers)
     )
     # one pass over the history counts all n draws of a user side by side
-    wide = draws.groupBy(USER).agg(F.array_sort(F.collect_list(F.struct("draw", "_r"))).alias("_draws"))
-    per_draw = [F.count_if(F.col("_unseen_before") <= F.col("_draws")[i]["_r"]).alias(f"_skip{i}") for i in range(n)]
-    counted = gaps.join(wide, USER).groupBy(USER).agg(F.first("_draws").alias("_draws"), *per_draw)
-    rows = F.array(
-        *(
-            F.struct(F.col("_draws")[i]["draw"].alias("draw"), (F.col("_draws")[i]["_r"] + F.col(f"_skip{i}")).alias(ITEM))
-            for i in range(n)
-        )
+    counted = gaps.join(draws, USER).groupBy(USER).agg(
+        *(F.first(f"_r{d}").alias(f"_r{d}") for d in numbers),
+        *(F.count_if(F.col("_unseen_before") <= F.col(f"_r{d}")).alias(f"_skip{d}") for d in numbers),
     )
-    return counted.select(USER, F.inline(rows))
+    rows = [F.struct(F.lit(d).alias("draw"), (F.col(f"_r{d}") + F.col(f"_skip{d}")).alias(ITEM)) for d in numbers]
+    return counted.select(USER, F.inline(F.array(*rows)))
 
 
 def labelled_pairs(frame: DataFrame, num_items: int, n: int = 4, seed: int = 42) -> DataFrame:
