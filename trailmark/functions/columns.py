@@ -60,6 +60,15 @@ def clip(value: Column, upper: float) -> Column:
     return F.least(value, F.lit(upper))
 
 
+def whole_units(value: Column, per_one: float) -> Column:
+    """A value as a whole number of units, ``per_one`` of which make 1; halves up.
+
+    Sums of whole numbers do not depend on the order of rows, so scores built
+    from them tie and rank the same on every run.
+    """
+    return F.floor(value * F.lit(float(per_one)) + F.lit(0.5))
+
+
 def right_closed_bin(value: str, breaks: Sequence[float] = GAP_BREAKS_MIN) -> Column:
     """Index of the bin ``(a, b]`` a value falls in; the first bin is open below, the last above."""
     expression = F.lit(len(breaks))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailmark.functions.columns import whole_units
 from trailmark.models.common import (
     ITEM,
     USER,
@@ -25,6 +26,8 @@ from trailmark.operators.cooccurrence import cosine_neighbours
 from trailmark.operators.encoding import id_table
 from trailmark.storage import materialise
 
+SCORE_UNITS = 1e9  # scores are sums of billionths
+
 
 def _by_id(train: DataFrame) -> DataFrame:
     """The catalogue in id order, used to fill lists once the scored items are used up."""
@@ -71,7 +74,7 @@ def item_knn_weighted(
     scores = (
         own.join(neighbours.select(F.col("item").alias(ITEM), "neighbour", "similarity"), ITEM)
         .groupBy(USER, F.col("neighbour").alias(ITEM))
-        .agg(F.round(F.sum(F.col("weight") * F.col("similarity")), 9).alias("score"))
+        .agg((F.sum(whole_units(F.col("weight") * F.col("similarity"), SCORE_UNITS)) / F.lit(SCORE_UNITS)).alias("score"))
     )
     scored = materialise(top_k(scores.filter(F.col("score") > 0).join(own, [USER, ITEM], "left_anti"), k), "lists")
     found = scored.select(USER).distinct()

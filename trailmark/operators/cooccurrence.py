@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trailmark.functions.columns import whole_units
+
+SIMILARITY_UNITS = 1e12  # similarities are kept to 12 digits
 GROUP_ITEMS = 1_000  # items of one user that meet in one join group
 
 
@@ -65,7 +68,7 @@ def cosine_neighbours(weights: DataFrame, user: str, item: str, weight: str, n:
     norms = weights.groupBy(item).agg(F.sqrt(squares).alias("_norm"))
     # norms join the interactions, which are far fewer than the pairs
     pairs = cooccurrence(weights.join(norms, item), user, item, weight, norm="_norm")
-    similar = pairs.withColumn("similarity", F.round(F.col("dot") / F.col("scale"), 12))
+    similar = pairs.withColumn("similarity", whole_units(F.col("dot") / F.col("scale"), SIMILARITY_UNITS) / F.lit(SIMILARITY_UNITS))
     window = Window.partitionBy("item").orderBy(F.desc("similarity"), "neighbour")
     ranked = mirrored(similar, "similarity").withColumn("rank", F.row_number().over(window))
     return ranked.filter(F.col("rank") <= n)

@@ -205,8 +205,7 @@ def _(spark, folder):
     f"""WITH {q.EV}, {q.CHANGES}, {q.TREE}
     SELECT 'events' AS table_name, count(*) AS rows, 6 AS columns, min(timestamp) AS first_ms, max(timestamp) AS last_ms FROM ev
     UNION ALL SELECT 'item_properties', count(*), 5, min(timestamp), max(timestamp) FROM changes
-    UNION ALL SELECT 'category_tree', count(*), 2, NULL, NULL FROM tree""",
-)
+    UNION ALL SELECT 'category_tree', count(*), 2, NULL, NULL FROM tree""", doubles=("first_ms", "last_ms"))
 def _(spark, folder):
     tables = {
         "events": clicks(spark, folder),
@@ -536,8 +535,7 @@ def _(spark, folder):
 
 @query(
     "previous_event",
-    f"""WITH {q.EV},\n{q.GAPS} SELECT event_id, previous_event, previous_timestamp, round(minutes, 6) AS minutes_since_previous FROM gaps""",
-)
+    f"""WITH {q.EV},\n{q.GAPS} SELECT event_id, previous_event, previous_timestamp, round(minutes, 6) AS minutes_since_previous FROM gaps""", doubles=("previous_timestamp",))
 def _(spark, folder):
     rows = sessions.with_previous(clicks(spark, folder))
     return rows.select("event_id", "previous_event", "previous_timestamp", F.round("minutes_since_previous", 6).alias("minutes_since_previous"))
@@ -545,8 +543,7 @@ def _(spark, folder):
 
 @query(
     "next_event",
-    f"""WITH {q.EV},\n{q.NEXT} SELECT event_id, next_event, next_itemid, round((next_timestamp - timestamp) / 60000e0, 6) AS minutes_to_next FROM following""",
-)
+    f"""WITH {q.EV},\n{q.NEXT} SELECT event_id, next_event, next_itemid, round((next_timestamp - timestamp) / 60000e0, 6) AS minutes_to_next FROM following""", doubles=("next_itemid",))
 def _(spark, folder):
     rows = sessions.with_next(clicks(spark, folder))
     return rows.select("event_id", "next_event", "next_itemid", F.round("minutes_to_next", 6).alias("minutes_to_next"))

@@ -44,7 +44,7 @@ def _super(spark, folder):
     return temporal.super_event_table(events, property_changes(spark, folder), category_tree(spark, folder))
 
 
-@query("asof_property", f"WITH {q.EV}, {q.CHANGES}, {ASOF} SELECT event_id, categoryid_asof, categoryid_asof_time, available_asof, available_asof_time FROM known")
+@query("asof_property", f"WITH {q.EV}, {q.CHANGES}, {ASOF} SELECT event_id, categoryid_asof, categoryid_asof_time, available_asof, available_asof_time FROM known", doubles=("categoryid_asof_time", "available_asof_time"))
 def _(spark, folder):
     rows = temporal.asof_properties(clicks(spark, folder), property_changes(spark, folder))
     return rows.select("event_id", "categoryid_asof", "categoryid_asof_time", "available_asof", "available_asof_time")
@@ -58,8 +58,7 @@ def _(spark, folder):
 @query(
     "super_event_table",
     f"""WITH {SUPER} SELECT * EXCLUDE (user_minutes_since_previous, item_minutes_since_previous),
-    round(user_minutes_since_previous, 6) AS user_minutes_since_previous, round(item_minutes_since_previous, 6) AS item_minutes_since_previous FROM super""",
-)
+    round(user_minutes_since_previous, 6) AS user_minutes_since_previous, round(item_minutes_since_previous, 6) AS item_minutes_since_previous FROM super""", doubles=("transactionid", "categoryid_asof", "category_parentid", "available_asof", "categoryid_asof_time", "available_asof_time"))
 def _(spark, folder):
     table = _super(spark, folder).drop("event_time")
     return table.withColumns({c: F.round(c, 6) for c in ("user_minutes_since_previous", "item_minutes_since_previous")})
@@ -70,8 +69,7 @@ def _(spark, folder):
     f"""WITH {SUPER}, a AS (SELECT event_id FROM super WHERE categoryid_asof IS NOT NULL OR available_asof IS NOT NULL ORDER BY event_id LIMIT 10),
     b AS (SELECT event_id FROM super ORDER BY event_id LIMIT 10)
     SELECT event_id, timestamp, visitorid, itemid, categoryid_asof, available_asof FROM super
-    WHERE event_id IN (SELECT event_id FROM a UNION SELECT event_id FROM b)""",
-)
+    WHERE event_id IN (SELECT event_id FROM a UNION SELECT event_id FROM b)""", doubles=("categoryid_asof", "available_asof"))
 def _(spark, folder):
     table = materialise(_super(spark, folder), "super")
     return temporal.preview(table).select("event_id", "timestamp", "visitorid", "itemid", "categoryid_asof", "available_asof")

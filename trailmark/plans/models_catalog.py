@@ -360,7 +360,7 @@ def _(spark, folder):
 def _knn_sql(head: str, weighted: bool, others: int, k: int) -> str:
     base = "w" if weighted else "hist"
     source = "" if weighted else "hist AS (SELECT DISTINCT user_id, item_id, 1e0 AS weight FROM train),"
-    score = "round(sum(o.weight * n.sim), 9)" if weighted else "CAST(count(*) AS DOUBLE)"
+    score = "CAST(sum(CAST(floor(o.weight * n.sim * 1e9 + 0.5e0) AS BIGINT)) AS DOUBLE) / 1e9" if weighted else "CAST(count(*) AS DOUBLE)"
     fallback = (
         "SELECT user_id, item_id, score, rank FROM (" + "SELECT u.user_id, t.item_id, t.score, row_number() OVER (PARTITION BY u.user_id ORDER BY t.score DESC, t.item_id) AS rank "
         "FROM users u CROSS JOIN totals t WHERE u.user_id NOT IN (SELECT user_id FROM best) AND (u.user_id, t.item_id) NOT IN (SELECT user_id, item_id FROM w))"
@@ -375,7 +375,7 @@ def _knn_sql(head: str, weighted: bool, others: int, k: int) -> str:
     return f"""WITH {head}, {source} {popular}
     norm AS (SELECT item_id, sqrt(sum(weight * weight)) AS norm FROM {base} GROUP BY 1),
     dots AS (SELECT a.item_id AS i, b.item_id AS j, sum(a.weight * b.weight) AS dot FROM {base} a JOIN {base} b ON a.user_id = b.user_id AND a.item_id <> b.item_id GROUP BY 1, 2),
-    sims AS (SELECT i, j, round(dot / (CASE WHEN i < j THEN ni.norm ELSE nj.norm END * CASE WHEN i < j THEN nj.norm ELSE ni.norm END), 12) AS sim
+    sims AS (SELECT i, j, floor(dot / (ni.norm * nj.norm) * 1e12 + 0.5e0) / 1e12 AS sim
       FROM dots JOIN norm ni ON ni.item_id = i JOIN norm nj ON nj.item_id = j),
     near AS (SELECT i, j, sim FROM sims QUALIFY row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) <= {others}),
     own AS (SELECT * FROM {base} WHERE user_id IN (SELECT user_id FROM users)),
@@ -387,7 +387,7 @@ def _knn_sql(head: str, weighted: bool, others: int, k: int) -> str:
     cat AS (SELECT DISTINCT item_id FROM {base}),
     rest AS (SELECT h.user_id, c.item_id, h.n + row_number() OVER (PARTITION BY h.user_id ORDER BY c.item_id) AS rank FROM have h CROSS JOIN cat c
       WHERE h.n < {k} AND (h.user_id, c.item_id) NOT IN (SELECT user_id, item_id FROM own) AND (h.user_id, c.item_id) NOT IN (SELECT user_id, item_id FROM best))
-    SELECT user_id, item_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
+    SELECT user_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM (
       SELECT user_id, item_id, score, rank FROM best UNION ALL SELECT user_id, item_id, 0e0, rank FROM rest UNION ALL {fallback}) WHERE rank <= {k}"""
 
 
@@ -400,15 +400,15 @@ def _(spark, folder):
 @query("reco_item_knn_weighted", _knn_sql(EVENT_WEIGHTS_SQL, True, 49, 30))
 def _(spark, folder):
     weights, users = train_weights(spark, folder)
-    return rounded(neighbours.item_knn_weighted(weights, users, 30))
+    return neighbours.item_knn_weighted(weights, users, 30).withColumn("rank", F.col("rank").cast("int"))
 
 
 @query(
     "item_neighbours",
     f"""WITH {q.EV}, h AS (SELECT DISTINCT visitorid, itemid FROM ev), s AS (SELECT itemid, sqrt(CAST(count(*) AS DOUBLE)) AS norm FROM h GROUP BY 1),
     d AS (SELECT a.itemid AS item, b.itemid AS neighbour, CAST(count(*) AS DOUBLE) AS dot FROM h a JOIN h b ON a.visitorid = b.visitorid AND a.itemid <> b.itemid GROUP BY 1, 2)
-    SELECT item, neighbour, round(dot / (least(x.norm, y.norm) * greatest(x.norm, y.norm)), 12) AS similarity,
-      CAST(row_number() OVER (PARTITION BY item ORDER BY round(dot / (least(x.norm, y.norm) * greatest(x.norm, y.norm)), 12) DESC, neighbour) AS INTEGER) AS rank
+    SELECT item, neighbour, floor(dot / (x.norm * y.norm) * 1e12 + 0.5e0) / 1e12 AS similarity,
+      CAST(row_number() OVER (PARTITION BY item ORDER BY floor(dot / (x.norm * y.norm) * 1e12 + 0.5e0) / 1e12 DESC, neighbour) AS INTEGER) AS rank
     FROM d JOIN s x ON x.itemid = item JOIN s y ON y.itemid = neighbour QUALIFY rank <= 19""",
 )
 def _(spark, folder):
@@ -502,8 +502,7 @@ def _(spark, folder):
     "metrics_long",
     PER_USER_SQL + " " + " UNION ALL ".join(
         f"SELECT concat('{m}@', k) AS metric, CAST(k AS INTEGER) AS k, round(avg({m}), 6) AS value FROM per_user GROUP BY k" for m in ranking_metrics.METRICS
-    ) + " UNION ALL SELECT 'num_users', NULL, CAST(count(DISTINCT user_id) AS DOUBLE) FROM truth",
-)
+    ) + " UNION ALL SELECT 'num_users', NULL, CAST(count(DISTINCT user_id) AS DOUBLE) FROM truth", doubles=("k",))
 def _(spark, folder):
     _, truth, lists = _popular_lists(spark, folder)
     return ranking_metrics.long_metrics(ranking_metrics.mean_metrics(lists, truth, KS, digits=6))

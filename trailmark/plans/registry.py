@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trailmark.session import configure
 
@@ -21,16 +22,25 @@ class Query:
 QUERIES: dict[str, Query] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
-    """Register a plan; without ``sql`` only its rows are checked."""
+def query(name: str, sql: str | None = None, doubles: Sequence[str] = ()) -> Callable[[Plan], Plan]:
+    """Register a plan; without ``sql`` only its rows are checked.
+
+    ``doubles`` names whole-number columns that may be null. They are returned
+    as doubles, so that a missing value looks the same from both engines.
+    """
 
     def add(plan: Plan) -> Plan:
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return plan(configure(spark), folder)
+            result = plan(configure(spark), folder)
+            return result.withColumns({c: F.col(c).cast("double") for c in doubles}) if doubles else result
 
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = Query(run, sql)
+        check = sql
+        if sql is not None and doubles:
+            casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in doubles)
+            check = f"SELECT * REPLACE ({casts}) FROM ({sql})"
+        QUERIES[name] = Query(run, check)
         return plan
 
     return add
