@@ -104,7 +104,7 @@ def invert_blocks(matrix: DataFrame, count: int, block: int) -> DataFrame:
             .join(rows, "bj")
             .select("bi", "bj", "data", "column", "row")
         )
-        current = materialise(map_blocks(joined, update), "blocks")
+        current = materialise(map_blocks(joined, update), "blocks", replaces=current)
     return current
 
 

@@ -97,13 +97,14 @@ def catalog_filter(
     pairs = materialise(frame.groupBy(user, item).agg(F.count("*").alias("n")), "pairs")
     rows = _total(pairs)
     while True:
+        before = pairs
         if max_items > 0:
             per_item = pairs.groupBy(item).agg(F.sum("n").alias("n"))
             pairs = pairs.join(top_keys(per_item, item, "n", max_items).select(item), item, "left_semi")
         if min_per_user > 0:
             active = pairs.groupBy(user).agg(F.sum("n").alias("n")).filter(F.col("n") >= min_per_user)
             pairs = pairs.join(active.select(user), user, "left_semi")
-        pairs = materialise(pairs, "pairs")
+        pairs = materialise(pairs, "pairs", replaces=before)
         left = _total(pairs)
         if left == rows:
             break

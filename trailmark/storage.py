@@ -6,11 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folders: dict[str, str] = {}
-_stored: dict[str, list[str]] = {}
+_stored: dict[str, set[str]] = {}
+_tables: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -34,24 +36,34 @@ def scratch_folder(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
-def materialise(frame: DataFrame, label: str) -> DataFrame:
+def materialise(frame: DataFrame, label: str, replaces: DataFrame | None = None) -> DataFrame:
     """Write ``frame`` as a parquet table and return the table.
 
     Compared with a cached frame the table survives executor loss, is read with
     column pruning and filter pushdown, and has a known size for join planning.
+    ``replaces`` is an earlier table of an iteration, deleted once the new one
+    is complete.
     """
     spark = frame.sparkSession
     path = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    _stored.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    table = spark.read.schema(frame.schema).parquet(path)
+    _tables[table] = path
+    _stored.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    if replaces is not None and replaces in _tables:
+        _delete(spark, _tables.pop(replaces))
+    return table
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _stored[spark.sparkContext.applicationId].discard(name)
 
 
 def drop_stored(spark: SparkSession) -> int:
     """Delete the tables this application stored; frames built on them become unreadable."""
-    jvm = spark.sparkContext._jvm
-    paths = _stored.pop(spark.sparkContext.applicationId, [])
-    for name in paths:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return len(paths)
+    names = sorted(_stored.get(spark.sparkContext.applicationId, ()))
+    for name in names:
+        _delete(spark, name)
+    return len(names)
