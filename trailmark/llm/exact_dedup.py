@@ -93,7 +93,8 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = document_names(docs, id_col, text_col, block_bytes, order)
     best = F.max(F.struct("doc_id", (-F.col("_row")).alias("_row")))
     groups = named.groupBy("_blocks", "_name").agg(best.alias("_best"), F.count("*").alias("group_size"))
-    joined = named.join(groups, ["_blocks", "_name"])
+    # stored, so that both sides of the join are shuffles and a hot group can be split
+    joined = named.join(materialise(groups, "groups"), ["_blocks", "_name"])
     return joined.select(
         "doc_id",
         F.col("_best.doc_id").alias("keep_id"),
