@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import chat, exact_dedup, mixing, pii, url_filter
-from trailmark.llm.common import table
+from trailmark.llm import chat, decontaminate, exact_dedup, language_id, mixing, ngram_join, pii, pseudo_likelihood, quality, url_filter
+from trailmark.llm.common import held_out, table
 from trailmark.plans.registry import Plan, Query
 from trailmark.session import configure
 
@@ -21,6 +21,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_decontaminate")
+def decontaminate_documents(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    longest = F.array_max(F.transform("tiles", lambda t: t["length"]))
+    return found.select("doc_id", "item_id", "coverage", F.size("tiles").alias("n_tiles"), longest.alias("longest_tile"))
+
+
 TEMPLATE_TEXT = "\\### Assistant: </turn> ok"
 CHAT_SQL = r"""
 WITH rows AS (
@@ -93,6 +100,11 @@ def mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+@query("op4_score_language_model")
+def score_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return pseudo_likelihood.score_documents(table(spark, folder, "documents"))
+
+
 @query("op5_find_pii")
 def find_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find_pii(table(spark, folder, "documents"))
@@ -106,6 +118,20 @@ def find_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op6_quality")
+def rate_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality.train(docs, table(spark, folder, "labels"))
+    rated = quality.rate(docs.select("doc_id", "text"), model)
+    fold = held_out(F.col("doc_id"), quality.FOLDS, quality.HELD).alias("held_out")
+    return rated.select("doc_id", fold, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op7_ngram_join")
+def join_ngrams(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, folder, "documents"), n=3, percent=90)
+
+
 #: the listed rules of the contract: action, host, path
 LISTED = (
     ("allow", "com", "/"),
@@ -153,3 +179,12 @@ FROM named WINDOW g AS (PARTITION BY body)"""
 @query("op9_exact_dedup", DEDUP_SQL)
 def exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, folder, "documents"))
+
+
+@query("op10_language")
+def identify_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language_id.train(docs)
+    told = docs.select("doc_id", language_id.predict(model, F.col("text")).alias("p"))
+    fold = held_out(F.col("doc_id"), language_id.FOLDS, language_id.HELD).alias("held_out")
+    return told.select("doc_id", fold, "p.lang_pred", "p.score", "p.rejected")
