@@ -121,3 +121,13 @@ def test_percentiles(spark):
     assert percentiles(frame, "v", [0.5, 0.9]) == {0.5: 3.0, 0.9: pytest.approx(7.6)}
     assert percentiles(frame, "v", [0.9], "nearest") == {0.9: 10.0}
     assert percentiles(frame.filter("v > 99"), "v", [0.5]) == {0.5: None}
+
+
+def test_running_totals_of_fractions(spark):
+    frame = spark.range(50).selectExpr("id", "id * 0.5D AS half", "id AS whole").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = running_totals(frame, ["id"], {"halves": "half", "wholes": "whole"}).orderBy("id").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert [(r.halves, r.wholes) for r in rows] == [(i * (i + 1) / 4, i * (i + 1) // 2) for i in range(50)]

@@ -47,13 +47,14 @@ def _placed(frame: DataFrame, order: Sequence[str], label: str) -> DataFrame:
 
 def _part_offsets(spark: SparkSession, sizes: list[Row], names: Sequence[str]) -> DataFrame:
     """Exclusive prefix sums of per-partition totals: one row per partition."""
-    running = dict.fromkeys(names, 0)
+    fractional = {n for row in sizes for n in names if isinstance(row[n], float)}
+    running = {n: 0.0 if n in fractional else 0 for n in names}
     rows = []
     for row in sorted(sizes, key=lambda r: r["_part"]):
         rows.append((row["_part"], *(running[n] for n in names)))
         for n in names:
             running[n] += row[n]
-    schema = "_part int, " + ", ".join(f"_before_{n} long" for n in names)
+    schema = "_part int, " + ", ".join(f"_before_{n} {'double' if n in fractional else 'long'}" for n in names)
     return spark.createDataFrame(rows, schema)
 
 
