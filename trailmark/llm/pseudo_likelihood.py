@@ -69,7 +69,7 @@ def unpacked(flat: np.ndarray) -> list[np.ndarray]:
     return parts
 
 
-def first_weights(counts: list[int], seed: int = 3) -> np.ndarray:
+def first_weights(counts: list[int], total: int, seed: int = 3) -> np.ndarray:
     """Small random embeddings; the output bias starts at the logarithm of the token shares."""
     random = np.random.default_rng(seed)
     flat = random.normal(0, 0.1, sum(int(np.prod(s)) for s in SHAPES))
@@ -77,6 +77,7 @@ def first_weights(counts: list[int], seed: int = 3) -> np.ndarray:
     hidden[:] = 0
     share = np.full(TOKENS, 1.0)
     share[: len(counts)] += counts
+    share[WORDS:] += max(0, total - sum(counts)) / RARE
     bias[:] = np.log(share / share.sum())
     return flat.astype(np.float32)
 
@@ -115,6 +116,7 @@ def _counted(batches):
     counts: Counter = Counter()
 
     def told():
+        counts[None] = sum(counts.values())  # all words together
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "count"])
 
     for batch in batches:
@@ -126,11 +128,12 @@ def _counted(batches):
     yield told()
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> list[tuple[bytes, int]]:
-    """The WORDS most frequent words of all texts with their counts; ties go to the smaller word."""
+def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[list[tuple[bytes, int]], int]:
+    """The WORDS most frequent words of all texts with their counts, and the number of all words; ties go to the smaller word."""
     counted = docs.select(F.col(text_col).alias("_text")).mapInArrow(_counted, "word binary, count long")
-    top = counted.groupBy("word").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "word").limit(WORDS)
-    return [(bytes(r["word"]), r["count"]) for r in top.collect()]
+    top = counted.groupBy("word").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "word").limit(WORDS + 1).collect()
+    total = sum(r["count"] for r in top if r["word"] is None)
+    return [(bytes(r["word"]), r["count"]) for r in top if r["word"] is not None][:WORDS], total
 
 
 def _trained(words, flat, turn):
@@ -183,9 +186,9 @@ class WindowModel:
 
 def train(docs: DataFrame, text_col: str = "text") -> WindowModel:
     """Count, then train over all documents; only the vocabulary and the averaged weights reach the driver."""
-    counted = vocabulary(docs, text_col)
+    counted, total = vocabulary(docs, text_col)
     words = tuple(w for w, _ in counted)
-    flat = first_weights([c for _, c in counted])
+    flat = first_weights([c for _, c in counted], total)
     texts = docs.select(F.col(text_col).alias("_text"))
     for turn in range(ROUNDS):
         local = texts.mapInArrow(_trained(words, flat, turn), "part int, weights array<double>, tokens long")
