@@ -131,3 +131,25 @@ def test_running_totals_of_fractions(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert [(r.halves, r.wholes) for r in rows] == [(i * (i + 1) / 4, i * (i + 1) // 2) for i in range(50)]
+
+
+@pytest.mark.parametrize("driver_rows", [1, 50_000])
+@pytest.mark.parametrize("parts", [1, 2, 4])
+def test_split_with_ties_and_nulls(spark, monkeypatch, parts, driver_rows):
+    monkeypatch.setattr(ordering, "DRIVER_ROWS", driver_rows)
+    monkeypatch.setattr(ordering, "PIVOT_SAMPLE", 50)
+    rows = [(None if i % 3 == 0 else min(i // 4, 60), i % 400, f"v{i % 400}") for i in range(600)]
+    order = random.Random(parts).sample(rows, len(rows))
+    frame = spark.createDataFrame(order, "t int, _part int, v string").repartition(parts)
+    got = split_at(frame, ["t"], [100, 420, 500], "part")
+    counts = {r.part: r.n for r in got.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    assert counts == {0: 100, 1: 320, 2: 80, 3: 100}
+    again = split_at(frame.orderBy(F.desc("v")).coalesce(1), ["t"], [100, 420, 500], "part")
+    tell = lambda f: sorted((r.t is not None, r.t or 0, r.v, r.part) for r in f.collect())
+    assert tell(got) == tell(again)
+    assert all(a.part <= b.part for a, b in [(x, y) for x in got.filter("t is null").collect()[:20] for y in got.filter("t > 50").collect()[:20]])
+
+
+def test_internal_names_are_refused(spark):
+    with pytest.raises(ValueError):
+        dense_index(spark.range(3).withColumn("_tm_part", F.lit(1)), ["id"], "n")

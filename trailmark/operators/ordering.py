@@ -22,6 +22,7 @@ from pyspark.sql.window import Window, WindowSpec
 
 from trailmark.storage import materialise
 
+PLACE, PART, COPY, TIE = "_tm_place", "_tm_part", "_tm_copy", "_tm_tie"  # internal columns; input may not have them
 POSITION_BITS = 33  # monotonically_increasing_id keeps the row position in its lower 33 bits
 DRIVER_ROWS = 50_000  # rows of order keys the driver may hold to finish a rank search
 PIVOT_SAMPLE = 4_000
@@ -36,13 +37,15 @@ CUTS_PER_BLOCK = 64
 
 def _placed(frame: DataFrame, order: Sequence[str], label: str) -> DataFrame:
     """Range-partition and sort ``frame`` by ``order`` and store where each row landed."""
-    placed = (
-        frame.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_place", F.monotonically_increasing_id())
-        .withColumn("_part", F.shiftright("_place", POSITION_BITS).cast("int"))
-    )
-    return materialise(placed, label)
+    return materialise(_numbered(frame.repartitionByRange(*order).sortWithinPartitions(*order)), label)
+
+
+def _numbered(frame: DataFrame) -> DataFrame:
+    """Add where each row stands: its partition, and its place within it in the lower bits."""
+    clash = {PLACE, PART, COPY} & set(frame.columns)
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} are used internally")
+    return frame.withColumn(PLACE, F.monotonically_increasing_id()).withColumn(PART, F.shiftright(PLACE, POSITION_BITS).cast("int"))
 
 
 def _part_offsets(spark: SparkSession, sizes: list[Row], names: Sequence[str]) -> DataFrame:
@@ -50,22 +53,22 @@ def _part_offsets(spark: SparkSession, sizes: list[Row], names: Sequence[str]) -
     fractional = {n for row in sizes for n in names if isinstance(row[n], float)}
     running = {n: 0.0 if n in fractional else 0 for n in names}
     rows = []
-    for row in sorted(sizes, key=lambda r: r["_part"]):
-        rows.append((row["_part"], *(running[n] for n in names)))
+    for row in sorted(sizes, key=lambda r: r[PART]):
+        rows.append((row[PART], *(running[n] for n in names)))
         for n in names:
             running[n] += row[n]
-    schema = "_part int, " + ", ".join(f"_before_{n} {'double' if n in fractional else 'long'}" for n in names)
+    schema = f"{PART} int, " + ", ".join(f"_before_{n} {'double' if n in fractional else 'long'}" for n in names)
     return spark.createDataFrame(rows, schema)
 
 
 def dense_index(frame: DataFrame, order: Sequence[str], name: str, start: int = 0) -> DataFrame:
     """Add ``name``: the position of each row in the total order ``order``, counted from ``start``."""
     stored = _placed(frame, order, "index")
-    sizes = stored.groupBy("_part").agg(F.count("*").alias("n")).collect()
+    sizes = stored.groupBy(PART).agg(F.count("*").alias("n")).collect()
     offsets = _part_offsets(frame.sparkSession, sizes, ["n"])
-    in_part = F.col("_place").bitwiseAND(F.lit((1 << POSITION_BITS) - 1))
+    in_part = F.col(PLACE).bitwiseAND(F.lit((1 << POSITION_BITS) - 1))
     return (
-        stored.join(F.broadcast(offsets), "_part")
+        stored.join(F.broadcast(offsets), PART)
         .withColumn(name, in_part + F.col("_before_n") + F.lit(start))
         .select(*frame.columns, name)
     )
@@ -77,11 +80,11 @@ def running_totals(frame: DataFrame, order: Sequence[str], sums: dict[str, str])
     ``order`` must be unique per row, so that the range shuffle can spread the rows.
     """
     stored = _placed(frame, order, "running")
-    sizes = stored.groupBy("_part").agg(*(F.sum(c).alias(n) for n, c in sums.items())).collect()
+    sizes = stored.groupBy(PART).agg(*(F.sum(c).alias(n) for n, c in sums.items())).collect()
     offsets = _part_offsets(frame.sparkSession, sizes, list(sums))
-    window = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    window = Window.partitionBy(PART).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        stored.join(F.broadcast(offsets), "_part")
+        stored.join(F.broadcast(offsets), PART)
         .select(
             *frame.columns,
             *((F.sum(c).over(window) + F.col(f"_before_{n}")).alias(n) for n, c in sums.items()),
@@ -124,12 +127,18 @@ class _Range:
     size: int
 
     def rows(self, keys: DataFrame, order: Sequence[str]) -> DataFrame:
-        """The first order column is compared on its own as well, so that the scan can skip data."""
+        """The first order column is compared on its own as well, so that the scan can skip data.
+
+        Nulls come first: they are above no bound and below every other value.
+        """
         lead, row = F.col(order[0]), _row(order)
         if self.low is not None:
-            keys = keys.filter((lead >= F.lit(self.low[0])) & (row > _literal(keys.schema, order, self.low)))
+            keys = keys.filter(row > _literal(keys.schema, order, self.low))
+            if self.low[0] is not None:
+                keys = keys.filter(lead >= F.lit(self.low[0]))
         if self.high is not None:
-            keys = keys.filter((lead <= F.lit(self.high[0])) & (row < _literal(keys.schema, order, self.high)))
+            keys = keys.filter(row < _literal(keys.schema, order, self.high))
+            keys = keys.filter(lead.isNull() if self.high[0] is None else lead.isNull() | (lead <= F.lit(self.high[0])))
         return keys
 
 
@@ -226,8 +235,19 @@ def split_at(frame: DataFrame, order: Sequence[str], cuts: Sequence[int], name:
     A cut at ``c`` separates the first ``c`` rows from the rest. Each cut costs
     one rank search; the result is a plain projection of ``frame``, which is read
     several times: store it first when it is costly to compute. Rows equal in
-    every order column are told apart by numbering just those copies.
+    every order column follow each other by a hash of their other columns, so
+    that storage order plays no part; identical rows are numbered.
     """
+    if TIE in frame.columns or name in frame.columns:
+        raise ValueError(f"column {TIE if TIE in frame.columns else name} exists already")
+    others = [c for c in frame.columns if c not in order]
+    if others:
+        marked = frame.withColumn(TIE, F.xxhash64(*others))
+        return _split_at(marked, [*order, TIE], cuts, name, total).drop(TIE)
+    return _split_at(frame, order, cuts, name, total)
+
+
+def _split_at(frame: DataFrame, order: Sequence[str], cuts: Sequence[int], name: str, total: int | None) -> DataFrame:
     if total is None:
         total = frame.count()
     inner = [c for c in cuts if 0 < c < total]
@@ -247,27 +267,22 @@ def split_at(frame: DataFrame, order: Sequence[str], cuts: Sequence[int], name:
     for key, rooms in shared.items():
         same = row == _literal(schema, order, key)
         numbered = _number_copies(result.filter(same))
-        late = sum((F.col("_copy") >= F.lit(room)).cast("int") for room in rooms)
-        copies = numbered.withColumn(name, (F.col(name) + late).cast("int")).drop("_copy")
+        late = sum((F.col(COPY) >= F.lit(room)).cast("int") for room in rooms)
+        copies = numbered.withColumn(name, (F.col(name) + late).cast("int")).drop(COPY)
         result = result.filter(~same).unionByName(copies)
     return result
 
 
 def _number_copies(frame: DataFrame) -> DataFrame:
     """Number rows in storage order; used only where the rows are interchangeable."""
-    stored = materialise(
-        frame.withColumn("_place", F.monotonically_increasing_id()).withColumn(
-            "_part", F.shiftright("_place", POSITION_BITS).cast("int")
-        ),
-        "copies",
-    )
-    sizes = stored.groupBy("_part").agg(F.count("*").alias("n")).collect()
+    stored = materialise(_numbered(frame), "copies")
+    sizes = stored.groupBy(PART).agg(F.count("*").alias("n")).collect()
     offsets = _part_offsets(frame.sparkSession, sizes, ["n"])
-    in_part = F.col("_place").bitwiseAND(F.lit((1 << POSITION_BITS) - 1))
+    in_part = F.col(PLACE).bitwiseAND(F.lit((1 << POSITION_BITS) - 1))
     return (
-        stored.join(F.broadcast(offsets), "_part")
-        .withColumn("_copy", in_part + F.col("_before_n"))
-        .select(*frame.columns, "_copy")
+        stored.join(F.broadcast(offsets), PART)
+        .withColumn(COPY, in_part + F.col("_before_n"))
+        .select(*frame.columns, COPY)
     )
 
 
