@@ -8,7 +8,13 @@ from trailmark.models import ease, latent, logistic, neighbours, simple
 from trailmark.models.blocked import from_bytes
 from trailmark.operators.cooccurrence import cooccurrence
 
-PAIRS = [("u1", "i1"), ("u1", "i2"), ("u1", "i3"), ("u2", "i1"), ("u2", "i4"), ("u3", "i2"), ("u3", "i4"), ("u3", "i5"), ("u4", "i3"), ("u4", "i5")]
+CATALOGUE = [f"p{i}" for i in range(7)]
+_draws = np.random.default_rng(21)
+PAIRS = sorted({(f"v{u}", CATALOGUE[int(i)]) for u in range(5) for i in _draws.integers(0, 7, 6)})
+
+
+def unseen(user):
+    return {i for _, i in PAIRS} - {i for u, i in PAIRS if u == user}
 
 
 @pytest.fixture
@@ -28,12 +34,16 @@ def as_dict(recommendations):
 
 
 def test_simple_models(spark):
-    pairs = spark.createDataFrame([("user-1", "item-2"), ("user-2", "item-1"), ("user-3", "item-2")], "user_id string, item_id string")
-    assert as_dict(simple.popularity(pairs, users(spark, "x"), 10)) == {"x": ["item-2", "item-1"]}
-    timed = spark.createDataFrame([("a", "item-1", 1), ("b", "item-2", 2), ("c", "item-1", 3), ("d", "item-3", 4)], "user_id string, item_id string, timestamp long")
-    assert as_dict(simple.recent_items(timed, users(spark, "x"), 2)) == {"x": ["item-3", "item-1"]}
+    rng = np.random.default_rng(22)
+    rows = [(f"v{rng.integers(40)}", CATALOGUE[int(i)], t) for t, i in enumerate(rng.choice(7, 60, p=[0.3, 0.22, 0.16, 0.12, 0.1, 0.06, 0.04]))]
+    frame = spark.createDataFrame(rows, "user_id string, item_id string, timestamp long")
+    counts, latest = {}, {}
+    for _, i, t in rows:
+        counts[i], latest[i] = counts.get(i, 0) + 1, t
+    assert as_dict(simple.popularity(frame, users(spark, "x"), 10)) == {"x": sorted(counts, key=lambda i: (-counts[i], i))}
+    assert as_dict(simple.recent_items(frame, users(spark, "x"), 3)) == {"x": sorted(latest, key=lambda i: -latest[i])[:3]}
     with pytest.raises(ValueError):
-        simple.popularity(pairs, users(spark, "x"), 0)
+        simple.popularity(frame, users(spark, "x"), 0)
 
 
 @pytest.mark.parametrize("items", [4, 200])
@@ -43,6 +53,7 @@ def test_random_lists(spark, items):
     assert first == as_dict(simple.random_items(catalogue.repartition(3), users(spark, "b", "a"), 3))
     assert all(len(set(v)) == 3 for v in first.values())
     assert as_dict(simple.random_items(catalogue, users(spark, "a"), 3, seed=1)) != {"a": first["a"]} or items == 4
+    assert all(len(set(v)) == min(items, 9) for v in as_dict(simple.random_items(catalogue, users(spark, "a", "b"), 9)).values())
 
 
 def test_unseen_prefix_matches_brute_force(hot):
@@ -72,10 +83,9 @@ MODELS = {
 
 @pytest.mark.parametrize("name", MODELS)
 def test_personal_models_leave_out_seen_items(spark, train, name):
-    got = as_dict(MODELS[name](train, users(spark, "u1", "u2", "nobody"), 3))
-    seen = {u: {i for v, i in PAIRS if v == u} for u in ("u1", "u2")}
-    assert set(got["u1"]) == {"i4", "i5"} and len(got["u2"]) == 3
-    assert not set(got["u2"]) & seen["u2"]
+    got = as_dict(MODELS[name](train, users(spark, "v1", "v2", "nobody"), 3))
+    for user in ("v1", "v2"):
+        assert len(got[user]) == min(3, len(unseen(user))) and set(got[user]) <= unseen(user)
     assert len(got["nobody"]) == 3
 
 
@@ -121,11 +131,12 @@ def test_ease_matches_dense_inverse(spark, regularisation, block):
 
 
 def test_ease_catalogue_limit(spark):
-    counts = {"i5": 4, "i0": 3, "i3": 3, "i1": 1, "i2": 1, "i4": 1}
-    pairs = [(f"u{n}", i) for i, c in counts.items() for n in range(c)]
+    counts = dict(zip(CATALOGUE, (2, 6, 1, 5, 1, 7, 2)))
+    pairs = [(f"v{n}", i) for i, c in counts.items() for n in range(c)]
     frame = spark.createDataFrame(pairs, "user_id string, item_id string")
     model = ease.fit_ease(frame, max_items=3)
-    assert sorted(r["id"] for r in model.items.collect()) == ["i0", "i3", "i5"]
+    assert sorted(r["id"] for r in model.items.collect()) == sorted(sorted(counts, key=lambda i: -counts[i])[:3])
+    assert ease.fit_ease(frame).n == len(counts)
     with pytest.raises(ValueError):
         ease.fit_ease(frame, regularisation=0)
 
@@ -150,11 +161,23 @@ def test_logistic_reaches_the_optimum(spark):
 def test_latent_and_rerank(spark, train):
     weights = train.withColumn("weight", F.lit(1.0))
     model = latent.fit_latent(weights, rank=4, iterations=3)
-    got = as_dict(latent.recommend_latent(model, users(spark, "u1", "u2", "nobody"), 3, block=2, users_per_shard=1))
-    assert set(got) == {"u1", "u2"} and set(got["u1"]) == {"i4", "i5"}
+    got = as_dict(latent.recommend_latent(model, users(spark, "v1", "v2", "nobody"), 2, block=2, users_per_shard=1))
     factors = {r["item_id"]: np.array(r["factors"]) for r in model.item_factors.collect()}
-    own = {r["user_id"]: np.array(r["factors"]) for r in model.user_factors.collect()}["u2"]
-    fresh = [i for i in factors if ("u2", i) not in PAIRS]
-    assert got["u2"] == sorted(fresh, key=lambda i: -float(own @ factors[i]))[:3]
-    again = as_dict(latent.neural_rerank(train, weights, users(spark, "u1", "u2"), 2, rank=4, pool=3, iterations=3, layers=(4,)))
-    assert set(again) == {"u1", "u2"} and set(again["u1"]) == {"i4", "i5"}
+    own = {r["user_id"]: np.array(r["factors"]) for r in model.user_factors.collect()}
+    for user in ("v1", "v2"):
+        assert got[user] == sorted(unseen(user), key=lambda i: -float(own[user] @ factors[i]))[:2]
+    assert set(got) == {"v1", "v2"}
+    again = as_dict(latent.neural_rerank(train, weights, users(spark, "v1", "v2"), 7, rank=4, iterations=3, layers=(4,)))
+    assert {u: set(v) for u, v in again.items()} == {u: unseen(u) for u in ("v1", "v2")}
+
+
+def test_network_scores_are_those_of_the_fitted_model(spark, train):
+    model = latent.fit_latent(train.withColumn("weight", F.lit(1.0)), rank=3, iterations=2)
+    network = latent.fit_reranker(model, train, layers=(5, 4), iterations=4)
+    pairs = model.user_factors.select("user_id").crossJoin(model.item_factors.select("item_id"))
+    scored = network.transform(latent._interaction_features(pairs, model)).collect()
+    own = {r["user_id"]: np.array(r["factors"]) for r in model.user_factors.collect()}
+    items = {r["item_id"]: np.array(r["factors"]) for r in model.item_factors.collect()}
+    score = latent.network_scorer(network, [9, 5, 4, 2])
+    for r in scored:
+        assert abs(score(own[r.user_id][None], items[r.item_id][None])[0, 0] - r.probability[1]) < 1e-8

@@ -13,11 +13,26 @@ EVENT_WEIGHTS = {"view": 1.0, "addtocart": 3.0, "transaction": 5.0}
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 GAP_BREAKS_MIN = (5, 10, 30, 60, 120, 1440, 10080, 43200)
 
-# Token patterns of property values.
-ENCODED_NUMBER = r"n-?\d+\.\d{3}"
-NUMBER_VARIANT = r"n-?\d+(\.\d+)?"
-PLAIN_HASH = r"\d+"
-UNICODE = "(?U)"  # \w, \d and \b follow Unicode
+# Patterns of property values and their tokens; under (?U) \w, \d, \s and \b follow Unicode.
+SPACE = r"(?U)\s+"
+ENCODED_NUMBER_IN_TEXT = r"(?U)\bn-?\d+\.\d{3}\b"
+PLAIN_HASH_IN_TEXT = r"(?U)(?<![\w.])\d+(?![\w.])"
+ENCODED_NUMBER = r"(?U)^n-?\d+\.\d{3}$"
+NUMBER_VARIANT = r"(?U)^n-?\d+(\.\d+)?$"
+PLAIN_HASH = r"(?U)^\d+$"
+
+# Class names of property values, tokens and visitors.
+GRAMMARS = (
+    "special_categoryid",
+    "special_available",
+    "mixed_hashed_text_and_numeric",
+    "multi_hashed_text_tokens",
+    "single_hashed_text_token",
+    "encoded_numeric_only",
+    "other_or_unexpected",
+)
+TOKEN_TYPES = ("encoded_numeric_token", "hashed_text_token", "numeric_token_variant", "unexpected_token")
+PROFILES = ("buyer", "cart_intent", "recurring_browser", "cold_or_single_view")
 
 
 def epoch_ms(time: Column) -> Column:
@@ -94,10 +109,10 @@ def date_parts(time: str) -> dict[str, Column]:
 def behaviour_profile(total: Column, carts: Column, purchases: Column) -> Column:
     """The strongest signal wins: buyer, then cart intent, then five or more events."""
     return (
-        F.when(purchases > 0, "buyer")
-        .when(carts > 0, "cart_intent")
-        .when(total >= 5, "recurring_browser")
-        .otherwise("cold_or_single_view")
+        F.when(purchases > 0, PROFILES[0])
+        .when(carts > 0, PROFILES[1])
+        .when(total >= 5, PROFILES[2])
+        .otherwise(PROFILES[3])
     )
 
 
@@ -118,16 +133,16 @@ def draw(seed: int, *parts: Column | str) -> Column:
 
 
 def value_tokens(value: str) -> Column:
-    parts = F.split(F.coalesce(F.col(value), F.lit("")), UNICODE + r"\s+")
+    parts = F.split(F.coalesce(F.col(value), F.lit("")), SPACE)
     return F.filter(parts, lambda token: token != "")
 
 
 def encoded_number_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(UNICODE + r"\b" + ENCODED_NUMBER + r"\b"))
+    return F.regexp_count(text, F.lit(ENCODED_NUMBER_IN_TEXT))
 
 
 def plain_hash_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(UNICODE + r"(?<![\w.])" + PLAIN_HASH + r"(?![\w.])"))
+    return F.regexp_count(text, F.lit(PLAIN_HASH_IN_TEXT))
 
 
 def value_grammar(prop: str, tokens: str, numbers: str, hashes: str) -> Column:
@@ -137,27 +152,23 @@ def value_grammar(prop: str, tokens: str, numbers: str, hashes: str) -> Column:
     """
     n, number, plain = F.col(tokens), F.col(numbers), F.col(hashes)
     return (
-        F.when(F.col(prop) == "categoryid", "special_categoryid")
-        .when(F.col(prop) == "available", "special_available")
-        .when((number > 0) & (plain > 0), "mixed_hashed_text_and_numeric")
-        .when((plain == n) & (n > 1), "multi_hashed_text_tokens")
-        .when((plain == n) & (n == 1), "single_hashed_text_token")
-        .when(number == n, "encoded_numeric_only")
-        .otherwise("other_or_unexpected")
+        F.when(F.col(prop) == "categoryid", GRAMMARS[0])
+        .when(F.col(prop) == "available", GRAMMARS[1])
+        .when((number > 0) & (plain > 0), GRAMMARS[2])
+        .when((plain == n) & (n > 1), GRAMMARS[3])
+        .when((plain == n) & (n == 1), GRAMMARS[4])
+        .when(number == n, GRAMMARS[5])
+        .otherwise(GRAMMARS[6])
     )
 
 
 def token_type(token: str) -> Column:
     text = F.lower(F.col(token))
-
-    def whole(pattern: str) -> Column:
-        return text.rlike(f"{UNICODE}^{pattern}$")
-
     return (
-        F.when(whole(ENCODED_NUMBER), "encoded_numeric_token")
-        .when(whole(PLAIN_HASH), "hashed_text_token")
-        .when(whole(NUMBER_VARIANT), "numeric_token_variant")
-        .otherwise("unexpected_token")
+        F.when(text.rlike(ENCODED_NUMBER), TOKEN_TYPES[0])
+        .when(text.rlike(PLAIN_HASH), TOKEN_TYPES[1])
+        .when(text.rlike(NUMBER_VARIANT), TOKEN_TYPES[2])
+        .otherwise(TOKEN_TYPES[3])
     )
 
 

@@ -101,7 +101,7 @@ def blocked_top_k(
 
     def score(key: tuple, own: pd.DataFrame, panel: pd.DataFrame) -> pd.DataFrame:
         if own.empty or panel.empty:
-            return pd.DataFrame({"user": [], "item": [], "score": []})
+            return pd.DataFrame({"user": np.empty(0, object), "item": np.empty(0, np.int64), "score": np.empty(0)})
         first = int(key[1]) * block
         names, number = np.unique(own["user"].to_numpy(dtype=object).astype(str), return_inverse=True)
         scores = product(own, panel, number, len(names))[:, : max(0, min(block, n - first))].copy()
@@ -109,6 +109,6 @@ def blocked_top_k(
         inside = (own["seen"].to_numpy() == 1) & (items_of >= first) & (items_of < first + scores.shape[1])
         scores[number[inside], items_of[inside] - first] = -np.inf
         rows, columns = best_of(scores, k)
-        return pd.DataFrame({"user": names[rows], "item": columns + first, "score": scores[rows, columns]})
+        return pd.DataFrame({"user": names[rows].astype(object), "item": columns + first, "score": scores[rows, columns]})
 
     return users.cogroup(items).applyInPandas(score, "user string, item long, score double")

@@ -23,7 +23,7 @@ from trailmark.models.common import (
 from trailmark.operators.cleaning import top_keys
 from trailmark.operators.cooccurrence import cooccurrence
 from trailmark.operators.encoding import id_table
-from trailmark.storage import materialise
+from trailmark.storage import discard, materialise
 
 
 @dataclass
@@ -38,7 +38,7 @@ class EaseModel:
     block: int
 
 
-def fit_ease(train: DataFrame, regularisation: float = 250.0, max_items: int = 20_000, block: int = BLOCK) -> EaseModel:
+def fit_ease(train: DataFrame, regularisation: float = 250.0, max_items: int = 0, block: int = BLOCK) -> EaseModel:
     """Weights B = I - P / diag(P) with P the inverse of the regularised item Gram matrix.
 
     The Gram matrix is aggregated sparsely, laid out in blocks and inverted by
@@ -67,45 +67,62 @@ def fit_ease(train: DataFrame, regularisation: float = 250.0, max_items: int = 2
 
 
 def invert_blocks(matrix: DataFrame, count: int, block: int) -> DataFrame:
-    """Inverse of a symmetric positive definite block matrix, one elimination step per block row.
+    """Inverse of a symmetric positive definite block matrix, one sweep step per block row.
 
-    A step reads the pivot block, its row panel and its column panel, and joins
-    them to the blocks they update; the result of each step is a stored table.
+    Only the blocks on and below the diagonal are kept. With C the pivot's
+    column and W = C / pivot, a step sets the column to W, every other block
+    (i, j) to A - W_i C_j' and the pivot to minus its inverse, so the matrix stays symmetric; after
+    the last step it is minus the inverse. Each step's table replaces the one before.
     """
-    current = materialise(matrix, "blocks")
+    current = materialise(matrix.filter(F.col("bi") >= F.col("bj")), "blocks")
 
-    def inverse(row: pd.Series) -> bytes:
-        return to_bytes(np.linalg.inv(from_bytes(row["data"], block)))
 
-    def pivot_times(row: pd.Series) -> bytes:
-        return to_bytes(from_bytes(row["pivot"], block) @ from_bytes(row["data"], block))
+    def minus_inverse(row: pd.Series) -> bytes:
+        return to_bytes(-np.linalg.inv(from_bytes(row["data"], block)))
+
+    def turned(row: pd.Series) -> bytes:
+        """The block of the pivot's column, also where the kept one is its mirror."""
+        data = from_bytes(row["data"], block)
+        return to_bytes(data.T if row["mirrored"] else data)
+
+    def over_pivot(row: pd.Series) -> bytes:
+        return to_bytes(-from_bytes(row["data"], block) @ from_bytes(row["pivot"], block))
 
     def update(row: pd.Series) -> bytes:
-        if row["column"] is None:  # pivot row: already multiplied by the inverted pivot
-            return row["row"]
-        product = from_bytes(row["column"], block) @ from_bytes(row["row"], block)
-        if row["data"] is None:  # pivot column
-            return to_bytes(-product)
-        return to_bytes(from_bytes(row["data"], block) - product)
-
-    if count == 1:
-        return map_blocks(current, inverse)
+        if row["data"] is not None:
+            return to_bytes(from_bytes(row["data"], block) - from_bytes(row["over_i"], block) @ from_bytes(row["of_j"], block).T)
+        return row["over_i"] if row["over_i"] is not None else to_bytes(from_bytes(row["over_j"], block).T)
+
     for k in range(count):
-        pivot = map_blocks(current.filter((F.col("bi") == k) & (F.col("bj") == k)), inverse)
-        pivot = materialise(pivot, "pivot")
-        one_pivot = pivot.select(F.col("bi").alias("_k"), F.col("data").alias("pivot"))
-        others = current.filter((F.col("bi") == k) & (F.col("bj") != k))
-        panel = map_blocks(others.join(F.broadcast(one_pivot), F.col("bi") == F.col("_k")), pivot_times)
-        rows = materialise(panel.unionByName(pivot), "panel").select("bj", F.col("data").alias("row"))
-        columns = current.filter((F.col("bj") == k) & (F.col("bi") != k)).select("bi", F.col("data").alias("column"))
+        pivot = materialise(map_blocks(current.filter((F.col("bi") == k) & (F.col("bj") == k)), minus_inverse), "pivot")
+        beside = ((F.col("bi") == k) | (F.col("bj") == k)) & (F.col("bi") != F.col("bj"))
+        place = F.when(F.col("bj") == k, F.col("bi")).otherwise(F.col("bj"))
+        column = current.filter(beside).select(place.alias("bi"), F.lit(k).cast("long").alias("bj"), "data", (F.col("bi") == k).alias("mirrored"))
+        column = materialise(map_blocks(column, turned), "column")
+        over = column.join(F.broadcast(pivot.select("bj", F.col("data").alias("pivot"))), "bj")
+        over = materialise(map_blocks(over, over_pivot), "over")
+        inner = current.filter((F.col("bi") != k) & (F.col("bj") != k)).select("bi", "bj", "data")
+        edge = current.filter(beside).select("bi", "bj", F.lit(None).cast("binary").alias("data"))
+        side = lambda table, at, name: table.select(F.col("bi").alias(at), F.col("data").alias(name))
         joined = (
-            current.withColumn("data", F.when(F.col("bj") != k, F.col("data")))
-            .join(columns, "bi", "left")
-            .join(rows, "bj")
-            .select("bi", "bj", "data", "column", "row")
+            inner.unionByName(edge)
+            .join(side(over, "bi", "over_i"), "bi", "left")
+            .join(side(column, "bj", "of_j"), "bj", "left")
+            .join(side(over, "bj", "over_j"), "bj", "left")
         )
-        current = materialise(map_blocks(joined, update), "blocks", replaces=current)
-    return current
+        current = materialise(map_blocks(joined, update).unionByName(pivot), "blocks", replaces=current)
+        for spent in (pivot, column, over):
+            discard(spent)
+    both = F.when(F.col("bi") == F.col("bj"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    mirror = current.withColumn("mirrored", F.explode(both))
+    place = lambda own, other: F.when(F.col("mirrored"), F.col(other)).otherwise(F.col(own)).alias(own)
+    whole = mirror.select(place("bi", "bj"), place("bj", "bi"), "data", "mirrored")
+
+    def signed(row: pd.Series) -> bytes:
+        data = -from_bytes(row["data"], block)
+        return to_bytes(data.T if row["mirrored"] else data)
+
+    return map_blocks(whole, signed)
 
 
 def _item_weights(inverse: DataFrame, block: int) -> DataFrame:
@@ -179,7 +196,7 @@ def _popularity_blocks(model: EaseModel, weight: float) -> DataFrame:
 
 
 def ease(
-    train: DataFrame, users: DataFrame, k: int = 10, regularisation: float = 250.0, max_items: int = 20_000,
+    train: DataFrame, users: DataFrame, k: int = 10, regularisation: float = 250.0, max_items: int = 0,
     popularity_weight: float = 0.0, block: int = BLOCK,
 ) -> DataFrame:
     """Fit and recommend in one call."""

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,10 +63,11 @@ def _named(factors: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     return numbered.join(ids.withColumnRenamed("id", name), "idx")
 
 
-def recommend_latent(
-    model: LatentModel, users: DataFrame, k: int = 10, block: int = BLOCK, users_per_shard: int = USERS_PER_SHARD
-) -> DataFrame:
-    """Top unseen items by factor product; users the model does not know get no rows."""
+Scorer = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _recommend(model: LatentModel, users: DataFrame, k: int, score: Scorer, block: int, users_per_shard: int) -> DataFrame:
+    """Top unseen items by a score of user and item vectors; users the model does not know get no rows."""
     check_limit(k)
     wanted = model.user_factors.join(users.select(USER).distinct(), USER, "left_semi")
     shards = max(1, -(-wanted.count() // users_per_shard))
@@ -87,7 +88,7 @@ def recommend_latent(
         user_side[number[vectors]] = np.stack(own["factors"].to_numpy()[vectors])
         item_side = np.zeros((block, rank))
         item_side[panel["place"].to_numpy()] = np.stack(panel["factors"].to_numpy())
-        return user_side @ item_side.T
+        return score(user_side, item_side)
 
     candidates = blocked_top_k(left, right, product, -(-model.n_items // block), block, model.n_items, k, shards)
     named = candidates.join(model.item_factors.select(ITEM, "idx"), F.col("item") == F.col("idx")).select(
@@ -96,6 +97,13 @@ def recommend_latent(
     return top_k(named, k)
 
 
+def recommend_latent(
+    model: LatentModel, users: DataFrame, k: int = 10, block: int = BLOCK, users_per_shard: int = USERS_PER_SHARD
+) -> DataFrame:
+    """Top unseen items by factor product."""
+    return _recommend(model, users, k, lambda own, items: own @ items.T, block, users_per_shard)
+
+
 def _interaction_features(pairs: DataFrame, model: LatentModel) -> DataFrame:
     """Elementwise product of both factor vectors, followed by the vectors themselves."""
     joined = pairs.join(model.user_factors.withColumnRenamed("factors", "_u"), USER).join(
@@ -123,20 +131,42 @@ def fit_reranker(
     return network.fit(rows)
 
 
-def rerank(model: LatentModel, network: MultilayerPerceptronClassificationModel, candidates: DataFrame, k: int = 10) -> DataFrame:
-    """Reorder candidate recommendations (user_id, item_id) by the network's probability."""
-    scored = network.transform(_interaction_features(candidates.select(USER, ITEM).distinct(), model))
-    chance = F.round(vector_to_array("probability")[1], 9)
-    return top_k(scored.select(USER, ITEM, chance.alias("score")), k)
+def network_scorer(network: MultilayerPerceptronClassificationModel, layers: Sequence[int]) -> Scorer:
+    """The network's probability of the second class for all pairs of user and item vectors, rounded to 9 digits.
+
+    The weights of a layer stand input by input, its biases after them; hidden layers are logistic.
+    """
+    flat, parts, at = network.weights.toArray(), [], 0
+    for size, outputs in zip(layers, layers[1:]):
+        parts.append((flat[at : at + size * outputs].reshape(size, outputs), flat[at + size * outputs : at + (size + 1) * outputs]))
+        at += (size + 1) * outputs
+
+    def score(users: np.ndarray, items: np.ndarray) -> np.ndarray:
+        result = np.empty((len(users), len(items)))
+        for row, own in enumerate(users):
+            signal = np.hstack([items * own, np.broadcast_to(own, items.shape), items])
+            for weights, bias in parts[:-1]:
+                signal = 1 / (1 + np.exp(-np.clip(signal @ weights + bias, -500, 500)))
+            last = signal @ parts[-1][0] + parts[-1][1]
+            result[row] = 1 / (1 + np.exp(np.clip(last[:, 0] - last[:, 1], -500, 500)))
+        return np.round(result, 9)
+
+    return score
+
+
+def recommend_network(
+    model: LatentModel, network: MultilayerPerceptronClassificationModel, layers: Sequence[int], users: DataFrame, k: int = 10,
+    block: int = BLOCK, users_per_shard: int = 2_000,
+) -> DataFrame:
+    """Top unseen items of the whole catalogue by the network's probability."""
+    return _recommend(model, users, k, network_scorer(network, [3 * model.rank, *layers, 2]), block, users_per_shard)
 
 
 def neural_rerank(
-    train: DataFrame, weights: DataFrame, users: DataFrame, k: int = 10, rank: int = 64, pool: int = 50, iterations: int = 50,
+    train: DataFrame, weights: DataFrame, users: DataFrame, k: int = 10, rank: int = 64, iterations: int = 50,
     layers: Sequence[int] = (128, 64, 32),
 ) -> DataFrame:
-    """Take ``pool`` candidates per user from the latent model and rerank them."""
+    """Rank every unseen item by a perceptron on the factors of the latent model."""
     model = fit_latent(weights, rank=rank)
     network = fit_reranker(model, train, layers=layers, iterations=iterations)
-    return rerank(model, network, recommend_latent(model, users, max(pool, k)), k)
-
-
+    return recommend_network(model, network, layers, users, k)

@@ -90,6 +90,8 @@ def fit_logistic(rows: DataFrame, c: float = 1.0, max_steps: int = 100, toleranc
         items = moved_items.drop("move")
         largest = moved_users.select("move").unionByName(moved_items.select("move")).agg(F.max("move")).first()[0]
         change = max(float(np.abs(shift).max()), largest)
+    if change > tolerance:
+        raise RuntimeError(f"no convergence in {step} steps: the last moved a weight by {change}")
     return LogisticModel(intercept, users, items, step, change)
 
 

@@ -57,9 +57,9 @@ def item_knn(train: DataFrame, users: DataFrame, k: int = 10, n_neighbours: int
 
 
 def item_knn_weighted(
-    weights: DataFrame, users: DataFrame, k: int = 10, n_neighbours: int = 50, max_items: int = 20_000
+    weights: DataFrame, users: DataFrame, k: int = 10, n_neighbours: int = 50, max_items: int = 0
 ) -> DataFrame:
-    """Weighted model over the ``max_items`` heaviest items: score = sum of weight times similarity.
+    """Weighted model: score = sum of weight times similarity; ``max_items`` keeps the heaviest items, 0 all.
 
     ``weights`` holds (user_id, item_id, weight). Users without any positive
     score, known or not, get the heaviest items they have not seen.

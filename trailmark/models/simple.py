@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -66,22 +66,20 @@ def recent_items(train: DataFrame, users: DataFrame, k: int = 10, time: str = "t
 def random_items(train: DataFrame, users: DataFrame, k: int = 10, seed: int = 42) -> DataFrame:
     """``k`` different items per user, uniform without replacement, fixed by seed and user.
 
-    Draws index the catalogue and repeats are dropped. With over 4k items,
-    8k + 64 draws hold k different ones but for a chance below 4**-64; a smaller
-    catalogue is ranked whole.
+    The j-th draw picks the r-th of the items not drawn yet, at any size of the
+    catalogue. With the drawn ones in order s_0 < s_1 < ..., that is item r plus the
+    number of i with s_i - i <= r. A user gets fewer than ``k`` only where there are fewer items.
     """
     check_limit(k)
     items = id_table(train, ITEM)
     n = items.count()
-    if n <= 4 * k:
-        choices = F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("idx")
-        drawn = users.select(USER, choices).withColumn("_order", draw(seed, F.col(USER), F.col("idx").cast("string")))
-    else:
-        tries = F.explode(F.sequence(F.lit(1), F.lit(8 * k + 64))).alias("_order")
-        drawn = users.select(USER, tries).select(
-            USER, F.pmod(draw(seed, F.col(USER), F.col("_order").cast("string")), F.lit(n)).alias("idx"), "_order"
-        )
-        drawn = drawn.groupBy(USER, "idx").agg(F.min("_order").alias("_order"))
-    window = Window.partitionBy(USER).orderBy("_order", "idx")
-    chosen = drawn.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
-    return chosen.join(items, chosen["idx"] == items["idx"]).select(USER, F.col("id").alias(ITEM), F.lit(0.0).alias("score"), "rank")
+    if n == 0:
+        return users.limit(0).select(USER, F.lit(None).cast("string").alias(ITEM), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+
+    def pick(drawn: Column, j: Column) -> Column:
+        r = F.pmod(draw(seed, F.col(USER), j.cast("string")), F.lit(n) - j + 1)
+        return F.array_append(drawn, r + F.size(F.filter(F.array_sort(drawn), lambda s, i: s - i <= r)))
+
+    numbers = F.sequence(F.lit(1), F.lit(min(k, n)))
+    drawn = users.select(USER, F.posexplode(F.aggregate(numbers, F.array().cast("array<bigint>"), pick)).alias("_at", "idx"))
+    return drawn.join(items, "idx").select(USER, F.col("id").alias(ITEM), F.lit(0.0).alias("score"), (F.col("_at") + 1).alias("rank"))

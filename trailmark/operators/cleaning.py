@@ -183,19 +183,3 @@ def fill_categories(counts: DataFrame, category: str, values: Sequence[str], mea
     return wanted.join(counts, category, "left").select(
         "position", category, *(F.coalesce(m, F.lit(0)).alias(m) for m in measures)
     )
-
-
-def earliest(frame: DataFrame, order: Sequence[str], rank: int) -> tuple:
-    """Order key of the row at a 0-based position."""
-    return keys_at_ranks(frame, order, [rank])[rank].key
-
-
-def warm_only(frame: DataFrame, *known: tuple[DataFrame, str]) -> DataFrame:
-    """Keep rows whose keys occur in every given (table, key)."""
-    for table, key in known:
-        frame = frame.join(table.select(key).distinct(), key, "left_semi")
-    return frame
-
-
-def flag(condition: Column) -> Column:
-    return condition.cast("int")

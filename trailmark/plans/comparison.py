@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import logging
+import time
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
@@ -11,12 +11,10 @@ from pyspark.sql import functions as F
 
 from trailmark.models import ease, latent, logistic, neighbours, simple
 from trailmark.models.common import ITEM, USER, as_lists
-from trailmark.operators.ranking_metrics import K_VALUES, catalogue_coverage, long_metrics, mean_metrics
+from trailmark.operators.ranking_metrics import K_VALUES, catalogue_coverage, mean_metrics
 from trailmark.operators.splits import first_users
 from trailmark.storage import materialise
 
-logger = logging.getLogger(__name__)
-
 CHAMPION_K = 10
 GATE_TOLERANCE = 0.05
 RANKED_METRICS = ("precision", "recall", "ndcg", "map")
@@ -64,12 +62,14 @@ def harmonic_mean(metrics: Sequence[str] = RANKED_METRICS) -> Column:
 
 def compare_models(
     train: DataFrame, truth: DataFrame, models: Mapping[str, Recommender], ks: Sequence[int] = K_VALUES, max_users: int = 0,
-    skip: Sequence[str] = (), parameters: Mapping[str, str] | None = None,
+    skip: Sequence[str] = (), report_failures: bool = False,
 ) -> DataFrame:
-    """Metrics of every model on the same users: (model, role, k, metrics, coverage, users).
+    """Metrics of every model on the same users: (model, role, status, reason, seconds, k, metrics, coverage, users).
 
-    Each model's lists are stored before scoring; a model that fails is left out
-    with a warning. ``max_users`` caps the evaluated users, 0 takes all.
+    Each model's lists are stored before scoring. A model that fails raises, or
+    with ``report_failures`` gives one row with status ``failed``, the reason and
+    no metrics. ``seconds`` is the time to fit and recommend. ``max_users`` caps the
+    evaluated users, 0 takes all.
     """
     train, truth = materialise(train, "train"), materialise(first_users(truth, max_users, USER), "truth")
     users, catalogue = truth.select(USER).distinct(), train.select(ITEM)
@@ -77,17 +77,32 @@ def compare_models(
     for name, recommend in models.items():
         if name in skip:
             continue
+        start = time.perf_counter()
+        told = [F.lit(name).alias("model"), F.lit(ROLES.get(name, "custom")).alias("role")]
         try:
             lists = materialise(recommend(train, users, max(ks)), "lists")
+            seconds = time.perf_counter() - start
             scores = mean_metrics(lists, truth, ks, USER, ITEM)
             spread = catalogue_coverage(lists, catalogue, ks, ITEM).select("k", "coverage")
             wide = scores.join(F.broadcast(spread), "k")
-            results.append(materialise(wide.select(F.lit(name).alias("model"), F.lit(ROLES.get(name, "custom")).alias("role"), "*"), "metrics"))
-        except Exception:  # one model must not end the comparison
-            logger.warning("model %s skipped", name, exc_info=True)
+            done = [F.lit("done").alias("status"), F.lit(None).cast("string").alias("reason"), F.lit(seconds).alias("seconds")]
+            results.append(materialise(wide.select(*told, *done, "*"), "metrics"))
+        except Exception as error:
+            if not report_failures:
+                raise
+            row = [F.lit("failed").alias("status"), F.lit(f"{type(error).__name__}: {error}"[:500]).alias("reason"), F.lit(time.perf_counter() - start).alias("seconds")]
+            results.append(train.sparkSession.range(1).select(*told, *row))
     if not results:
-        raise ValueError("no model produced results")
-    return reduce(DataFrame.unionByName, results)
+        raise ValueError("no model to compare")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), results)
+
+
+def trade_off(metrics: DataFrame, k: int = CHAMPION_K) -> DataFrame:
+    """Quality against time: model, role, harmonic mean at K, seconds, and whether a model both better and faster exists."""
+    scored = metrics.filter(F.col("k") == k).withColumn("harmonic_mean", harmonic_mean()).select("model", "role", "k", "harmonic_mean", "seconds")
+    faster = Window.partitionBy("k").orderBy("seconds", F.desc("harmonic_mean")).rowsBetween(Window.unboundedPreceding, -1)
+    beaten = F.coalesce(F.max("harmonic_mean").over(faster) > F.col("harmonic_mean"), F.lit(False))
+    return scored.withColumn("dominated", beaten).drop("k")
 
 
 def rank_models(metrics: DataFrame, k: int = CHAMPION_K) -> DataFrame:
@@ -170,8 +185,3 @@ def batch_recommend(users: DataFrame, recommend: Callable[[DataFrame, int], Data
     return wanted.select(USER).join(as_lists(cut), USER, "left").select(
         USER, F.coalesce("recommendations", F.array().cast("array<string>")).alias("recommendations")
     )
-
-
-def metric_table(metrics: DataFrame) -> DataFrame:
-    """Long form (model, role, metric, k, value)."""
-    return long_metrics(metrics)

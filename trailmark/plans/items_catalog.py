@@ -255,23 +255,36 @@ def _(spark, folder):
     return grammar.stability(property_changes(spark, folder), DIGITS)
 
 
-def _reading_sql() -> str:
-    whens = " ".join(
-        f"WHEN {'property' if k in ('categoryid', 'available') else 'dominant_format'} = '{k}' THEN '{v}'" for k, v in grammar.READINGS.items()
-    )
-    return f"CASE {whens} ELSE '{grammar.READING_OTHER}' END"
-
-
 @query(
     "candidate_features",
-    f"""WITH {PROFILE} SELECT property, dominant_format, changed_pct, values_per_row, {_reading_sql()} AS reading,
-    CASE WHEN property = 'available' OR changed_pct > 10 THEN '{grammar.RISK_HIGH}' WHEN values_per_row > 0.5 THEN '{grammar.RISK_MEDIUM}'
-      ELSE '{grammar.RISK_LOW}' END AS leakage_risk FROM profile JOIN changed USING (property)""",
+    f"""WITH {PROFILE}, told AS (
+      SELECT property, dominant_format, changed_pct, values_per_row,
+        CASE WHEN property = 'categoryid' THEN 'tree_key' WHEN property = 'available' THEN 'flag'
+          WHEN dominant_format = 'encoded_numeric_only' THEN 'number' WHEN dominant_format = 'single_hashed_text_token' THEN 'code'
+          WHEN dominant_format = 'multi_hashed_text_tokens' THEN 'code_set'
+          WHEN dominant_format = 'mixed_hashed_text_and_numeric' THEN 'code_set_and_number' ELSE 'unread' END AS reading,
+        CASE WHEN property = 'available' OR changed_pct > 10 THEN 'high' WHEN values_per_row > 0.5 THEN 'medium' ELSE 'low' END AS leakage_risk
+      FROM profile JOIN changed USING (property))
+    SELECT *, CASE reading WHEN 'tree_key' THEN 'join' WHEN 'flag' THEN 'filter' WHEN 'number' THEN 'scale' WHEN 'code' THEN 'encode'
+      WHEN 'code_set' THEN 'embed' WHEN 'code_set_and_number' THEN 'split' ELSE 'inspect' END AS potential_use FROM told""",
 )
 def _(spark, folder):
     values = _values(spark, folder)
     rows = grammar.candidate_features(grammar.property_profile(values, DIGITS), grammar.stability(values, DIGITS))
-    return rows.select("property", "dominant_format", "changed_pct", "values_per_row", "reading", "leakage_risk")
+    return rows.select("property", "dominant_format", "changed_pct", "values_per_row", "reading", "leakage_risk", "potential_use")
+
+
+@query(
+    "property_crosstab",
+    f"""WITH {PROFILE} SELECT property, """
+    + ", ".join(
+        f"count(*) FILTER (value_grammar = '{name}') AS {name}"
+        for name in "special_categoryid special_available mixed_hashed_text_and_numeric multi_hashed_text_tokens single_hashed_text_token encoded_numeric_only other_or_unexpected".split()
+    )
+    + " FROM classified GROUP BY property",
+)
+def _(spark, folder):
+    return grammar.grammar_crosstab(_values(spark, folder))
 
 
 @query(

@@ -347,10 +347,12 @@ def _(spark, folder):
 @query(
     "reco_random",
     f"""WITH {q.OHOLDOUT}, items AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT item_id FROM train)),
-    d AS (SELECT user_id, t, {q.draw(42, 'user_id', 't')} % (SELECT max(n) FROM items) AS idx FROM users CROSS JOIN range(1, 105) r(t)),
-    f AS (SELECT user_id, idx, min(t) AS t FROM d GROUP BY 1, 2)
-    SELECT user_id, item_id, 0e0 AS score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY t) AS INTEGER) AS rank
-    FROM f JOIN items USING (idx) QUALIFY rank <= 5""",
+p AS (WITH RECURSIVE p AS (SELECT user_id, 0 AS j, CAST([] AS BIGINT[]) AS drawn FROM users UNION ALL
+      SELECT user_id, j, list_append(drawn, r + len(list_filter(list_sort(drawn), lambda s, i: s - (i - 1) <= r))) FROM (
+        SELECT user_id, j + 1 AS j, drawn, {q.draw(42, 'user_id', 'j + 1')} % ((SELECT max(n) FROM items) - j) AS r FROM p WHERE j < 5))
+      SELECT * FROM p)
+    SELECT user_id, item_id, 0e0 AS score, CAST(rank AS INTEGER) AS rank
+    FROM (SELECT user_id, unnest(drawn) AS idx, generate_subscripts(drawn, 1) AS rank FROM p WHERE j = 5) JOIN items USING (idx)""",
 )
 def _(spark, folder):
     train, _, users = holdout(spark, folder, orders=True)
@@ -460,14 +462,14 @@ def _(spark, folder):
 @query("reco_latent")
 def _(spark, folder):
     weights, users = train_weights(spark, folder)
-    return rounded(latent.recommend_latent(latent.fit_latent(weights, rank=16), users, 10))
+    return rounded(latent.recommend_latent(latent.fit_latent(weights), users, 10))
 
 
 @query("reco_rerank")
 def _(spark, folder):
     train, _, users = holdout(spark, folder)
     weights = train.select(USER, ITEM, F.lit(1.0).alias("weight"))
-    return rounded(latent.neural_rerank(train, weights, users, 10, rank=16))
+    return rounded(latent.neural_rerank(train, weights, users, 10))
 
 
 # ---------------------------------------------------------------- metrics
@@ -625,7 +627,7 @@ def _(spark, folder):
 @query("model_comparison")
 def _(spark, folder):
     train, truth, _ = holdout(spark, folder)
-    metrics = comparison.compare_models(train, truth, comparison.model_registry(rank=16), KS)
+    metrics = comparison.compare_models(train, truth, comparison.model_registry(), KS)
     return metrics.withColumn("harmonic_mean", comparison.harmonic_mean())
 
 
@@ -668,7 +670,7 @@ def _(spark, folder):
     te AS (SELECT DISTINCT CAST(visitorid AS VARCHAR) AS user_id, CAST(itemid AS VARCHAR) AS item_id FROM ranged WHERE split = 'test'),
     ok AS (SELECT user_id, item_id FROM te WHERE user_id IN (SELECT user_id FROM train) AND item_id IN (SELECT item_id FROM train)
       AND (user_id, item_id) NOT IN (SELECT user_id, item_id FROM train)),
-    truth AS (SELECT * FROM ok WHERE user_id IN (SELECT DISTINCT user_id FROM ok ORDER BY user_id LIMIT 100)), users AS (SELECT DISTINCT user_id FROM truth),
+    truth AS (SELECT * FROM ok), users AS (SELECT DISTINCT user_id FROM truth),
     totals AS (SELECT item_id, CAST(count(*) AS DOUBLE) AS score FROM train GROUP BY 1), {UNSEEN_TOP.format(seen='train')},
     recs AS (SELECT * FROM ranked WHERE rank <= 10), {q.metric_ctes((10,))}
     SELECT """
@@ -680,7 +682,7 @@ def _(spark, folder):
     named = split.select(F.col("visitorid").cast("string").alias(USER), F.col("itemid").cast("string").alias(ITEM), "split").distinct()
     stored = materialise(named, "split")
     row = stages.evaluate(
-        lambda train, users, k: simple.popularity(train, users, k, exclude_seen=True), splits.part(stored, "train"), splits.part(stored, "test"), 10, 100
+        lambda train, users, k: simple.popularity(train, users, k, exclude_seen=True), splits.part(stored, "train"), splits.part(stored, "test"), 10, 0
     )
     return row.select(*(F.round(c, 6).alias(c) for c in row.columns))
 

@@ -101,13 +101,13 @@ def missing_inputs(spark: SparkSession, folder: str, names: Sequence[str]) -> li
 
 
 def load_interactions(spark: SparkSession, folder: str) -> DataFrame:
-    """Interactions of a folder: ``interactions.parquet``, any parquet, a CSV named after events, any CSV."""
+    """Interactions of a folder: ``interactions.parquet``, else all parquet files, a CSV named after events, any CSV."""
     files = _files(spark, folder)
     parquet = [p for n, p in files if n.endswith(".parquet")]
     csv = [(n, p) for n, p in files if n.endswith(".csv")]
     chosen = [p for n, p in files if n == "interactions.parquet"] or parquet
     if chosen:
-        return load_pairs(spark.read.parquet(chosen[0]))
+        return load_pairs(spark.read.parquet(*chosen))
     if csv:
         path = next((p for n, p in csv if "event" in n.lower()), csv[0][1])
         typed = {f.name: f for f in EVENT_SCHEMA.fields}

@@ -36,6 +36,11 @@ def scratch_folder(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the scratch folder, for files an application writes and reads again."""
+    return f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def materialise(frame: DataFrame, label: str, replaces: DataFrame | None = None) -> DataFrame:
     """Write ``frame`` as a parquet table and return the table.
 
@@ -45,7 +50,7 @@ def materialise(frame: DataFrame, label: str, replaces: DataFrame | None = None)
     is complete.
     """
     spark = frame.sparkSession
-    path = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     frame.write.parquet(path)
     table = spark.read.schema(frame.schema).parquet(path)
     _tables[table] = path
@@ -55,6 +60,12 @@ def materialise(frame: DataFrame, label: str, replaces: DataFrame | None = None)
     return table
 
 
+def discard(frame: DataFrame) -> None:
+    """Delete a table that :func:`materialise` returned and nothing will read again."""
+    if frame in _tables:
+        _delete(frame.sparkSession, _tables.pop(frame))
+
+
 def _delete(spark: SparkSession, name: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
