@@ -30,6 +30,10 @@ NEAR = 1.25
 #: frequent tokens that the order knows, and the copies within a chunk that make a token one
 FREQUENT, CHUNK_TOKENS, CHUNK_COPIES = 65_536, 500_000, 8
 STAR_ROUNDS = 2
+#: a bucket of more sets is crowded; tokens that only one set of the crowded buckets has are counted
+CROWD = 24
+#: parts that tokens fall into when what two sets of a crowded bucket can share is bounded
+CELLS = 32
 #: rows of ids that may be broadcast to thin a scan; more are joined by a shuffle
 BROADCAST_ROWS = 1_000_000
 OTHER_ORDERS = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -48,7 +52,7 @@ class WordHashes(dict):
     """64-bit hash per word, remembered up to a bounded number of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -227,6 +231,7 @@ def _groups(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
     bodies = bodies.dropDuplicates(_KEY).join(wanted.select("set", *_KEY), _KEY)
     bodies = materialise(bodies.select("set", "size", "body", *_ORDER_COLUMNS), "bodies")
 
+    probes = materialise(_with_cells(probes, bodies), "capped")
     links = None
     roots = None
     for turn in range(STAR_ROUNDS + 1):
@@ -240,22 +245,53 @@ def _groups(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
     return _labelled(rows, sets, links, roots)
 
 
+def _with_cells(probes: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Add ``most`` and ``cells``: how many tokens, in all and of each of CELLS parts, a set can share with others; else null.
+
+    Only sets of crowded buckets get them, for each other. Tokens that no second one has are not counted. In a
+    family of near copies they are the edits. Two sets share at most the
+    smaller count of every part, so copies with too many edits, or edits in too many places, do not meet.
+    """
+    crowded = probes.groupBy("token").agg(F.count("*").alias("sets")).filter(F.col("sets") > CROWD).select("token")
+    close = materialise(probes.join(crowded, "token", "left_semi").select("set").distinct(), "crowd")
+    tokens = bodies.join(close, "set", "left_semi").select("set", F.explode("body").alias("token"))
+    lone = tokens.groupBy("token").agg(F.count("*").alias("sets"), F.min("set").alias("set")).filter("sets = 1")
+    signed = tokens.select("set", "token", F.lit(1).alias("sign")).unionByName(lone.select("set", "token", F.lit(-1).alias("sign")))
+    part = F.col("token").bitwiseAND(F.lit(CELLS - 1))
+    counts = [F.sum(F.when(part == c, F.col("sign")).otherwise(0)).cast("int").alias(f"c{c}") for c in range(CELLS)]
+    counted = signed.groupBy("set").agg(F.sum("sign").alias("most"), *counts).select("set", "most", F.array(*(f"c{c}" for c in range(CELLS))).alias("cells"))
+    return probes.join(materialise(counted, "cells"), "set", "left").select("token", "set", "size", "most", "cells")
+
+
 def _with_root(frame: DataFrame, roots: DataFrame, node: str = "set") -> DataFrame:
     joined = frame.join(roots.select(F.col("node").alias(node), "root"), node, "left")
     return joined.withColumn("root", F.coalesce("root", F.col(node)))
 
 
-def _close(size: Column, other: Column, percent: int) -> Column:
-    """The sizes allow the similarity."""
-    return (F.least(size, other) * 100 >= F.greatest(size, other) * percent)
+def _close(one: str, other: str, percent: int) -> Column:
+    """The sizes allow the similarity, and so does what both sets can share where that is known; the dear test comes last."""
+    size, size_2, most, most_2, cells, cells_2 = (F.col(f"{side}{c}") for c in ("size", "most", "cells") for side in (one, other))
+    shared = F.aggregate(F.zip_with(cells, cells_2, lambda a, b: F.least(a, b)), F.lit(0), lambda total, n: total + n)
+    enough = lambda count: count * (100 + percent) >= (size + size_2) * percent
+    return (
+        F.when(F.least(size, size_2) * 100 < F.greatest(size, size_2) * percent, False)
+        .when(most.isNull() | most_2.isNull(), True)
+        .when(~enough(F.least(most, most_2)), False)
+        .otherwise(enough(shared))
+    )
 
 
 def _star_pairs(members: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Every set with at most one partner: of the buckets it is in, the hub of smallest random rank."""
-    rank = F.xxhash64(F.lit(turn), F.col("set"))
-    hub = F.min(F.struct(rank.alias("rank"), F.col("set").alias("hub"), F.col("size").alias("hub_size"), F.col("root").alias("hub_root")))
+    """Every set with at most one partner: of the buckets it is in, the hub of smallest rank.
+
+    The first hubs are the sets with the smallest share of tokens of their own,
+    ties and later hubs are random.
+    """
+    own = F.coalesce(F.floor((F.col("size") - F.col("most")) * 100 / F.col("size")), F.lit(0)) if turn == 0 else F.lit(0)
+    rank = F.struct(own.cast("long").alias("own"), F.xxhash64(F.lit(turn), F.col("set")).alias("draw"))
+    hub = F.min(F.struct(rank.alias("rank"), F.col("set").alias("hub"), F.col("size").alias("hub_size"), F.col("most").alias("hub_most"), F.col("cells").alias("hub_cells"), F.col("root").alias("hub_root")))
     hubs = members.groupBy("token").agg(hub.alias("h")).select("token", "h.*")
-    met = members.join(hubs, "token").filter((F.col("root") != F.col("hub_root")) & _close(F.col("size"), F.col("hub_size"), percent))
+    met = members.join(hubs, "token").filter((F.col("root") != F.col("hub_root")) & _close("", "hub_", percent))
     return met.groupBy(F.col("set").alias("a")).agg(F.min(F.struct("rank", "hub"))["hub"].alias("b"))
 
 
@@ -269,10 +305,10 @@ def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     largest = groups.groupBy("token").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count("*").alias("roots"))
     mixed_buckets = members.join(largest.filter("roots > 1"), "token")
     mixed_buckets = materialise(mixed_buckets, "buckets")
-    left = mixed_buckets.filter("root <> main").select("token", F.col("set").alias("a"), F.col("size").alias("a_size"), F.col("root").alias("a_root"))
-    right = mixed_buckets.select("token", F.col("set").alias("b"), F.col("size").alias("b_size"), F.col("root").alias("b_root"), "main")
+    left = mixed_buckets.filter("root <> main").select("token", F.col("set").alias("a"), F.col("size").alias("a_size"), F.col("most").alias("a_most"), F.col("cells").alias("a_cells"), F.col("root").alias("a_root"))
+    right = mixed_buckets.select("token", F.col("set").alias("b"), F.col("size").alias("b_size"), F.col("most").alias("b_most"), F.col("cells").alias("b_cells"), F.col("root").alias("b_root"), "main")
     either = (F.col("b_root") == F.col("main")) | (F.col("a") < F.col("b"))
-    met = left.join(right, "token").filter((F.col("a_root") != F.col("b_root")) & either & _close(F.col("a_size"), F.col("b_size"), percent))
+    met = left.join(right, "token").filter((F.col("a_root") != F.col("b_root")) & either & _close("a_", "b_", percent))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
