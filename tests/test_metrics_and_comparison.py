@@ -95,7 +95,7 @@ def test_gate(spark):
     assert gate(0.30, dry_run=True) == (True, False)
 
 
-def test_comparison_skips_failing_models(spark):
+def test_comparison_tells_of_failing_models(spark):
     train = spark.createDataFrame([("u1", "a", 1), ("u1", "b", 2), ("u2", "a", 3)], "user_id string, item_id string, timestamp long")
     held = truth(spark, {"u1": ["a"], "u2": ["b"]})
 
@@ -103,10 +103,16 @@ def test_comparison_skips_failing_models(spark):
         raise RuntimeError("no")
 
     models = {"popularity": lambda t, u, k: simple.popularity(t, u, k), "broken": broken}
-    result = comparison.compare_models(train, held, models, [1, 2])
-    assert {r["model"] for r in result.collect()} == {"popularity"}
+    with pytest.raises(RuntimeError):
+        comparison.compare_models(train, held, models, [1, 2])
+    result = comparison.compare_models(train, held, models, [1, 10], report_failures=True)
+    told = {(r["model"], r["status"], r["k"]): r["reason"] for r in result.collect()}
+    assert told == {("popularity", "done", 1): None, ("popularity", "done", 10): None, ("broken", "failed", None): "RuntimeError: no"}
+    assert [r["model"] for r in comparison.rank_models(result).collect()] == ["popularity"]
+    weighed = comparison.trade_off(result).first()
+    assert weighed["model"] == "popularity" and weighed["seconds"] > 0 and not weighed["dominated"]
     with pytest.raises(ValueError):
-        comparison.compare_models(train, held, {"broken": broken}, [1])
+        comparison.compare_models(train, held, {}, [1])
 
 
 def test_batch_inference(spark):

@@ -70,12 +70,12 @@ def _(spark, folder):
     return readers.read_category_tree(spark, _csv(category_tree(spark, folder), "tree", 2))
 
 
-@query("discovered_interactions", f"WITH {q.EV} SELECT CAST(visitorid AS VARCHAR) AS user_id, CAST(itemid AS VARCHAR) AS item_id, count(*) AS n FROM ev WHERE itemid IS NOT NULL GROUP BY 1, 2")
+@query("discovered_interactions", f"WITH {q.EV} SELECT DISTINCT CAST(visitorid AS VARCHAR) AS user_id, CAST(itemid AS VARCHAR) AS item_id FROM ev WHERE itemid IS NOT NULL")
 def _(spark, folder):
     """A folder of several parquet parts without an interactions file is read whole."""
     path = scratch_path(spark, "folder")
     writers.write_parquet(clicks(spark, folder).select("visitorid", "itemid", "timestamp").repartition(4), path)
-    return readers.load_interactions(spark, path).groupBy("user_id", "item_id").agg(F.count("*").alias("n"))
+    return readers.load_interactions(spark, path).select("user_id", "item_id")
 
 
 @query("parquet_sink_by_event", f"WITH {q.EV} SELECT event, event_id, timestamp FROM ev")
