@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -32,6 +33,9 @@ HEADLINE = (
     "reco_item_knn_weighted",
     "reco_ease",
     "metrics_multi_k",
+    "reco_item_knn",
+    "cooccurrence_orders",
+    "reco_logreg",
     "flagship_evaluation",
 )
 
@@ -39,7 +43,7 @@ HEADLINE = (
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 4))
-    spark = local_session(cores, shuffle_partitions=max(4, int(cores)), memory=os.environ.get("BENCH_MEMORY", "12g"))
+    spark = local_session(cores, shuffle_partitions=max(4, int(cores)), memory=os.environ.get("BENCH_MEMORY", "12g"), scratch=tempfile.mkdtemp(prefix="bench-"))
     spark.sparkContext.setLogLevel("ERROR")
     QUERIES["event_distribution"].plan(spark, folder).count()  # start the JVM paths before timing
     times = {}

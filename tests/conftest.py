@@ -10,8 +10,8 @@ from trailmark.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, shuffle_partitions=4, memory="6g")
+def spark(tmp_path_factory):
+    session = local_session(8, shuffle_partitions=4, memory="6g", scratch=str(tmp_path_factory.mktemp("scratch")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

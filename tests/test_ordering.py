@@ -153,3 +153,18 @@ def test_split_with_ties_and_nulls(spark, monkeypatch, parts, driver_rows):
 def test_internal_names_are_refused(spark):
     with pytest.raises(ValueError):
         dense_index(spark.range(3).withColumn("_tm_part", F.lit(1)), ["id"], "n")
+
+
+def test_hot_null_keys_are_cut(hot):
+    rng = random.Random(31)
+    rows = [(None if i % 2 else rng.randrange(60), i, rng.randrange(9)) for i in range(1500)]
+    frame = hot.createDataFrame(rows, "k int, t int, v int").repartition(5)
+    lanes = Lanes(frame, ["k"], ["t"])
+    sizes = lanes.result(), lanes.frame.groupBy("k", "_lane").agg(F.count("*").alias("n")).collect()
+    assert max(r.n for r in sizes[1]) <= 100 and sum(r.k is None for r in sizes[1]) > 5
+    out = lanes.neighbour({"before": "v"}, -1).running_sum("total", "v").row_number("nth").result().orderBy("t").collect()
+    last, total, nth = {}, {}, {}
+    for r in out:
+        total[r.k], nth[r.k] = total.get(r.k, 0) + r.v, nth.get(r.k, 0) + 1
+        assert (r.before, r.total, r.nth) == (last.get(r.k), total[r.k], nth[r.k])
+        last[r.k] = r.v

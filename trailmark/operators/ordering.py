@@ -27,7 +27,6 @@ POSITION_BITS = 33  # monotonically_increasing_id keeps the row position in its
 DRIVER_ROWS = 50_000  # rows of order keys the driver may hold to finish a rank search
 PIVOT_SAMPLE = 4_000
 HOT_GROUP_ROWS = 2_000_000  # rows of one key a single window task may sort
-MAX_HOT_KEYS = 20_000
 LANE_SAMPLE = 500_000
 CUTS_PER_BLOCK = 64
 
@@ -347,7 +346,7 @@ class Lanes:
         self.frame = materialise(self.frame, "lanes")
 
     def _with_carry(self, carry: DataFrame) -> None:
-        self.frame = self.frame.join(F.broadcast(carry), self.groups, "left")
+        self.frame = _join_keys(self.frame, F.broadcast(carry), self.groups, "left")
 
     def _lane_rows(self, *aggregates: Column) -> DataFrame:
         """One row per lane of the hot keys; bounded by the number of cuts."""
@@ -429,11 +428,20 @@ class Lanes:
         return self
 
 
+def _join_keys(frame: DataFrame, small: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on keys of which null equals null; the keys of ``small`` are left out."""
+    named = small.withColumnsRenamed({k: f"_tm_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_tm_{k}"))
+    return frame.join(named, same, how).drop(*(f"_tm_{k}" for k in keys))
+
+
 def _lane_cuts(frame: DataFrame, keys: list[str], order: list[str]) -> DataFrame | None:
-    """Cut points of the hot keys, or None when no key is hot.
+    """Cut points of the hot keys, null among them, or None when no key is hot.
 
-    At most ``MAX_HOT_KEYS`` keys are cut: any further key holds less than one
-    part in ``MAX_HOT_KEYS`` of the table. The sample only places the cuts.
+    There are at most as many hot keys as the table holds times the limit, and
+    about as many cuts. The sample only places the cuts.
     """
     spark = frame.sparkSession
     limit = hot_group_rows(spark)
@@ -441,8 +449,6 @@ def _lane_cuts(frame: DataFrame, keys: list[str], order: list[str]) -> DataFrame
         frame.groupBy(*keys)
         .agg(F.count("*").alias("_rows"))
         .filter(F.col("_rows") > limit)
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(MAX_HOT_KEYS)
         .collect()
     )
     if not hot:
@@ -451,12 +457,8 @@ def _lane_cuts(frame: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     key_schema = T.StructType([frame.schema[k] for k in keys])
     hot_frame = spark.createDataFrame(list(sizes), key_schema)
     fraction = min(1.0, 50 / limit, LANE_SAMPLE / sum(sizes.values()))
-    sample = (
-        frame.select(*keys, *(c for c in order if c not in keys))
-        .join(F.broadcast(hot_frame), keys, "left_semi")
-        .sample(fraction=fraction, seed=7)
-        .collect()
-    )
+    slim = frame.select(*keys, *(c for c in order if c not in keys))
+    sample = _join_keys(slim, F.broadcast(hot_frame), keys, "left_semi").sample(fraction=fraction, seed=7).collect()
     points: dict[tuple, list[tuple]] = {}
     for r in sample:
         points.setdefault(tuple(r[k] for k in keys), []).append(tuple(r[c] for c in order))
@@ -478,7 +480,7 @@ def _assign_lanes(frame: DataFrame, keys: list[str], order: list[str], cuts: Dat
     block = F.slice("_cuts", blocks * CUTS_PER_BLOCK + 1, F.lit(CUTS_PER_BLOCK))
     lane = blocks * CUTS_PER_BLOCK + F.size(F.filter(block, lambda c: c <= row))
     return (
-        frame.join(F.broadcast(cuts), keys, "left")
+        _join_keys(frame, F.broadcast(cuts), keys, "left")
         .withColumn("_lane", F.when(F.col("_cuts").isNull(), F.lit(-1)).otherwise(lane))
         .drop("_cuts", "_blocks")
     )

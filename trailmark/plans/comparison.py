@@ -179,9 +179,13 @@ def batch_recommend(users: DataFrame, recommend: Callable[[DataFrame, int], Data
         users = users.withColumnRenamed(users.columns[0], USER)
     limit = F.coalesce(F.col("limit").cast("int"), F.lit(default_limit)) if "limit" in users.columns else F.lit(default_limit)
     wanted = users.select(F.col(USER).cast("string").alias(USER), limit.alias("_limit"))
-    longest = wanted.agg(F.max("_limit")).first()[0] or default_limit
-    lists = recommend(wanted.select(USER).distinct(), longest)
-    cut = lists.join(wanted.groupBy(USER).agg(F.max("_limit").alias("_limit")), USER).filter(F.col("rank") <= F.col("_limit"))
+    # users are served in classes of doubling limits, so that a long wish does not lengthen the lists of all others
+    most = wanted.groupBy(USER).agg(F.max("_limit").alias("_limit")).withColumn("_class", F.ceil(F.log2(F.greatest(F.col("_limit"), F.lit(1)))).cast("int"))
+    most = materialise(most, "limits")
+    classes = sorted(r["_class"] for r in most.select("_class").distinct().collect())
+    parts = [recommend(most.filter(F.col("_class") == c).select(USER), 2**c) for c in classes]
+    lists = reduce(DataFrame.unionByName, parts or [recommend(most.select(USER), default_limit)])
+    cut = lists.join(most, USER).filter(F.col("rank") <= F.col("_limit"))
     return wanted.select(USER).join(as_lists(cut), USER, "left").select(
         USER, F.coalesce("recommendations", F.array().cast("array<string>")).alias("recommendations")
     )

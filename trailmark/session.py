@@ -28,8 +28,8 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A local session for tests and the benchmark."""
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", scratch: str | None = None) -> SparkSession:
+    """A local session for tests and the benchmark; ``scratch`` is its spark.checkpoint.dir."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("trailmark")
@@ -38,4 +38,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
+    if scratch:
+        builder = builder.config("spark.checkpoint.dir", scratch)
     return configure(builder.getOrCreate())
