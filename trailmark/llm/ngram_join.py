@@ -5,10 +5,11 @@ token among the first ones of each. One order, which puts rare tokens first,
 makes the candidates; they must also share a first token under the other orders
 before the sets are compared.
 
-The first order: tokens with a small hash ("near" tokens) by the number of sets
-that hold them, then all others by hash, and last the most frequent ones. Only
-near tokens have to be counted for it. Any choice of near and frequent tokens
-gives the same result; they decide the work.
+The first order: tokens with a small hash ("near" tokens), those that can link
+no two sets before all others and these by the number of sets that hold them,
+then all other tokens by hash, and last the most frequent ones. Only near tokens
+have to be counted for it. Any choice of near and frequent tokens gives the same
+result; they decide the work.
 """
 
 from __future__ import annotations
@@ -216,8 +217,10 @@ def _groups(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
     once = _thinned(some.select(F.col("row").alias("set"), "size", "first"), again, F.col("set") == F.col("_again"), "left_anti")
 
     tokens = once.select("set", "size", F.size("first").alias("held"), F.explode("first").alias("token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1")
-    shared = materialise(tokens.join(counts, "token"), "shared")
+    # a token of one set, or of two whose sizes do not allow a link, is in no link; in the order such tokens come first
+    counts = tokens.groupBy("token").agg(F.count("*").alias("sets"), F.min("size").alias("low"), F.max("size").alias("high"))
+    counts = counts.filter((F.col("sets") > 2) | ((F.col("sets") == 2) & (F.col("low") * 100 >= F.col("high") * percent)))
+    shared = materialise(tokens.join(counts.select("token", "sets"), "token"), "shared")
     need = F.col("size") - F.floor((F.col("size") * percent + 99) / 100) + 1
     unshared = F.col("held") - F.count("*").over(Window.partitionBy("set"))
     place = F.row_number().over(Window.partitionBy("set").orderBy("sets", "token"))
