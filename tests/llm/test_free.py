@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.brute import best_tiles, jaccard_components, shingle_set
@@ -203,6 +204,16 @@ def test_pseudo_likelihood(spark):
     assert pseudo_likelihood.score_documents(docs.limit(0)).count() == 0
 
 
+def test_rounds_train_on_every_token_once():
+    texts = [" ".join(VOCABULARY[:n]) for n in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["_text"])
+    flat, seen = pseudo_likelihood.first_weights([], 0), 0
+    for turn in range(pseudo_likelihood.ROUNDS):
+        for told in pseudo_likelihood._trained((), flat, turn)([batch]):
+            seen += told.column("tokens")[0].as_py()
+    assert seen == sum(range(20))
+
+
 def test_scores_are_sums_of_conditionals():
     rng = np.random.default_rng(2)
     flat = rng.normal(0, 0.3, sum(int(np.prod(s)) for s in pseudo_likelihood.SHAPES)).astype(np.float32)

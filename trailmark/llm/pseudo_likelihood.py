@@ -3,7 +3,8 @@
 The vocabulary comes from counts over the whole corpus. The network (summed
 position embeddings, tanh, softmax) is trained in numpy on every partition from
 common weights; the weights are averaged by trained tokens in Spark, ROUNDS
-times. A text's score is the sum of the log-probabilities of its tokens.
+times. The rounds share the positions of a text, so that every token of every
+text is a target once. A text's score is the sum of the log-probabilities of its tokens.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from pyspark.sql import functions as F
 WORDS, RARE = 192, 64
 OFFSETS = (-2, -1, 1, 2)
 WIDTH = 16
-ROUNDS, STRIDE = 2, 16  # each round trains on every STRIDE-th token of every document
+ROUNDS = 2  # round r trains on positions r, r + ROUNDS, ... of every text
 BATCH, RATE = 512, 0.5
-CHUNK = 8192
+CHUNK = 1024
 FLUSH = 200_000  # distinct words a task counts before it passes the counts on
 PART = 512  # weights per row while averaging
 TOKENS = WORDS + RARE
@@ -89,27 +90,42 @@ def contexts(ids: np.ndarray, places: np.ndarray) -> np.ndarray:
     return np.stack([padded[places + reach + o] for o in OFFSETS])
 
 
-def forward(parts: list[np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hidden state and log-probabilities of all tokens."""
+def _logits(parts: list[np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     table, shift, output, bias = parts
     hidden = np.tanh(sum(table[k][around[k]] for k in range(len(OFFSETS))) + shift)
-    logits = np.clip(hidden @ output + bias, -60, 60)
+    logits = hidden @ output
+    logits += bias
+    return hidden, np.clip(logits, -60, 60, out=logits)
+
+
+def forward(parts: list[np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hidden state and log-probabilities of all tokens."""
+    hidden, logits = _logits(parts, around)
     return hidden, logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
 
+def target_log_p(parts: list[np.ndarray], around: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log-probability of each target."""
+    _, logits = _logits(parts, around)
+    picked = logits[np.arange(len(target)), target]
+    return picked - np.log(np.exp(logits, out=logits).sum(axis=1))
+
+
 def learn(parts: list[np.ndarray], around: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One step of gradient descent on the mean negative log-probability."""
     table, shift, output, bias = parts
-    hidden, log_p = forward(parts, around)
-    error = np.exp(log_p)
+    hidden, error = _logits(parts, around)
+    np.exp(error, out=error)
+    error /= error.sum(axis=1, keepdims=True)
     error[np.arange(len(target)), target] -= 1
     error /= len(target)
     back = (error @ output.T) * (1 - hidden * hidden)
     output -= rate * (hidden.T @ error)
     bias -= rate * error.sum(axis=0)
     shift -= rate * back.sum(axis=0)
-    for k in range(len(OFFSETS)):
-        np.add.at(table[k], around[k], -rate * len(OFFSETS) * back)
+    cells = (np.arange(len(OFFSETS))[:, None] * (TOKENS + 1) + around)[:, :, None] * WIDTH + np.arange(WIDTH)
+    step = (-rate * len(OFFSETS) * back).astype(table.dtype)
+    np.add.at(table.reshape(-1), cells.ravel(), np.broadcast_to(step, cells.shape).ravel())
 
 
 def _counted(batches):
@@ -143,7 +159,7 @@ def _trained(words, flat, turn):
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 ids = ids_of(text, tokens)
-                places = np.arange((turn * (STRIDE // ROUNDS) + len(ids)) % STRIDE, len(ids), STRIDE)
+                places = np.arange(turn, len(ids), ROUNDS)
                 arounds.append(contexts(ids, places))
                 targets.append(ids[places])
                 waiting += len(places)
@@ -179,8 +195,7 @@ class WindowModel:
         ids, total = ids_of(text, tokens), 0.0
         for start in range(0, len(ids), CHUNK):
             places = np.arange(start, min(start + CHUNK, len(ids)))
-            _, log_p = forward(parts, contexts(ids, places))
-            total += float(log_p[np.arange(len(places)), ids[places]].sum(dtype=np.float64))
+            total += float(target_log_p(parts, contexts(ids, places), ids[places]).sum(dtype=np.float64))
         return len(ids), total
 
 
