@@ -1,6 +1,7 @@
 """Decontamination, language-model scoring, quality, n-gram join and language id on small tables."""
 
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -214,6 +215,22 @@ def test_rounds_train_on_every_token_once():
     assert seen == sum(range(20))
 
 
+def test_every_word_has_its_own_probability(spark, monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "PLACES", 50)
+    bucket = lambda w: zlib.crc32(w.encode()) % pseudo_likelihood.RARE
+    one = "rare0"
+    two = next(w for w in (f"rare{i}" for i in range(1, 5000)) if bucket(w) == bucket(one))
+    frequent = [f"f{i}" for i in range(pseudo_likelihood.WORDS)]
+    rows = [(i, " ".join(frequent * 10)) for i in range(4)] + [(10, f"f0 {one} f1"), (11, f"f0 {two} f1"), (12, f"{one} " * 4 + f"{two} x"), (None, f"f0 {two} f1"), (11, f"{two}")]
+    out = {r.doc_id: r for r in pseudo_likelihood.score_documents(documents(spark, rows[:-1])).collect()}
+    assert abs(out[10].log_prob - out[11].log_prob - np.log(5 / 3)) < 1e-4
+    assert abs(out[11].log_prob - out[None].log_prob) < 1e-4
+    counts = pseudo_likelihood.word_counts(documents(spark, rows))
+    shares = {bytes(r.word).decode(): np.exp(r.within) for r in pseudo_likelihood.within_buckets(counts, tuple(f.encode() for f in frequent)).collect()}
+    of = {b: sum(p for w, p in shares.items() if bucket(w) == b) for b in map(bucket, shares)}
+    assert shares.keys() == {one, two, "x"} and all(abs(p - 1) < 1e-9 for p in of.values())
+
+
 def test_scores_are_sums_of_conditionals():
     rng = np.random.default_rng(2)
     flat = rng.normal(0, 0.3, sum(int(np.prod(s)) for s in pseudo_likelihood.SHAPES)).astype(np.float32)

@@ -4,23 +4,30 @@ The vocabulary comes from counts over the whole corpus. The network (summed
 position embeddings, tanh, softmax) is trained in numpy on every partition from
 common weights; the weights are averaged by trained tokens in Spark, ROUNDS
 times. The rounds share the positions of a text, so that every token of every
-text is a target once. A text's score is the sum of the log-probabilities of its tokens.
+text is a target once.
+
+The network tells frequent words and buckets of rare ones. A rare word's
+probability is that of its bucket times its share of the bucket's occurrences,
+joined from the counts of all words, so that every word has its own. A text's
+score is the sum of the log-probabilities of its words.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
 from dataclasses import dataclass
+from itertools import accumulate, chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from trailmark.storage import materialise
 
-#: the most frequent words are tokens of their own, all others share RARE hash buckets
+#: the most frequent words are tokens of the network, all others share RARE of its tokens
 WORDS, RARE = 192, 64
 OFFSETS = (-2, -1, 1, 2)
 WIDTH = 16
@@ -28,6 +35,7 @@ ROUNDS = 2  # round r trains on positions r, r + ROUNDS, ... of every text
 BATCH, RATE = 512, 0.5
 CHUNK = 1024
 FLUSH = 200_000  # distinct words a task counts before it passes the counts on
+PLACES = 500_000  # rare words of texts a task holds before it passes them on
 PART = 512  # weights per row while averaging
 TOKENS = WORDS + RARE
 EDGE = TOKENS  # stands for what lies beyond the ends of a text
@@ -132,7 +140,6 @@ def _counted(batches):
     counts: Counter = Counter()
 
     def told():
-        counts[None] = sum(counts.values())  # all words together
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "count"])
 
     for batch in batches:
@@ -144,12 +151,25 @@ def _counted(batches):
     yield told()
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[list[tuple[bytes, int]], int]:
-    """The WORDS most frequent words of all texts with their counts, and the number of all words; ties go to the smaller word."""
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Every word of all texts and its count (word, count), stored."""
     counted = docs.select(F.col(text_col).alias("_text")).mapInArrow(_counted, "word binary, count long")
-    top = counted.groupBy("word").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "word").limit(WORDS + 1).collect()
-    total = sum(r["count"] for r in top if r["word"] is None)
-    return [(bytes(r["word"]), r["count"]) for r in top if r["word"] is not None][:WORDS], total
+    return materialise(counted.groupBy("word").agg(F.sum("count").alias("count")), "words")
+
+
+def vocabulary(counts: DataFrame) -> tuple[list[tuple[bytes, int]], int]:
+    """The WORDS most frequent words with their counts, and the number of all words; ties go to the smaller word."""
+    top = counts.orderBy(F.desc("count"), "word").limit(WORDS).collect()
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    return [(bytes(r["word"]), r["count"]) for r in top], total
+
+
+def within_buckets(counts: DataFrame, words: tuple[bytes, ...]) -> DataFrame:
+    """Every word outside of ``words`` and the logarithm of its share of its bucket (word, within)."""
+    known = counts.sparkSession.createDataFrame([(bytearray(w),) for w in words], "word binary")
+    rare = counts.join(F.broadcast(known), "word", "left_anti").withColumn("bucket", F.crc32("word") % RARE)
+    totals = rare.groupBy("bucket").agg(F.sum("count").alias("total"))
+    return rare.join(F.broadcast(totals), "bucket").select("word", F.log(F.col("count") / F.col("total")).alias("within"))
 
 
 def _trained(words, flat, turn):
@@ -191,7 +211,7 @@ class WindowModel:
     flat: np.ndarray
 
     def log_probability(self, text: bytes | None, tokens: TokenIds, parts: list[np.ndarray]) -> tuple[int, float]:
-        """Number of tokens and the sum of their conditional log-probabilities over the whole text."""
+        """Number of tokens and the sum of their conditional log-probabilities over the whole text; for a rare word that of its bucket."""
         ids, total = ids_of(text, tokens), 0.0
         for start in range(0, len(ids), CHUNK):
             places = np.arange(start, min(start + CHUNK, len(ids)))
@@ -199,9 +219,9 @@ class WindowModel:
         return len(ids), total
 
 
-def train(docs: DataFrame, text_col: str = "text") -> WindowModel:
-    """Count, then train over all documents; only the vocabulary and the averaged weights reach the driver."""
-    counted, total = vocabulary(docs, text_col)
+def train(docs: DataFrame, counts: DataFrame, text_col: str = "text") -> WindowModel:
+    """Train over all documents; only the frequent words and the averaged weights reach the driver."""
+    counted, total = vocabulary(counts)
     words = tuple(w for w, _ in counted)
     flat = first_weights([c for _, c in counted], total)
     texts = docs.select(F.col(text_col).alias("_text"))
@@ -216,20 +236,38 @@ def train(docs: DataFrame, text_col: str = "text") -> WindowModel:
     return WindowModel(words, flat)
 
 
-SCORE = "struct<n_tokens:bigint,log_prob:double>"
-
+def _scored(model: WindowModel, kind: pa.DataType):
+    """A row (row, doc_id, n_tokens, log_prob) per text, and rows (word, rows): the texts of a rare word, once per occurrence."""
+    names = ["row", "doc_id", "n_tokens", "log_prob", "word", "rows"]
 
-def score(model: WindowModel, text: Column) -> Column:
-    """n_tokens and log_prob of every text; null and empty texts have no tokens and log_prob 0."""
+    def places(rare):
+        offsets = pa.array(accumulate(map(len, rare.values()), initial=0), pa.int32())
+        rows = pa.ListArray.from_arrays(offsets, pa.array(chain.from_iterable(rare.values()), pa.int64()))
+        empty = [pa.nulls(len(rare), t) for t in (pa.int64(), kind, pa.int64(), pa.float64())]
+        return pa.RecordBatch.from_arrays([*empty, pa.array(list(rare), pa.binary()), rows], names)
 
-    @F.pandas_udf(SCORE)
-    def told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches):
         tokens, parts = TokenIds(model.words), unpacked(model.flat)
-        for texts in batches:
-            rows = [model.log_probability(t.encode("utf-8", "replace") if t else None, tokens, parts) for t in texts]
-            yield pd.DataFrame(rows, columns=["n_tokens", "log_prob"])
+        rare, held = defaultdict(list), 0
+        for batch in batches:
+            told = []
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
+                words = words_of(text)
+                told.append(model.log_probability(text, tokens, parts))
+                for word in words:
+                    if word not in tokens.words:
+                        rare[word].append(row)
+                        held += 1
+                        if held >= PLACES:
+                            yield places(rare)
+                            rare, held = defaultdict(list), 0
+            size = len(told)
+            numbers = [pa.array([n for n, _ in told], pa.int64()), pa.array([p for _, p in told], pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, pa.nulls(size, pa.binary()), pa.nulls(size, pa.list_(pa.int64()))], names)
+        if rare:
+            yield places(rare)
 
-    return told(text)
+    return run
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,7 +277,16 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mean_log_prob (null without tokens). Words are split at ASCII white space
     and A-Z lower-cased. Other columns are ignored; no rows give no rows.
     """
-    model = train(docs, text_col)
-    told = docs.select(F.col(id_col).alias("doc_id"), score(model, F.col(text_col)).alias("s"))
-    mean = F.when(F.col("s.n_tokens") > 0, F.col("s.log_prob") / F.col("s.n_tokens")).alias("mean_log_prob")
-    return told.select("doc_id", "s.n_tokens", "s.log_prob", mean)
+    counts = word_counts(docs, text_col)
+    model = train(docs, counts, text_col)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
+    id_type = rows.schema["doc_id"].dataType
+    schema = f"row long, doc_id {id_type.simpleString()}, n_tokens long, log_prob double, word binary, rows array<long>"
+    scored = materialise(rows.mapInArrow(_scored(model, to_arrow_type(id_type)), schema), "scored")
+    rare = scored.filter("word IS NOT NULL").select("word", "rows")
+    shares = rare.join(within_buckets(counts, model.words), "word").select(F.explode("rows").alias("row"), "within")
+    shares = shares.groupBy("row").agg(F.sum("within").alias("within"))
+    told = scored.filter("word IS NULL").select("row", "doc_id", "n_tokens", "log_prob").join(shares, "row", "left")
+    told = told.select("doc_id", "n_tokens", (F.col("log_prob") + F.coalesce("within", F.lit(0.0))).alias("log_prob"))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob")
+    return told.select("doc_id", "n_tokens", "log_prob", mean)
