@@ -156,6 +156,33 @@ def test_quality(spark):
     assert quality.rate(docs, none).count() == 604 and quality.rate(docs.limit(0), model).count() == 0
 
 
+def prose(rng, words):
+    return " ".join(rng.choice(words) for _ in range(rng.randrange(20, 200)))
+
+
+def test_quality_of_long_texts_is_that_of_their_parts():
+    rng = random.Random(5)
+    both = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 9))) for _ in range(3000)] for _ in range(2)]
+    for share in (0.3, 0.7):
+        sample = [(int(rng.random() < share), i) for i in range(900)]
+        model = quality.fit([(q, prose(rng, both[q])) for q, _ in sample])
+        features = model.features()
+        score = lambda t: 1 / (1 + np.exp(-np.dot(features.of(t), model.weights)))
+        for label in (0, 1):
+            for length in (15_000, 300_000, 900_000):
+                text = ""
+                while len(text) < length:
+                    text += prose(rng, both[label]) + " "
+                assert (score(text) > 0.9) if label else (score(text) < 0.1)
+
+
+def test_quality_calibrates_on_long_texts(spark):
+    rows = [(i, "word%d " % (i % 7) * 4000) for i in range(90)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(90)], "doc_id long, quality int, toxic int")
+    model = quality.train(documents(spark, rows), labels)
+    assert model.weights != quality.fit([]).weights
+
+
 def test_quality_learns_from_its_fold_only(spark):
     docs = documents(spark, [(i, good_text(random.Random(i))) for i in range(60)])
     labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")

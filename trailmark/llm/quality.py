@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +17,8 @@ from trailmark.llm.sampling import labelled_sample, sample_texts
 #: the bound on what the classifier is fitted on: rows per label, and characters of a text
 SAMPLE_ROWS, SAMPLE_CHARS = 3000, 20_000
 DICTIONARY_BYTES, LEVEL = 65_536, 3
+#: most bytes compressed at once: a dictionary helps at the start of what is compressed, so long texts are cut into equal pieces
+PIECE_BYTES = 8192
 FOLDS, HELD = 3, 1
 
 
@@ -44,7 +46,9 @@ class TextFeatures:
         data = text.encode("utf-8", "replace") if text else b""
         if not data:
             return 1.0, 0.0, 0.0
-        good, bad = (len(c.compress(data)) for c in self.pair)
+        pieces = -(-len(data) // PIECE_BYTES)
+        cuts = [len(data) * k // pieces for k in range(pieces + 1)]
+        good, bad = (sum(len(c.compress(data[a:b])) for a, b in zip(cuts, cuts[1:])) for c in self.pair)
         return 1.0, (bad - good) / max(good, bad), (bad - good) / len(data)
 
 
@@ -65,9 +69,11 @@ def build_dictionary(texts: Sequence[bytes], size: int = DICTIONARY_BYTES) -> tu
         return (raw if len(raw) >= 8 else b""), False
 
 
-def fit(sample: Sequence[tuple[int, str]]) -> CompressionModel:
+def fit(sample: Sequence[tuple[int, str]], more: Callable[[CompressionModel], Sequence[tuple[int, tuple[float, float, float]]]] = lambda _: ()) -> CompressionModel:
     """Dictionaries from two thirds of the sample, calibration by logistic regression on the rest.
 
+    ``more`` tells label and features of further texts to calibrate on, given the dictionaries.
+
     The ridge keeps weights finite; the intercept alone (the smoothed share of
     good texts) remains where a class is missing.
     """
@@ -76,8 +82,9 @@ def fit(sample: Sequence[tuple[int, str]]) -> CompressionModel:
     books = [build_dictionary([t.encode("utf-8", "replace") for q, t in learn if q == label and t]) for label in (1, 0)]
     model = CompressionModel(books[0][0], books[1][0], (books[0][1], books[1][1]), (0.0, 0.0, 0.0))
     features = model.features()
-    x = np.array([features.of(t) for _, t in check]).reshape(-1, 3)
-    y = np.array([float(q) for q, _ in check])
+    known = [(q, features.of(t)) for q, t in check] + list(more(model))
+    x = np.array([f for _, f in known]).reshape(-1, 3)
+    y = np.array([float(q) for q, _ in known])
     weights = np.zeros(3)
     ridge = np.array([1e-2, 1e-3, 1e-3])
     for _ in range(50):
@@ -92,11 +99,32 @@ def fit(sample: Sequence[tuple[int, str]]) -> CompressionModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE_ROWS) -> CompressionModel:
-    """Fit on a bounded sample of labelled rows outside of the held-out fold."""
+    """Fit on a bounded sample of labelled rows outside of the held-out fold.
+
+    Texts of the sample over SAMPLE_CHARS calibrate: their features are taken in tasks, over the whole text.
+    """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"))
     known = known.filter(F.col("label").isin(0, 1) & learnable(F.col("doc_id"), FOLDS, HELD))
     picked = labelled_sample(known, "label", rows, "quality")
-    return fit(sample_texts(docs, picked, id_col, text_col, SAMPLE_CHARS, "label"))
+    text = F.col(text_col)
+    long = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text")).filter(F.length(text) > SAMPLE_CHARS)
+    long = long.join(F.broadcast(picked), "doc_id").select("_key", "label", "_text").distinct()
+
+    def calibration(model: CompressionModel):
+        rows = long.select("_key", "label", text_features(model, F.col("_text")).alias("f")).collect()
+        return [(r["label"], tuple(r["f"])) for r in sorted(rows, key=lambda r: (r["_key"], r["label"], tuple(r["f"])))]
+
+    return fit(sample_texts(docs, picked, id_col, text_col, SAMPLE_CHARS, "label"), calibration)
+
+
+def text_features(model: CompressionModel, text: Column) -> Column:
+    @F.pandas_udf("array<double>")
+    def told(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        features = model.features()
+        for texts in batches:
+            yield pd.Series([list(features.of(t)) for t in texts])
+
+    return told(text)
 
 
 def quality_score(model: CompressionModel, text: Column) -> Column:
