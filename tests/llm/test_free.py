@@ -105,6 +105,18 @@ def test_components_match_brute_force(spark, monkeypatch, n, percent, rounds):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _, c in expected if i == c)
 
 
+@pytest.mark.parametrize("n,percent,block", [(3, 90, 256), (5, 80, 4), (2, 60, 3)])
+def test_links_match_brute_force(spark, monkeypatch, n, percent, block):
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
+    texts = near_copies(random.Random(n)) + [None, "", "a b", "A b"]
+    texts += texts[:5]
+    sets = [shingle_set(t, n) for t in texts]
+    similar = lambda a, b: a != b and 100 * len(a & b) >= percent * len(a | b)
+    expected = [(i, sum(bool(s and o) and similar(s, o) for o in set(sets))) for i, s in enumerate(sets)]
+    docs = documents(spark, enumerate(texts))
+    assert sorted((r.doc_id, r.links) for r in ngram_join.similar_groups(docs, n, percent).collect()) == expected
+
+
 def test_shuffled_filters_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (None, "x"), (None, None), (3, "y")]

@@ -35,6 +35,8 @@ STAR_ROUNDS = 2
 CROWD = 24
 #: parts that tokens fall into when what two sets of a crowded bucket can share is bounded
 CELLS = 32
+#: sets and shingles, about, in a block of a component whose pairs are counted
+BLOCK_SETS, BLOCK_SHINGLES = 256, 500_000
 #: rows of ids that may be broadcast to thin a scan; more are joined by a shuffle
 BROADCAST_ROWS = 1_000_000
 OTHER_ORDERS = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -188,19 +190,20 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     share a first token; what they join needs no further comparison, so that a
     large group of near copies costs a few comparisons per copy. All pairs of
     still different components that share a first token then pass the filters
-    and are compared, so that no link is lost.
+    and are compared, so that no link is lost. Links are then counted in each
+    component over all pairs of its sets, block by block.
 
     Returns one row per row of ``docs``: doc_id, n_shingles, component_id (the
-    smallest doc_id of the component; null if all are null), links (partners
-    this run compared and found similar, among distinct sets). Null texts and
+    smallest doc_id of the component; null if all are null), links (all other
+    distinct sets that are similar). Null texts and
     texts without words have no shingles and stay alone. Other columns are
     ignored; no rows give no rows.
     """
-    return _groups(docs, n, percent, id_col, text_col).drop("text_hash")
+    return _groups(docs, n, percent, id_col, text_col, counted=True).drop("text_hash")
 
 
-def _groups(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """As :func:`similar_groups`, with a hash of the text to find rows again."""
+def _groups(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, counted: bool = False) -> DataFrame:
+    """As :func:`similar_groups`, with a hash of the text to find rows again; links only where ``counted``."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     frequent = slim.select("_text").mapInArrow(_frequent_rows(n, percent), "token long, copies long")
@@ -245,7 +248,7 @@ def _groups(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
         found = materialise(found, "found")
         links = found if links is None else links.unionByName(found)
         roots = materialise(components(links), "roots")
-    return _labelled(rows, sets, links, roots)
+    return _labelled(rows, sets, _link_counts(bodies, roots, percent) if counted else None, roots)
 
 
 def _with_cells(probes: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -330,14 +333,89 @@ def _verified(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
     return both.filter(common * F.lit(100).cast("long") >= union * F.lit(percent).cast("long")).select("a", "b")
 
 
-def _labelled(rows: DataFrame, sets: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
-    ends = links.select(F.col("a").alias("set")).unionByName(links.select(F.col("b").alias("set"))).groupBy("set").agg(F.count("*").alias("links"))
+def _link_counts(bodies: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """How many other sets each linked set is similar to (set, links).
+
+    All links lie within components. Two sets of one component are linked;
+    larger components are dealt into blocks, and each task counts the pairs of
+    two blocks and tells one row per set.
+    """
+    members = materialise(roots.join(bodies.select(F.col("set").alias("node"), "size", "body"), "node"), "members")
+    held = members.groupBy("root").agg(F.count("*").alias("sets"), F.sum("size").alias("shingles"))
+    held = materialise(held, "held")
+    placed = members.join(held, "root")
+    pairs = placed.filter("sets = 2").select(F.col("node").alias("set"), F.lit(1).cast("long").alias("links"))
+    blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    dealt = placed.filter("sets > 2").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    dealt = dealt.select("root", low, high, F.col("node").alias("set"), "block", "body").repartition("root", "low", "high")
+    dealt = dealt.sortWithinPartitions("root", "low", "high", "block")
+    counts = dealt.mapInArrow(_block_rows(percent), "set long, links long").groupBy("set").agg(F.sum("links").alias("links"))
+    return pairs.unionByName(counts)
+
+
+def _block_rows(percent):
+    def told(key, sets, blocks, bodies):
+        links = similar_counts(bodies, np.array(blocks), key[1] != key[2], percent)
+        return pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(links, pa.int64())], ["set", "links"])
+
+    def run(batches):
+        key, sets, blocks, bodies = None, [], [], []
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(5)]
+            body = batch.column(5)
+            for at, (root, low, high, node, block) in enumerate(zip(*columns)):
+                if key != (root, low, high):
+                    if sets:
+                        yield told(key, sets, blocks, bodies)
+                    key, sets, blocks, bodies = (root, low, high), [], [], []
+                sets.append(node)
+                blocks.append(block)
+                bodies.append(body[at].values.to_numpy())
+        if sets:
+            yield told(key, sets, blocks, bodies)
+
+    return run
+
+
+def similar_counts(bodies: list[np.ndarray], blocks: np.ndarray, across: bool, percent: int) -> np.ndarray:
+    """For each set the number of similar ones, ``across`` in other blocks only."""
+    sizes = np.array([len(b) for b in bodies], np.int64)
+    owners = np.repeat(np.arange(len(bodies)), sizes)
+    tokens = np.concatenate(bodies)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owners = tokens[order], owners[order]
+    starts = np.concatenate([[0], np.flatnonzero(tokens[1:] != tokens[:-1]) + 1, [len(tokens)]])
+    # tokens that the same sets hold are counted together
+    runs: dict[bytes, int] = {}
+    for a, b in zip(starts[:-1], starts[1:]):
+        if b - a > 1:
+            holders = owners[a:b].tobytes()
+            runs[holders] = runs.get(holders, 0) + 1
+    common = np.zeros((len(bodies), len(bodies)), np.int64)
+    for holders, times in runs.items():
+        held = np.frombuffer(holders, owners.dtype)
+        common[held[:, None], held] += times
+    union = sizes[:, None] + sizes - common
+    similar = common * 100 >= union * percent
+    np.fill_diagonal(similar, False)
+    if across:
+        similar &= blocks[:, None] != blocks
+    return similar.sum(axis=1)
+
+
+def _labelled(rows: DataFrame, sets: DataFrame, counts: DataFrame | None, roots: DataFrame) -> DataFrame:
     placed = _with_root(sets, roots)
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialise(placed.join(least, "root").join(ends, "set", "left").select(*_KEY, "component_id", F.coalesce("links", F.lit(0)).alias("links")), "named")
+    named, links = placed.join(least, "root"), []
+    if counts is not None:
+        links = [F.coalesce("links", F.lit(0)).cast("long").alias("links")]
+        named = named.join(counts, "set", "left")
+    named = materialise(named.select(*_KEY, "component_id", *links), "named")
     told = rows.select("doc_id", "text_hash", *_KEY).join(named, _KEY, "left")
     alone = F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return told.select("doc_id", F.col("size").alias("n_shingles"), alone.alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), "text_hash")
+    return told.select("doc_id", F.col("size").alias("n_shingles"), alone.alias("component_id"), *links, "text_hash")
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
