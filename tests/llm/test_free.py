@@ -220,6 +220,16 @@ def test_language(spark):
     assert {r.p.lang_pred for r in docs.select(language_id.predict(none, docs.text).alias("p")).collect()} == {"und"}
 
 
+def test_language_learns_beyond_the_start_of_a_text():
+    junk, rng = "kxq " * 1000, random.Random(2)
+    said = {"aa": ["kalo", "mika", "loka"], "bb": ["stra", "bert", "echt"]}
+    sample = [(lang, junk + " ".join(rng.choices(said[lang], k=300))) for lang in ("aa", "bb") * 20]
+    model, letters = language_id.fit(sample), language_id.letter_table()
+    for at, lang in enumerate(model.languages):
+        z = model.logits(" ".join(said[lang] * 20), letters)
+        assert z[at] - z[1 - at] > 2
+
+
 def test_language_hashes_slices_as_a_whole(monkeypatch):
     letters = language_id.letter_table()
     table = np.random.default_rng(1).normal(size=(language_id.BUCKETS, 2)).astype(np.float32)

@@ -89,7 +89,7 @@ def fit(sample: Sequence[tuple[str, str]], seed: int = 7) -> LanguageModel:
     learn, check = [], []
     for i, (lang, text) in enumerate(sample):
         codes = codes_of(text, letters)
-        for start in range(0, min(len(codes), 10 * PIECE), PIECE):
+        for start in range(0, len(codes), PIECE):
             found = buckets_of(codes[start : start + PIECE])
             if len(found):
                 (check if i % 5 == 4 else learn).append((languages.index(lang), *np.unique(found, return_counts=True)))
