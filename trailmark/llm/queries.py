@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import chat, decontaminate, exact_dedup, language_id, mixing, ngram_join, pii, pseudo_likelihood, quality, url_filter
+from trailmark.llm import chat, decontaminate, exact_dedup, language_id, mixing, ngram_join, pii, pseudo_likelihood, quality, secret_scan, url_filter, vector_codes, zone_clusters
 from trailmark.llm.common import held_out, table
 from trailmark.plans.registry import Plan, Query
 from trailmark.session import configure
@@ -188,3 +188,79 @@ def identify_language(spark: SparkSession, folder: str) -> DataFrame:
     told = docs.select("doc_id", language_id.predict(model, F.col("text")).alias("p"))
     fold = held_out(F.col("doc_id"), language_id.FOLDS, language_id.HELD).alias("held_out")
     return told.select("doc_id", fold, "p.lang_pred", "p.score", "p.rejected")
+
+
+CODE_PARTS, CODE_ENTRIES, CODE_ROUNDS = 8, 16, 6
+FINITE_SQL = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _codes_sql() -> str:
+    """Codebooks and codes by comparing every part with every entry, round after round."""
+    steps = [
+        f"""kept AS MATERIALIZED (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS n, len(embedding) // {CODE_PARTS} AS width,
+  list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND {FINITE_SQL})""",
+        """parts AS MATERIALIZED (SELECT n, (i - 1) // width AS part, (i - 1) % width AS place, v[i] AS x
+  FROM (SELECT n, width, v, unnest(generate_series(1, len(v))) AS i FROM kept))""",
+        f"book0 AS (SELECT part, n AS entry, place, x FROM parts WHERE n < {CODE_ENTRIES})",
+    ]
+    for r in range(CODE_ROUNDS + 1):
+        steps.append(f"""near{r} AS MATERIALIZED (SELECT n, part, entry, away FROM (
+  SELECT *, row_number() OVER (PARTITION BY n, part ORDER BY away, entry) AS nth FROM (
+    SELECT p.n, p.part, b.entry, sum((p.x - b.x) * (p.x - b.x)) AS away FROM parts p JOIN book{r} b USING (part, place) GROUP BY ALL)) WHERE nth = 1)""")
+        if r < CODE_ROUNDS:
+            steps.append(f"""book{r + 1} AS MATERIALIZED (SELECT b.part, b.entry, b.place, coalesce(m.x, b.x) AS x FROM book{r} b LEFT JOIN (
+    SELECT part, entry, place, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x FROM parts JOIN near{r} USING (n, part) GROUP BY ALL) m USING (part, entry, place))""")
+    return "WITH " + ",\n".join(steps) + f""",
+told AS (SELECT n, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, CAST(sum(away) AS BIGINT) AS error FROM near{CODE_ROUNDS} GROUP BY n)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, place)) FROM book{CODE_ROUNDS}) AS codebooks_sha256
+FROM told JOIN kept USING (n)"""
+
+
+@query("op11_vector_codes", _codes_sql())
+def vector_code_table(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compress(table(spark, folder, "embeddings"), parts=CODE_PARTS, entries=CODE_ENTRIES, rounds=CODE_ROUNDS)
+
+
+@query("op12_secret_scan")
+def scan_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, folder, "documents"))
+    base = F.filter("found", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter("found", lambda s: s["base"] & (s["kind"] == kind))).cast("long")
+    return found.select(
+        "doc_id",
+        *(count(i).alias(f"n_{k}") for i, k in enumerate(secret_scan.KINDS)),
+        F.sha2(secret_scan.spans_text(base), 256).alias("base_sha256"),
+        secret_scan.spans_text(F.col("found")).alias("spans"),
+        "layers",
+    )
+
+
+CLUSTERS, CLUSTER_ROUNDS = 16, 3
+
+
+def _clusters_sql() -> str:
+    """Lloyd rounds by comparing every vector with every centroid."""
+    steps = [
+        f"""kept AS MATERIALIZED (SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR))) - 1 AS n,
+  list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND {FINITE_SQL})""",
+        "cells AS MATERIALIZED (SELECT n, i, v[i] AS x FROM (SELECT n, v, unnest(generate_series(1, 64)) AS i FROM kept))",
+        f"point0 AS (SELECT n AS cluster, i, x FROM cells WHERE n < {CLUSTERS})",
+    ]
+    for r in range(CLUSTER_ROUNDS + 1):
+        steps.append(f"""near{r} AS MATERIALIZED (SELECT n, cluster, away FROM (
+  SELECT *, row_number() OVER (PARTITION BY n ORDER BY away, cluster) AS nth FROM (
+    SELECT c.n, p.cluster, sum((c.x - p.x) * (c.x - p.x)) AS away FROM cells c JOIN point{r} p USING (i) GROUP BY ALL)) WHERE nth = 1)""")
+        if r < CLUSTER_ROUNDS:
+            steps.append(f"""point{r + 1} AS MATERIALIZED (SELECT p.cluster, p.i, coalesce(m.x, p.x) AS x FROM point{r} p LEFT JOIN (
+    SELECT cluster, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x FROM cells JOIN near{r} USING (n) GROUP BY ALL) m USING (cluster, i))""")
+    return "WITH " + ",\n".join(steps) + f""",
+digests AS (SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM point{CLUSTER_ROUNDS} GROUP BY cluster)
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(away AS BIGINT) AS distance, CAST(sum(away) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(away) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM near{CLUSTER_ROUNDS} JOIN kept USING (n) JOIN digests USING (cluster)"""
+
+
+@query("op13_zone_clusters", _clusters_sql())
+def cluster_zones(spark: SparkSession, folder: str) -> DataFrame:
+    return zone_clusters.cluster(table(spark, folder, "embeddings"), centroids=CLUSTERS, rounds=CLUSTER_ROUNDS)
