@@ -1,11 +1,12 @@
 """Recommenders against the fixtures and against dense numpy solutions."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from trailmark.models import ease, latent, logistic, neighbours, simple
-from trailmark.models.blocked import from_bytes
+from trailmark.models import conjugate, ease, latent, logistic, neighbours, simple
+from trailmark.models.blocked import fold_scores, from_bytes, multiply_rows
 from trailmark.operators.cooccurrence import cooccurrence
 
 CATALOGUE = [f"p{i}" for i in range(7)]
@@ -78,6 +79,7 @@ MODELS = {
     "knn_weighted": lambda t, u, k: neighbours.item_knn_weighted(t.withColumn("weight", F.lit(1.0)), u, k),
     "logistic": lambda t, u, k: logistic.logistic_regression(t, u, k),
     "ease": lambda t, u, k: ease.ease(t, u, k, block=2),
+    "ease_conjugate": lambda t, u, k: ease.ease(t, u, k, block=2, solver="conjugate"),
 }
 
 
@@ -102,8 +104,9 @@ def test_cooccurrence_blocks(spark, group):
     assert got == expected
 
 
-@pytest.mark.parametrize("regularisation,block", [(250.0, 512), (1.0, 5)])
-def test_ease_matches_dense_inverse(spark, regularisation, block):
+@pytest.mark.parametrize("regularisation,block,solver", [(250.0, 512, "dense"), (1.0, 5, "dense"), (250.0, 512, "conjugate"), (1.0, 5, "conjugate")])
+def test_ease_matches_dense_inverse(spark, monkeypatch, regularisation, block, solver):
+    monkeypatch.setattr(conjugate, "ROWS", block - 1)
     rng = np.random.default_rng(2)
     matrix = (rng.random((40, 12)) < 0.3).astype(float)
     matrix[0] = 0
@@ -111,17 +114,21 @@ def test_ease_matches_dense_inverse(spark, regularisation, block):
     names = [f"i{j:02}" for j in range(12)]
     rows = [(f"u{u:02}", names[j]) for u, j in zip(*np.nonzero(matrix))]
     frame = spark.createDataFrame(rows, "user_id string, item_id string")
-    model = ease.fit_ease(frame, regularisation, 0, block)
+    model = ease.fit_ease(frame, regularisation, 0, block, solver, columns_at_once=2 * block)
     inverse = np.linalg.inv(matrix.T @ matrix + regularisation * np.eye(12))
     expected = -inverse / np.diag(inverse)
     np.fill_diagonal(expected, 0.0)
-    size, got = model.block, np.zeros((12, 12))
-    for r in model.weights.collect():
-        data = from_bytes(r["data"], size)
-        i, j = r["bi"] * size, r["bj"] * size
-        got[i : i + size, j : j + size] = data[: 12 - i, : 12 - j]
+    got, groups = np.zeros((12, 12)), 0
+    for columns, weights in model.groups():
+        groups += 1
+        for r in weights.collect():
+            assert r["bj"] in columns
+            data = from_bytes(r["data"], model.width)
+            i, j = r["bi"] * model.rows, r["bj"] * model.width
+            got[i : i + model.rows, j : j + model.width] = data[: 12 - i, : 12 - j]
+    assert groups == (2 if (block, solver) == (5, "conjugate") else 1)
     assert np.abs(got - expected).max() < 1e-8 and np.abs(np.diag(got)).max() == 0
-    for weight in (0.0, 0.5):
+    for weight in (0.0, 0.5) if groups == 1 else (0.5,):
         scores = matrix @ expected + weight * np.log1p(matrix.sum(0))
         scores[matrix > 0] = -np.inf
         lists = as_dict(ease.recommend_ease(model, users(spark, "u00", "u07"), 4, weight, users_per_shard=1))
@@ -130,6 +137,65 @@ def test_ease_matches_dense_inverse(spark, regularisation, block):
             assert lists[f"u{u:02}"] == [names[j] for j in order if np.isfinite(scores[u, j])][:4]
 
 
+def test_conjugate_columns(spark, monkeypatch):
+    monkeypatch.setattr(conjugate, "FAN", 2)
+    rng = np.random.default_rng(8)
+    n = 24
+    factor = (rng.random((60, n)) < 0.15) * rng.integers(1, 4, (60, n))
+    matrix = factor.T @ factor + 0.5 * np.eye(n)
+    rows = [(int(i), int(j), float(matrix[i, j])) for i, j in zip(*np.nonzero(matrix))]
+    rows += [(3, 3, 1.0), (4, 7, 0.25), (7, 4, 0.25)]  # entries of one place are added
+    matrix[3, 3] += 1
+    matrix[[4, 7], [7, 4]] += 0.25
+    entries = spark.createDataFrame(rows, "i long, j long, w double").repartition(5)
+    inverse = np.linalg.inv(matrix)
+    for size, width in ((7, 5), (n, 5)):
+        blocks = conjugate.compress(entries, n, size)
+        solved, done = conjugate.solve_panels(blocks, 2, 2, width)
+        got = {(r["i"], r["j"]): r["value"] for r in conjugate.entries_of(solved, n, size, width).collect()}
+        assert set(got) == {(i, j) for i in range(n) for j in range(2 * width, 4 * width)}
+        assert max(abs(v - inverse[i, j]) for (i, j), v in got.items()) < 1e-9
+        assert done < 2 * n
+        rest = solved.select("residual").collect()
+        assert max(np.abs(np.frombuffer(r["residual"])).max() for r in rest) < 1e-10
+    with pytest.raises(RuntimeError, match="conjugate"):
+        conjugate.solve_panels(conjugate.compress(entries, n, 7), 0, 1, 5, rounds=1)
+
+
+def test_multiplied_rows_match_dense():
+    rng = np.random.default_rng(9)
+    for share in (0.0, 0.02, 0.1, 0.6):
+        matrix = (rng.random((50, 40)) < share) * rng.normal(size=(50, 40))
+        starts = np.append(0, np.cumsum((matrix != 0).sum(1)))
+        rows, columns = np.nonzero(matrix)
+        dense = rng.normal(size=(40, 6))
+        assert np.allclose(multiply_rows(starts, columns, matrix[rows, columns], dense, slab=24), matrix @ dense)
+
+
+@pytest.mark.parametrize("n", [400, 4000])
+def test_scoring_holds_the_same_for_any_catalogue(n):
+    rng, size, width, k = np.random.default_rng(10), 50, 20, 5
+    histories = [np.unique(rng.integers(0, n, 60)) for _ in range(30)]
+    weights = rng.normal(size=(n, width))
+    columns = ["shard", "bj", "bi", "kind", "number", "i", "data"]
+    schema = pa.schema([*((c, pa.int64()) for c in columns[:-1]), ("data", pa.binary())])
+    stream = [(0, 3, -1, 1, 0, 0, np.full(width, 0.5).tobytes())]
+    for block in range(n // size):
+        stream += [(0, 3, block, 0, u, int(i), None) for u, own in enumerate(histories) for i in own if i // size == block]
+        stream.append((0, 3, block, 1, 0, 0, weights[block * size : (block + 1) * size].tobytes()))
+    batches = [pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*stream[at : at + 37]), schema)], schema=schema) for at in range(0, len(stream), 37)]
+    held = []
+    found = pa.Table.from_batches(fold_scores(iter(batches), width, size, n, k, held.append)).to_pylist()
+    scores = np.stack([weights[own].sum(0) for own in histories]) + 0.5
+    for u, own in enumerate(histories):
+        for i in own[(own >= 3 * width) & (own < 4 * width)]:
+            scores[u, i - 3 * width] = -np.inf
+        best = np.argsort(-scores[u], kind="stable")[:k] + 3 * width
+        assert [r["item"] for r in found if r["number"] == u] == best.tolist()
+    sums, block = 2 * 30 * width * 8, size * width * 8  # whatever n is
+    assert max(held) <= sums + block + 30 * 60 * 16
+
+
 def test_ease_catalogue_limit(spark):
     counts = dict(zip(CATALOGUE, (2, 6, 1, 5, 1, 7, 2)))
     pairs = [(f"v{n}", i) for i, c in counts.items() for n in range(c)]

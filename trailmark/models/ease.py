@@ -1,15 +1,18 @@
-"""Shallow item-item autoencoder with a closed-form solution (EASE)."""
+"""Shallow item-item autoencoder with a closed-form solution (EASE), for small and for very large catalogues."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from trailmark.models.blocked import BLOCK, USERS_PER_SHARD, blocked_top_k, dense_blocks, from_bytes, map_blocks, to_bytes
+from trailmark.models import conjugate
+from trailmark.models.blocked import BLOCK, USERS_PER_SHARD, dense_blocks, folded_top_k, from_bytes, map_blocks, to_bytes
 from trailmark.models.common import (
     ITEM,
     USER,
@@ -28,42 +31,135 @@ from trailmark.storage import discard, materialise
 
 @dataclass
 class EaseModel:
-    """Item weights in blocks (bi, bj, data) over the numbered catalogue ``items`` (id, idx)."""
+    """Numbered catalogue ``items`` (id, idx), history and counts, and how to get the item weights.
+
+    Weights come in groups of column blocks: rows (bi, bj, data) with blocks of
+    ``rows`` x ``width``. After a dense fit all are stored in ``weights``. After a
+    conjugate fit only the sparse matrix is, and each group is solved when it is asked for.
+    """
 
     items: DataFrame
     history: DataFrame
-    weights: DataFrame
     popularity: DataFrame
     n: int
-    block: int
-
-
-def fit_ease(train: DataFrame, regularisation: float = 250.0, max_items: int = 0, block: int = BLOCK) -> EaseModel:
+    rows: int
+    width: int
+    weights: DataFrame | None = None
+    matrix: conjugate.SparseBlocks | None = None
+    columns_at_once: int = 0
+
+    def groups(self) -> Iterator[tuple[range, DataFrame]]:
+        """Column block numbers and their weights, group by group; a solved group is deleted when the next is asked for."""
+        blocks = -(-self.n // self.width)
+        if self.weights is not None:
+            yield range(blocks), self.weights
+            return
+        size = max(1, self.columns_at_once // self.width)
+        for first in range(0, blocks, size):
+            columns = range(first, min(first + size, blocks))
+            table = materialise(self._solved_weights(columns), "weights")
+            yield columns, table
+            discard(table)
+
+    def _solved_weights(self, columns: range) -> DataFrame:
+        solved, _ = conjugate.solve_panels(self.matrix, columns[0], len(columns), self.width)
+        rows, width, n = self.rows, self.width, self.n
+
+        def own(block: int, panel: int) -> tuple[np.ndarray, np.ndarray]:
+            """Rows and columns of a block where an item meets itself."""
+            j = np.arange(max(block * rows, panel * width), min((block + 1) * rows, (panel + 1) * width, n))
+            return j - block * rows, j - panel * width
+
+        def diagonal(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+            values = np.ones(width)
+            for block, data in zip(part["block"], part["solution"]):
+                i, j = own(block, int(key[0]))
+                values[j] = from_bytes(data, width)[i, j]
+            return pd.DataFrame({"panel": [int(key[0])], "divisor": [values.tobytes()]})
+
+        def divide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = []
+                for r in batch.itertuples():
+                    weights = -from_bytes(r.solution, width) / np.frombuffer(r.divisor)
+                    weights[own(r.block, r.panel)] = 0.0
+                    out.append(to_bytes(weights))
+                yield pd.DataFrame({"bi": batch["block"], "bj": batch["panel"], "data": out})
+
+        meets = (F.col("block") * rows < (F.col("panel") + 1) * width) & ((F.col("block") + 1) * rows > F.col("panel") * width)
+        divisors = solved.filter(meets).select("panel", "block", "solution").groupBy("panel").applyInPandas(diagonal, "panel long, divisor binary")
+        return solved.select("panel", "block", "solution").join(divisors, "panel").mapInPandas(divide, "bi long, bj long, data binary")
+
+
+DENSE_ITEMS = 16_384  # up to here the inverse is formed by sweeps over dense blocks
+STORED_BYTES = 64 << 30  # of panels that a conjugate fit stores at a time
+
+
+def fit_ease(
+    train: DataFrame, regularisation: float = 250.0, max_items: int = 0, block: int = BLOCK, solver: str = "auto", columns_at_once: int = 0
+) -> EaseModel:
     """Weights B = I - P / diag(P) with P the inverse of the regularised item Gram matrix.
 
-    The Gram matrix is aggregated sparsely, laid out in blocks and inverted by
-    block elimination, so neither the driver nor a task ever holds it whole.
-    ``max_items`` keeps the most frequent items, 0 keeps all.
+    The Gram matrix is aggregated sparsely. ``dense`` lays it out in blocks and
+    inverts it by block elimination; its cost is cubic in the catalogue.
+    ``conjugate`` keeps it sparse and solves for columns of the inverse by
+    conjugate gradients, ``columns_at_once`` of them (0: as many as fit 64 GB of
+    stored panels), so that no items x items table ever exists. ``auto`` takes the first up to 16,384 items.
+    Both give the same weights. ``max_items`` keeps the most frequent items, 0 keeps all.
     """
     if regularisation <= 0 or max_items < 0:
         raise ValueError("regularisation must be positive and max_items not negative")
+    if solver not in ("auto", "dense", "conjugate"):
+        raise ValueError("the solver is auto, dense or conjugate")
     history = materialise(pairs_of(train), "history")
     counts = item_counts(history)
     kept = top_keys(counts, ITEM, "score", max_items) if max_items > 0 else counts
     items = materialise(id_table(kept, ITEM), "items")
     n = items.count()
-    block = max(1, min(block, n))
-    encoded = materialise(
-        history.join(items, F.col(ITEM) == F.col("id")).select(USER, F.col("idx").alias("i")), "encoded"
-    )
+    gram = item_gram(history, items)
+    if solver == "dense" or (solver == "auto" and n <= DENSE_ITEMS):
+        block = max(1, min(block, n))
+        inverse = invert_blocks(dense_blocks(gram, n, block, regularisation), -(-n // block), block)
+        return EaseModel(items, history, counts, n, block, block, weights=materialise(_item_weights(inverse, block), "ease"))
+    shift = items.select(F.col("idx").alias("i"), F.col("idx").alias("j"), F.lit(float(regularisation)).alias("w"))
+    rows, width = (max(1, min(size, n)) for size in (conjugate.ROWS, min(block, conjugate.PANEL)))
+    matrix = conjugate.compress(gram.unionByName(shift), n, rows)
+    fitting = columns_at_once or STORED_BYTES // (24 * n)
+    return EaseModel(items, history, counts, n, rows, width, matrix=matrix, columns_at_once=fitting)
+
+
+def item_gram(history: DataFrame, items: DataFrame) -> DataFrame:
+    """Entries (i, j, w) of the item Gram matrix, both halves and the diagonal."""
+    encoded = materialise(history.join(items, F.col(ITEM) == F.col("id")).select(USER, F.col("idx").alias("i")), "encoded")
     half = cooccurrence(encoded.withColumn("w", F.lit(1.0)), USER, "i", "w")
     both = F.array(
         F.struct(F.col("item_i").alias("i"), F.col("item_j").alias("j")), F.struct(F.col("item_j").alias("i"), F.col("item_i").alias("j"))
     )
     diagonal = encoded.groupBy("i").agg(F.count("*").cast("double").alias("w")).select("i", F.col("i").alias("j"), "w")
-    gram = half.select(F.inline(both), F.col("dot").alias("w")).unionByName(diagonal)
-    inverse = invert_blocks(dense_blocks(gram, n, block, regularisation), -(-n // block), block)
-    return EaseModel(items, history, materialise(_item_weights(inverse, block), "ease"), counts, n, block)
+    return half.select(F.inline(both), F.col("dot").alias("w")).unionByName(diagonal)
+
+
+def gram_residuals(history: DataFrame, columns: DataFrame, regularisation: float) -> DataFrame:
+    """Largest absolute entry of (G + regularisation) p - e for columns p of the inverse.
+
+    ``columns`` has rows (i, j, value) by item id. G is not formed: the products
+    go from items to users and back over the history, so the check shares nothing
+    with the fit.
+    """
+    seen = history.select(USER, F.col(ITEM).alias("i"))
+    by_user = seen.join(columns, "i").groupBy(USER, "j").agg(F.sum("value").alias("value"))
+    back = seen.join(by_user, USER).groupBy("i", "j").agg(F.sum("value").alias("value"))
+    own = columns.select("i", "j", (F.col("value") * regularisation - F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0)).alias("value"))
+    rest = back.unionByName(own).groupBy("i", "j").agg(F.abs(F.sum("value")).alias("value"))
+    return rest.groupBy(F.col("j").alias(ITEM)).agg(F.max("value").alias("residual"))
+
+
+def inverse_columns(model: EaseModel) -> DataFrame:
+    """Long rows (i, j, value) of P by item id after a conjugate fit; as many as items x items, for small catalogues."""
+    solved, _ = conjugate.solve_panels(model.matrix, 0, -(-model.n // model.width), model.width)
+    entries = conjugate.entries_of(solved, model.n, model.rows, model.width)
+    name = lambda c: model.items.select(F.col("id").alias(c), F.col("idx").alias(f"_{c}"))
+    return entries.withColumnsRenamed({"i": "_i", "j": "_j"}).join(name("i"), "_i").join(name("j"), "_j").select("i", "j", "value")
 
 
 def invert_blocks(matrix: DataFrame, count: int, block: int) -> DataFrame:
@@ -146,58 +242,52 @@ def recommend_ease(
     Users without an item of the catalogue get the popular items they have not seen.
     """
     check_limit(k)
-    block, n = model.block, model.n
-    blocks = -(-n // block)
     encoded = model.history.join(model.items, F.col(ITEM) == F.col("id")).select(USER, F.col("idx").alias("i"))
-    warm = materialise(encoded.join(users.select(USER).distinct(), USER, "left_semi"), "warm")
-    shards = max(1, -(-warm.select(USER).distinct().count() // users_per_shard))
-    left = warm.select(F.col(USER).alias("user"), "i", F.lit(1).alias("seen"))
-    right = model.weights
-    if popularity_weight:
-        right = right.unionByName(_popularity_blocks(model, popularity_weight))
-
-    def product(own: pd.DataFrame, panel: pd.DataFrame, number: np.ndarray, count: int) -> np.ndarray:
-        items = own["i"].to_numpy()
-        scores = np.zeros((count, block))
-        for bi, data in zip(panel["bi"], panel["data"]):
-            weights = from_bytes(data, block)
-            if bi < 0:
-                scores += weights
-                continue
-            inside = items // block == bi
-            if inside.any():
-                matrix = np.zeros((count, block))
-                matrix[number[inside], items[inside] - bi * block] = 1.0
-                scores += matrix @ weights
-        return scores
-
-    candidates = blocked_top_k(left, right, product, blocks, block, n, k, shards)
-    named = candidates.join(model.items, candidates["item"] == model.items["idx"]).select(
-        F.col("user").alias(USER), F.col("id").alias(ITEM), "score"
-    )
-    best = top_k(named, k)
-    rest = users.select(USER).join(warm.select(USER).distinct(), USER, "left_anti")
-    return best.unionByName(unseen_from(place_items(model.popularity), rest, model.history, k))
-
-
-def _popularity_blocks(model: EaseModel, weight: float) -> DataFrame:
+    known = encoded.join(users.select(USER).distinct(), USER, "left_semi")
+    warm = materialise(id_table(known, USER), "warm")
+    shards = -(-warm.count() // users_per_shard)
+    place = (F.col("idx") / users_per_shard).cast("long").alias("shard"), (F.col("idx") % users_per_shard).alias("number")
+    left = materialise(known.join(warm.withColumnRenamed("id", USER), USER).select(*place, "i"), "warm_items")
+    best = None
+    for columns, weights in model.groups() if shards else ():
+        right = weights
+        if popularity_weight:
+            right = right.unionByName(_popularity_blocks(model, popularity_weight, columns))
+        found = folded_top_k(left, right, shards, columns, model.width, model.rows, model.n, k)
+        if model.weights is None:  # solved weights go with their group: keep the best so far
+            window = Window.partitionBy("shard", "number").orderBy(F.desc("score"), "item")
+            both = found if best is None else found.unionByName(best)
+            ranked = both.withColumn("_place", F.row_number().over(window)).filter(F.col("_place") <= k).drop("_place")
+            best = materialise(ranked, "best", replaces=best)
+        else:
+            best = found
+    if best is None:
+        return unseen_from(place_items(model.popularity), users, model.history, k)
+    named = best.join(model.items.select("id", F.col("idx").alias("item")), "item").withColumnRenamed("id", ITEM)
+    named = named.join(warm.select(F.col("id").alias(USER), *place), ["shard", "number"]).select(USER, ITEM, "score")
+    rest = users.select(USER).join(warm.select(F.col("id").alias(USER)), USER, "left_anti")
+    return top_k(named, k).unionByName(unseen_from(place_items(model.popularity), rest, model.history, k))
+
+
+def _popularity_blocks(model: EaseModel, weight: float, columns: range) -> DataFrame:
     """One row vector per column block holding weight * log1p(count), as block row -1."""
-    block = model.block
+    width = model.width
     placed = model.popularity.join(model.items, F.col(ITEM) == F.col("id")).select(
-        (F.col("idx") / block).cast("long").alias("bj"), (F.col("idx") % block).alias("place"), (F.log1p("score") * weight).alias("bonus")
+        (F.col("idx") / width).cast("long").alias("bj"), (F.col("idx") % width).alias("place"), (F.log1p("score") * weight).alias("bonus")
     )
 
     def lay_out(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        vector = np.zeros((1, block))
+        vector = np.zeros((1, width))
         vector[0, rows["place"].to_numpy()] = rows["bonus"].to_numpy()
         return pd.DataFrame({"bi": [-1], "bj": [int(key[0])], "data": [to_bytes(vector)]})
 
-    return placed.groupBy("bj").applyInPandas(lay_out, "bi long, bj long, data binary")
+    mine = placed.filter(F.col("bj").between(columns[0], columns[-1]))
+    return mine.groupBy("bj").applyInPandas(lay_out, "bi long, bj long, data binary")
 
 
 def ease(
     train: DataFrame, users: DataFrame, k: int = 10, regularisation: float = 250.0, max_items: int = 0,
-    popularity_weight: float = 0.0, block: int = BLOCK,
+    popularity_weight: float = 0.0, block: int = BLOCK, solver: str = "auto",
 ) -> DataFrame:
     """Fit and recommend in one call."""
-    return recommend_ease(fit_ease(train, regularisation, max_items, block), users, k, popularity_weight)
+    return recommend_ease(fit_ease(train, regularisation, max_items, block, solver), users, k, popularity_weight)

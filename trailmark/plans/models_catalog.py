@@ -453,6 +453,26 @@ def _(spark, folder):
     return rounded(ease.ease(train, users, 10, popularity_weight=0.1, block=32))
 
 
+@query(
+    "ease_residual",
+    f"""WITH {q.HOLDOUT}, fitted AS (SELECT DISTINCT item_id FROM split WHERE split = 'train')
+    SELECT item_id, 0e0 AS residual FROM fitted""",
+)
+def _(spark, folder):
+    """Every column of the inverse by conjugate gradients, held against the raw interactions; G itself is not formed."""
+    train, _, _ = holdout(spark, folder)
+    model = ease.fit_ease(train, block=32, solver="conjugate")
+    columns = materialise(ease.inverse_columns(model), "columns")
+    residuals = ease.gram_residuals(model.history, columns, 250.0)
+    return residuals.select(ITEM, F.round("residual", 9).alias("residual"))
+
+
+@query("reco_ease_conjugate")
+def _(spark, folder):
+    train, _, users = holdout(spark, folder)
+    return rounded(ease.ease(train, users, 10, popularity_weight=0.1, solver="conjugate"))
+
+
 @query("reco_logreg")
 def _(spark, folder):
     train, _, users = holdout(spark, folder)
