@@ -21,3 +21,11 @@ def test_entry_imports_without_the_optional_folders(tmp_path):
     assert bare[0] > 100 and bare[1:] == [0, 0]
     (copy / "trailmark" / "llm" / "__pycache__").mkdir(parents=True)  # what a deletion may leave behind
     assert said(copy) == bare
+
+
+def test_entry_imports_without_an_optional_package(tmp_path):
+    copy = tmp_path / "copy"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__"))
+    (copy / "zstandard.py").write_text("raise ImportError('no such package')")
+    found = said(copy)
+    assert found[0] > 100 and found[1] < 13 and found[2] == 0

@@ -122,3 +122,20 @@ def test_batch_inference(spark):
     assert rows == {"u1": ["a"], "new": ["a", "b"]}
     renamed = asked.select(F.col("user_id").alias("visitor"))
     assert comparison.batch_recommend(renamed, lambda u, k: simple.popularity(train, u, k), 2).count() == 2
+
+
+def test_list_lengths_are_data(hot):
+    rows = [(f"u{u}", f"i{i:03}") for u in range(4) for i in range(0, 120, u + 1)]
+    train = hot.createDataFrame(rows, "user_id string, item_id string")
+    count = {}
+    for _, i in rows:
+        count[i] = count.get(i, 0) + 1
+    order = sorted(count, key=lambda i: (-count[i], i))
+    serve = lambda asked: comparison.batch_recommend(hot.createDataFrame(asked, "user_id string, limit int"), lambda w: simple.popularity_upto(train, w), limits_as_data=True)
+    asked = [("u1", 3), ("u3", 50_000), ("new", None), ("u0", 5), ("u2", 0)]
+    got = {r["user_id"]: r["recommendations"] for r in serve(asked).collect()}
+    seen = {u: {i for x, i in rows if x == u} for u, _ in asked}
+    for user, limit in asked:
+        assert got[user] == [i for i in order if i not in seen[user]][: 10 if limit is None else limit]
+    size = lambda frame: len(frame._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(size(serve(asked)) - size(serve([("u1", 3), ("u3", 7)]))) < 500

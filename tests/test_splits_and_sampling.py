@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from trailmark.functions.columns import permuted
 from trailmark.operators import sampling, splits
+from trailmark.operators.free_places import free_places
 
 ORDER = ["timestamp", "user_id", "item_id"]
 
@@ -113,6 +115,33 @@ def test_negatives_per_positive(seen, catalogue):
     assert {u: sum(r[0] == u for r in rows) for u in held} == expected
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 16, 17, 1000])
+def test_permuted_ranks_hit_every_number_once(spark, size):
+    rows = spark.range(size).withColumn("user", F.lit(5)).select("user", permuted(1, "user", F.col("id"), F.lit(size)).alias("x"), permuted(1, "id", F.col("id"), F.lit(size)).alias("other"))
+    got = rows.collect()
+    assert sorted(r["x"] for r in got) == list(range(size))
+    assert all(0 <= r["other"] < size for r in got)
+    if size == 1000:
+        assert sum(r["x"] < 500 for r in got[:500]) in range(200, 300)
+
+
+def test_free_places(hot):
+    rng = random.Random(4)
+    taken = {u: sorted(rng.sample(range(300), n)) for u, n in enumerate((0, 1, 40, 250))}
+    asks = [(u, r) for u in taken for r in (0, 0, 3, 17, 49, 1000)]
+    held = hot.createDataFrame([(u, p) for u, ps in taken.items() for p in ps], "u long, place long")
+    got = free_places(hot.createDataFrame(asks, "u long, r long").withColumn("more", F.lit("x")), held, "u", "r", "place")
+    free = {u: [p for p in range(2000) if p not in ps] for u, ps in taken.items()}
+    assert sorted((r["u"], r["r"], r["place"]) for r in got.collect()) == sorted((u, r, free[u][r]) for u, r in asks)
+    few = free_places(hot.createDataFrame([a for a in asks if a[1] < 20], "u long, r long"), held, "u", "r", "place", most=19)
+    assert sorted(map(tuple, few.collect())) == sorted((u, r, free[u][r]) for u, r in asks if r < 20)
+
+
+def test_added_item_keeps_the_number_of_draws(seen):
+    count = lambda n: {r["user_index"]: r["count"] for r in sampling.negatives_per_positive(seen, n, n=2).groupBy("user_index").count().collect()}
+    assert count(15) == count(16) == {0: 6, 1: 10, 2: 2}
+
+
 def test_other_samplers(seen):
     positives = {tuple(r) for r in seen.collect()}
     triplets = sampling.negatives_bounded(seen, 5, n=2).collect()

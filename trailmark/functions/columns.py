@@ -129,6 +129,33 @@ def draw(seed: int, *parts: Column | str) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
+def permuted(seed: int, key: str, place: Column, size: Column) -> Column:
+    """Where ``place`` of 0 .. size-1 goes in a permutation of these numbers, one permutation per seed and key.
+
+    The numbers are written as left * b + right with a * b >= size and a as near
+    the square root as can be; four rounds add a draw over one half to the other,
+    which can be undone and so hits every number once. A number that lands at or
+    beyond ``size`` is sent on until it lands inside; fewer than a numbers lie there.
+    """
+    a = F.ceil(F.sqrt(size.cast("double"))).cast("long")
+    b = F.floor((size + a - 1) / a).cast("long")
+
+    def once(x: Column) -> Column:
+        left, right = F.floor(x / b).cast("long"), F.pmod(x, b)
+        for turn in range(4):
+            other = right if turn % 2 == 0 else left
+            token = draw(seed, F.col(key).cast("string"), F.lit(str(turn)), other.cast("string"))
+            if turn % 2 == 0:
+                left = F.pmod(left + token, a)
+            else:
+                right = F.pmod(right + token, b)
+        return left * b + right
+
+    first = once(place)
+    again = F.aggregate(F.sequence(F.lit(0).cast("long"), a * b - size), first, lambda x, _: F.when(x < size, x).otherwise(once(x)))
+    return F.when(first < size, first).otherwise(again)
+
+
 # ---------------------------------------------------------------- property values
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trailmark.operators.free_places import free_places
 from trailmark.operators.ordering import Lanes, dense_index
 from trailmark.storage import materialise
 
@@ -68,6 +69,19 @@ def unseen_from(places: DataFrame, users: DataFrame, taken: DataFrame, k: int) -
     return wanted.join(places, "place").select(*COLUMNS)
 
 
+def unseen_upto(places: DataFrame, wanted: DataFrame, taken: DataFrame) -> DataFrame:
+    """The first ``limit`` items of a global order that each user of ``wanted`` (user_id, limit) has not taken.
+
+    The limit is a column, so one user may ask for the whole catalogue beside
+    others that ask for ten, and the plan is the same.
+    """
+    asks = wanted.select(USER, F.explode(F.sequence(F.lit(0).cast("long"), F.col("limit").cast("long") - 1)).alias("_rank")).filter("_rank >= 0")
+    held = taken.join(wanted.select(USER).distinct(), USER, "left_semi").join(places.select(ITEM, "place"), ITEM)
+    found = free_places(asks, held.select(USER, (F.col("place") - 1).alias("_place")).distinct(), USER, "_rank", "_place")
+    numbered = found.select(USER, (F.col("_rank") + 1).cast("int").alias("rank"), (F.col("_place") + 1).alias("place"))
+    return numbered.join(places, "place").select(*COLUMNS)
+
+
 def complete(recommendations: DataFrame, places: DataFrame, users: DataFrame, seen: DataFrame, k: int) -> DataFrame:
     """Fill lists shorter than ``k`` with unseen items from a global order, scored 0."""
     recommendations = materialise(recommendations, "lists")

@@ -63,6 +63,7 @@ def fit_logistic(rows: DataFrame, c: float = 1.0, max_steps: int = 100, toleranc
     users = materialise(rows.select(USER).distinct().withColumn("w_user", F.lit(0.0)), "w-user")
     items = materialise(rows.select(ITEM).distinct().withColumn("w_item", F.lit(0.0)), "w-item")
     intercept, change, step = 0.0, float("inf"), 0
+    moved_users, moved_items = users, items
 
     def slopes(intercept: float, users: DataFrame, items: DataFrame) -> DataFrame:
         score = F.lit(intercept) + F.col("w_user") + F.col("w_item")
@@ -71,12 +72,12 @@ def fit_logistic(rows: DataFrame, c: float = 1.0, max_steps: int = 100, toleranc
             USER, ITEM, "w_user", "w_item", (F.col("n") * (p - F.col("label"))).alias("g"), (F.col("n") * p * (1 - p)).alias("h")
         )
 
-    def newton(frame: DataFrame, key: str, weight: str) -> DataFrame:
+    def newton(frame: DataFrame, key: str, weight: str, replaces: DataFrame) -> DataFrame:
         grad = F.first(weight) + F.lit(c) * F.sum("g")
         move = grad / (F.lit(1.0) + F.lit(c) * F.sum("h"))
         bounded = F.greatest(F.lit(-STEP_LIMIT), F.least(F.lit(STEP_LIMIT), move))
         moved = frame.groupBy(key).agg((F.first(weight) - bounded).alias(weight), F.abs(bounded).alias("move"))
-        return materialise(moved, "weights")
+        return materialise(moved, "weights", replaces=replaces)
 
     while step < max_steps and change > tolerance:
         step += 1
@@ -84,9 +85,9 @@ def fit_logistic(rows: DataFrame, c: float = 1.0, max_steps: int = 100, toleranc
         intercept -= float(shift[0])
         users = users.withColumn("w_user", F.col("w_user") - F.lit(float(shift[1])))
         items = items.withColumn("w_item", F.col("w_item") - F.lit(float(shift[2])))
-        moved_users = newton(slopes(intercept, users, items), USER, "w_user")
+        moved_users = newton(slopes(intercept, users, items), USER, "w_user", moved_users)
         users = moved_users.drop("move")
-        moved_items = newton(slopes(intercept, users, items), ITEM, "w_item")
+        moved_items = newton(slopes(intercept, users, items), ITEM, "w_item", moved_items)
         items = moved_items.drop("move")
         largest = moved_users.select("move").unionByName(moved_items.select("move")).agg(F.max("move")).first()[0]
         change = max(float(np.abs(shift).max()), largest)
@@ -95,6 +96,18 @@ def fit_logistic(rows: DataFrame, c: float = 1.0, max_steps: int = 100, toleranc
     return LogisticModel(intercept, users, items, step, change)
 
 
+def gradient(model: LogisticModel, rows: DataFrame, c: float = 1.0) -> DataFrame:
+    """Absolute derivative of the objective at the model, per weight: (kind, id, gradient). All 0 at the minimum."""
+    score = F.lit(model.intercept) + F.col("w_user") + F.col("w_item")
+    joined = rows.join(model.users, USER).join(model.items, ITEM)
+    told = joined.withColumn("g", F.col("n") * (F.lit(1.0) / (F.lit(1.0) + F.exp(-score)) - F.col("label")))
+    slope = lambda weight: F.abs(weight + F.lit(c) * F.sum("g")).alias("gradient")
+    by_user = told.groupBy(F.lit("user").alias("kind"), F.col(USER).alias("id")).agg(slope(F.first("w_user")))
+    by_item = told.groupBy(F.lit("item").alias("kind"), F.col(ITEM).alias("id")).agg(slope(F.first("w_item")))
+    whole = told.agg(slope(F.lit(model.intercept))).select(F.lit("intercept").alias("kind"), F.lit("").alias("id"), "gradient")
+    return by_user.unionByName(by_item).unionByName(whole)
+
+
 def _common_shift(rows: DataFrame, users: DataFrame, items: DataFrame, intercept: float, c: float) -> np.ndarray:
     """Newton step along three directions: intercept, all user weights together, all item weights together.
 

@@ -17,6 +17,7 @@ from trailmark.models.common import (
     ranked_top,
     same_list,
     unseen_from,
+    unseen_upto,
 )
 from trailmark.operators.encoding import id_table
 from trailmark.storage import materialise
@@ -30,6 +31,11 @@ def popularity(train: DataFrame, users: DataFrame, k: int = 10, exclude_seen: bo
     return same_list(users, ranked_top(item_counts(train), k))
 
 
+def popularity_upto(train: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The most frequent unseen items of each user, as many as the ``limit`` of ``wanted`` (user_id, limit)."""
+    return unseen_upto(place_items(item_counts(train)), wanted, pairs_of(train))
+
+
 def most_popular(weights: DataFrame, users: DataFrame, k: int = 10, exclude_seen: bool = True) -> DataFrame:
     """Items by summed clipped weight (user_id, item_id, weight).
 

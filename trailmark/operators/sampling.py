@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trailmark.functions.columns import draw
+from trailmark.functions.columns import draw, permuted
+from trailmark.operators.free_places import free_places
 from trailmark.operators.ordering import Lanes, split_at
 from trailmark.operators.splits import split_user_tail
 from trailmark.storage import materialise
@@ -57,63 +58,18 @@ def labelled_pairs(frame: DataFrame, num_items: int, n: int = 4, seed: int = 42)
 def negatives_per_positive(positives: DataFrame, num_items: int, n: int = 4, seed: int = 42) -> DataFrame:
     """For every positive row ``n`` distinct unseen items of its user, no item twice per user.
 
-    The target of a user is capped at the items left unseen. Draws are made per
-    positive row, so a large history is drawn in many tasks, and repeated in
-    rounds for users still short. Users whose wish covers over half the
-    catalogue take the unseen items in hash order instead.
+    The target of a user is capped at the items left unseen. Draw j of a user is
+    the unseen item whose rank is where a permutation of the user's unseen ranks
+    sends j, at any share of the catalogue: nothing is rejected or drawn twice,
+    and an added item leaves the number of draws of all users as it is.
     """
     seen = materialise(seen_items(positives), "seen")
     sizes = positives.groupBy(USER).agg(F.count("*").alias("_rows"))
-    held = seen.groupBy(USER).agg(F.count("*").alias("_held"))
-    wanted = sizes.join(held, USER).select(
-        USER, F.least(F.col("_rows") * n, F.lit(num_items) - F.col("_held")).alias("_want"), "_held"
-    )
-    wanted = materialise(wanted.filter(F.col("_want") > 0), "wanted")
-    half = (F.col("_want") + F.col("_held")) * 2 > num_items
-    taken = _from_remaining(wanted.filter(half), seen, num_items, seed)
-    open_users = wanted.filter(~half)
-    if not open_users.isEmpty():
-        taken = taken.unionByName(_by_rounds(open_users, positives, seen, num_items, n, seed))
-    return taken.select(USER, ITEM)
-
-
-def _first_per_user(candidates: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The first ``_want`` candidates of every user in draw order."""
-    lanes = Lanes(candidates, [USER], ["_draw", ITEM]).row_number("_nth").result()
-    return lanes.join(wanted.select(USER, "_want"), USER).filter(F.col("_nth") <= F.col("_want")).select(USER, ITEM)
-
-
-def _from_remaining(wanted: DataFrame, seen: DataFrame, num_items: int, seed: int) -> DataFrame:
-    """Rank the unseen catalogue of users whose result is at least half as large as that catalogue."""
-    catalogue = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(num_items - 1).cast("bigint")))
-    every = wanted.select(USER, catalogue.alias(ITEM)).join(seen, [USER, ITEM], "left_anti")
-    return _first_per_user(every.withColumn("_draw", draw(seed, F.col(USER).cast("string"), F.col(ITEM).cast("string"))), wanted)
-
-
-def _by_rounds(wanted: DataFrame, positives: DataFrame, seen: DataFrame, num_items: int, n: int, seed: int) -> DataFrame:
-    rows = Lanes(positives.select(USER, ITEM), [USER], [ITEM]).row_number("_row").result()
-    rows = materialise(rows.join(wanted.select(USER), USER, "left_semi").select(USER, "_row"), "rows")
-    result, short, round_no = None, wanted, 0
-    while True:
-        tries = F.explode(F.sequence(F.lit(round_no * 3 * n + 1), F.lit((round_no + 1) * 3 * n))).alias("_try")
-        draws = rows.join(short.select(USER), USER, "left_semi").select(USER, "_row", tries)
-        token = draw(seed, *(F.col(c).cast("string") for c in (USER, "_row", "_try")))
-        fresh = (
-            draws.select(USER, F.pmod(token, F.lit(num_items)).alias(ITEM), token.alias("_draw"))
-            .groupBy(USER, ITEM)
-            .agg(F.min("_draw").alias("_draw"))
-            .join(seen, [USER, ITEM], "left_anti")
-        )
-        if result is not None:
-            fresh = fresh.join(result, [USER, ITEM], "left_anti")
-        picked = _first_per_user(fresh, short)
-        result = materialise(picked if result is None else result.unionByName(picked), "negatives")
-        have = result.groupBy(USER).agg(F.count("*").alias("_have"))
-        left = wanted.join(have, USER, "left").withColumn("_want", F.col("_want") - F.coalesce("_have", F.lit(0)))
-        short = materialise(left.filter(F.col("_want") > 0).drop("_have"), "short")
-        if short.isEmpty():
-            return result
-        round_no += 1
+    held = seen.groupBy(USER).agg((F.lit(num_items) - F.count("*")).alias("_free"))
+    wanted = sizes.join(held, USER).select(USER, "_free", F.least(F.col("_rows") * n, F.col("_free")).alias("_want")).filter(F.col("_want") > 0)
+    draws = wanted.select(USER, "_free", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_want") - 1)).alias("_draw"))
+    ranks = draws.select(USER, permuted(seed, USER, F.col("_draw"), F.col("_free")).alias("_rank"))
+    return free_places(ranks, seen, USER, "_rank", ITEM).select(USER, ITEM)
 
 
 def negatives_bounded(positives: DataFrame, num_items: int, n: int = 4, seed: int = 42, tries: int = 10) -> DataFrame:

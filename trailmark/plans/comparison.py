@@ -97,11 +97,14 @@ def compare_models(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), results)
 
 
-def trade_off(metrics: DataFrame, k: int = CHAMPION_K) -> DataFrame:
-    """Quality against time: model, role, harmonic mean at K, seconds, and whether a model both better and faster exists."""
-    scored = metrics.filter(F.col("k") == k).withColumn("harmonic_mean", harmonic_mean()).select("model", "role", "k", "harmonic_mean", "seconds")
-    faster = Window.partitionBy("k").orderBy("seconds", F.desc("harmonic_mean")).rowsBetween(Window.unboundedPreceding, -1)
-    beaten = F.coalesce(F.max("harmonic_mean").over(faster) > F.col("harmonic_mean"), F.lit(False))
+def trade_off(metrics: DataFrame, k: int = CHAMPION_K, cost: str = "seconds") -> DataFrame:
+    """Quality against a cost column: model, role, harmonic mean at K, cost, and whether a model both better and cheaper exists.
+
+    Of models with equal cost the better one counts as the cheaper.
+    """
+    scored = metrics.filter(F.col("k") == k).withColumn("harmonic_mean", harmonic_mean()).select("model", "role", "k", "harmonic_mean", cost)
+    cheaper = Window.partitionBy("k").orderBy(cost, F.desc("harmonic_mean")).rowsBetween(Window.unboundedPreceding, -1)
+    beaten = F.coalesce(F.max("harmonic_mean").over(cheaper) > F.col("harmonic_mean"), F.lit(False))
     return scored.withColumn("dominated", beaten).drop("k")
 
 
@@ -169,22 +172,28 @@ def promotion_gate(candidate: DataFrame, reference: float | None, tolerance: flo
     )
 
 
-def batch_recommend(users: DataFrame, recommend: Callable[[DataFrame, int], DataFrame], default_limit: int = 10) -> DataFrame:
+def batch_recommend(
+    users: DataFrame, recommend: Callable[..., DataFrame], default_limit: int = 10, limits_as_data: bool = False
+) -> DataFrame:
     """Recommendation arrays for a user frame with an optional ``limit`` column.
 
     The first column is taken as the user when none is called ``user_id``. A
-    missing or null limit means the default.
+    missing or null limit means the default. ``recommend`` takes users and a list
+    length; with ``limits_as_data`` it takes rows (user_id, limit) once, whatever limits there are.
     """
     if USER not in users.columns:
         users = users.withColumnRenamed(users.columns[0], USER)
     limit = F.coalesce(F.col("limit").cast("int"), F.lit(default_limit)) if "limit" in users.columns else F.lit(default_limit)
     wanted = users.select(F.col(USER).cast("string").alias(USER), limit.alias("_limit"))
-    # users are served in classes of doubling limits, so that a long wish does not lengthen the lists of all others
-    most = wanted.groupBy(USER).agg(F.max("_limit").alias("_limit")).withColumn("_class", F.ceil(F.log2(F.greatest(F.col("_limit"), F.lit(1)))).cast("int"))
-    most = materialise(most, "limits")
-    classes = sorted(r["_class"] for r in most.select("_class").distinct().collect())
-    parts = [recommend(most.filter(F.col("_class") == c).select(USER), 2**c) for c in classes]
-    lists = reduce(DataFrame.unionByName, parts or [recommend(most.select(USER), default_limit)])
+    most = wanted.groupBy(USER).agg(F.max("_limit").alias("_limit"))
+    if limits_as_data:
+        lists = recommend(most.select(USER, F.col("_limit").alias("limit")))
+    else:
+        # users are served in classes of doubling limits, so that a long wish does not lengthen the lists of all others
+        most = materialise(most.withColumn("_class", F.ceil(F.log2(F.greatest(F.col("_limit"), F.lit(1)))).cast("int")), "limits")
+        classes = sorted(r["_class"] for r in most.select("_class").distinct().collect())
+        parts = [recommend(most.filter(F.col("_class") == c).select(USER), 2**c) for c in classes]
+        lists = reduce(DataFrame.unionByName, parts or [recommend(most.select(USER), default_limit)])
     cut = lists.join(most, USER).filter(F.col("rank") <= F.col("_limit"))
     return wanted.select(USER).join(as_lists(cut), USER, "left").select(
         USER, F.coalesce("recommendations", F.array().cast("array<string>")).alias("recommendations")

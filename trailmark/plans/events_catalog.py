@@ -501,17 +501,10 @@ def _(spark, folder):
     return sessions.sessionize(clicks(spark, folder), 1440, purchase_ends=False).select("event_id", "session_index")
 
 
-def _gap_case(value: str) -> str:
-    from trailmark.functions.columns import GAP_BREAKS_MIN
-
-    edges = ["-inf", *map(str, GAP_BREAKS_MIN), "inf"]
-    labels = [f"({a}, {b}]" for a, b in zip(edges, edges[1:])]
-    whens = " ".join(f"WHEN {value} <= {b} THEN {i}" for i, b in enumerate(GAP_BREAKS_MIN))
-    names = " ".join(f"WHEN {i} THEN '{label}'" for i, label in enumerate(labels))
-    return f"CASE {whens} ELSE {len(GAP_BREAKS_MIN)} END AS bin", f"CASE bin {names} END AS gap_bin"
-
-
-_BIN, _LABEL = _gap_case("minutes")
+_BIN = """CASE WHEN minutes <= 5 THEN 0 WHEN minutes <= 10 THEN 1 WHEN minutes <= 30 THEN 2 WHEN minutes <= 60 THEN 3
+  WHEN minutes <= 120 THEN 4 WHEN minutes <= 1440 THEN 5 WHEN minutes <= 10080 THEN 6 WHEN minutes <= 43200 THEN 7 ELSE 8 END AS bin"""
+_LABEL = """CASE bin WHEN 0 THEN '(-inf, 5]' WHEN 1 THEN '(5, 10]' WHEN 2 THEN '(10, 30]' WHEN 3 THEN '(30, 60]' WHEN 4 THEN '(60, 120]'
+  WHEN 5 THEN '(120, 1440]' WHEN 6 THEN '(1440, 10080]' WHEN 7 THEN '(10080, 43200]' ELSE '(43200, inf]' END AS gap_bin"""
 
 
 @query(

@@ -11,7 +11,7 @@ from trailmark.operators import cleaning, encoding, profiling, ranking_metrics,
 from trailmark.plans import comparison, stages
 from trailmark.plans import sql as q
 from trailmark.plans.registry import query
-from trailmark.sources.driver_tables import clicks, purchases
+from trailmark.sources.driver_tables import clicks, purchases, table
 from trailmark.storage import materialise
 
 DIGITS = 6
@@ -263,13 +263,46 @@ def _(spark, folder):
     return sampling.random_negatives(seen, users, items, seen.count())
 
 
-@query("negatives_per_positive")
+def _permuted_sql(x: str) -> str:
+    """Four rounds that add a draw over one half of x = left * b + right to the other."""
+    left, right = f"({x} // b)", f"({x} % b)"
+    for turn in range(4):
+        if turn % 2 == 0:
+            left = f"(({left} + {q.draw(42, 'user_index', str(turn), right)}) % a)"
+        else:
+            right = f"(({right} + {q.draw(42, 'user_index', str(turn), left)}) % b)"
+    return f"({left} * b + {right})"
+
+
+def _negatives_sql(name: str, positives: str) -> str:
+    """CTEs that end in ``name`` (user_index, item_index): four distinct unseen items per row of ``positives``."""
+    return f"""{name}_seen AS (SELECT DISTINCT user_index, item_index FROM {positives}),
+{name}_wish AS (SELECT user_index, free, least(rows * 4, free) AS want, a, (free + a - 1) // a AS b FROM (
+  SELECT *, CAST(ceil(sqrt(CAST(free AS DOUBLE))) AS BIGINT) AS a FROM (
+    SELECT user_index, count(*) AS rows, (SELECT n FROM catalogue) - count(DISTINCT item_index) AS free FROM {positives} GROUP BY 1) WHERE free > 0)),
+{name}_walk AS (WITH RECURSIVE walk AS (
+  SELECT user_index, free, a, b, {_permuted_sql('j')} AS x FROM (SELECT *, unnest(generate_series(0, want - 1)) AS j FROM {name}_wish)
+  UNION ALL SELECT user_index, free, a, b, {_permuted_sql('x')} FROM walk WHERE x >= free) SELECT * FROM walk),
+{name}_free AS (SELECT user_index, idx, row_number() OVER (PARTITION BY user_index ORDER BY idx) - 1 AS pos
+  FROM {name}_wish CROSS JOIN iid WHERE (user_index, idx) NOT IN (SELECT user_index, item_index FROM {name}_seen)),
+{name} AS (SELECT w.user_index, f.idx AS item_index FROM {name}_walk w JOIN {name}_free f ON f.user_index = w.user_index AND f.pos = w.x WHERE w.x < w.free)"""
+
+
+@query("negatives_per_positive", f"WITH {ENCODED}, {_negatives_sql('drawn', 'seen')} SELECT * FROM drawn")
 def _(spark, folder):
     seen, _, items = _seen(spark, folder)
     return sampling.negatives_per_positive(seen, items)
 
 
-@query("label_tables")
+@query(
+    "label_tables",
+    f"""WITH {ENCODED}, tail AS (SELECT *, row_number() OVER (PARTITION BY user_index ORDER BY timestamp, event_id) AS nth, count(*) OVER (PARTITION BY user_index) AS n FROM enc),
+    parts AS (SELECT user_index, item_index, CASE WHEN nth > n - greatest(1, floor(n * 0.2e0)) THEN 'validation' ELSE 'train' END AS split FROM tail),
+    tr AS (SELECT user_index, item_index FROM parts WHERE split = 'train'), va AS (SELECT user_index, item_index FROM parts WHERE split = 'validation'),
+    {_negatives_sql('tr_drawn', 'tr')}, {_negatives_sql('va_drawn', 'va')}
+    SELECT user_index, item_index, CAST(1 AS INTEGER) AS label, split FROM parts
+    UNION ALL SELECT user_index, item_index, 0, 'train' FROM tr_drawn UNION ALL SELECT user_index, item_index, 0, 'validation' FROM va_drawn""",
+)
 def _(spark, folder):
     encoded, _, items = encoding.encode_ids(clicks(spark, folder))
     count = items.count()
@@ -277,7 +310,11 @@ def _(spark, folder):
     return train.withColumn("split", F.lit("train")).unionByName(validation.withColumn("split", F.lit("validation")))
 
 
-@query("one_hot_pairs")
+@query(
+    "one_hot_pairs",
+    f"""WITH {ENCODED}, sizes AS (SELECT (SELECT count(*) FROM uid) AS nu, (SELECT count(*) FROM iid) AS ni)
+    SELECT user_index, item_index, concat('(', nu + ni, ',[', user_index, ',', nu + item_index, '],[1.0,1.0])') AS features FROM seen CROSS JOIN sizes""",
+)
 def _(spark, folder):
     seen, users, items = _seen(spark, folder)
     return encoding.one_hot_pairs(seen).select("user_index", "item_index", F.col("features").cast("string").alias("features"))
@@ -479,6 +516,19 @@ def _(spark, folder):
     return rounded(logistic.logistic_regression(train, users, 10))
 
 
+@query(
+    "logreg_gradient",
+    f"""WITH {q.HOLDOUT} SELECT DISTINCT 'user' AS kind, user_id AS id, 0e0 AS gradient FROM train
+    UNION ALL SELECT DISTINCT 'item', item_id, 0e0 FROM train UNION ALL SELECT 'intercept', '', 0e0""",
+)
+def _(spark, folder):
+    """Every weight of the fit is at the minimum: its derivative over all training rows rounds to 0."""
+    train, _, _ = holdout(spark, folder)
+    rows = materialise(logistic.training_rows(train), "rows")
+    slopes = logistic.gradient(logistic.fit_logistic(rows, tolerance=1e-8), rows)
+    return slopes.select("kind", "id", F.round("gradient", 4).alias("gradient"))
+
+
 @query("reco_latent")
 def _(spark, folder):
     weights, users = train_weights(spark, folder)
@@ -664,6 +714,131 @@ def _(spark, folder):
     return answered.select(USER, F.array_join("recommendations", ",").alias("recommendations"))
 
 
+@query(
+    "batch_recommend_long",
+    f"""WITH {q.HOLDOUT}, totals AS (SELECT item_id, CAST(count(*) AS DOUBLE) AS score FROM train GROUP BY 1), {UNSEEN_TOP.format(seen='train')},
+    lim AS (SELECT user_id, CASE WHEN user_id = (SELECT min(user_id) FROM users) THEN 50000 ELSE 10 END AS n FROM users),
+    lists AS (SELECT user_id, string_agg(item_id, ',' ORDER BY rank) AS recommendations FROM ranked JOIN lim USING (user_id) WHERE rank <= n GROUP BY 1)
+    SELECT user_id, coalesce(recommendations, '') AS recommendations FROM users LEFT JOIN lists USING (user_id)""",
+)
+def _(spark, folder):
+    """One user asks for 50,000 items, the others for ten."""
+    train, _, users = holdout(spark, folder)
+    first = users.agg(F.min(USER)).scalar()
+    asked = users.withColumn("limit", F.when(F.col(USER) == first, 50_000))
+    answered = comparison.batch_recommend(asked, lambda wanted: simple.popularity_upto(train, wanted), limits_as_data=True)
+    return answered.select(USER, F.array_join("recommendations", ",").alias("recommendations"))
+
+
+def _four_sql(head: str) -> str:
+    """Metrics at 10 of four models from lists that each model's own SQL makes, with coverage as share of the catalogue."""
+    random_lists = f"""items AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT item_id FROM train)),
+p AS (WITH RECURSIVE p AS (SELECT user_id, 0 AS j, CAST([] AS BIGINT[]) AS drawn FROM users UNION ALL
+      SELECT user_id, j, list_append(drawn, r + len(list_filter(list_sort(drawn), lambda s, i: s - (i - 1) <= r))) FROM (
+        SELECT user_id, j + 1 AS j, drawn, {q.draw(42, 'user_id', 'j + 1')} % ((SELECT max(n) FROM items) - j) AS r FROM p WHERE j < least(10, (SELECT max(n) FROM items))))
+      SELECT * FROM p),
+rnd AS (SELECT user_id, item_id, rank FROM (SELECT user_id, unnest(drawn) AS idx, generate_subscripts(drawn, 1) AS rank FROM p
+      WHERE j = least(10, (SELECT max(n) FROM items))) JOIN items USING (idx))"""
+    return f"""{head}, {random_lists},
+counts AS (SELECT item_id, count(*) AS c FROM train GROUP BY 1), pop AS (SELECT item_id, row_number() OVER (ORDER BY c DESC, item_id) AS rank FROM counts),
+last AS (SELECT item_id, max(timestamp) AS t FROM train GROUP BY 1), rec AS (SELECT item_id, row_number() OVER (ORDER BY t DESC, item_id) AS rank FROM last),
+knn AS ({_knn_sql(head, False, 19, 10)}),
+lists AS (SELECT 'popularity' AS model, user_id, item_id, rank FROM users CROSS JOIN pop WHERE rank <= 10
+  UNION ALL SELECT 'recent_items', user_id, item_id, rank FROM users CROSS JOIN rec WHERE rank <= 10
+  UNION ALL SELECT 'random', user_id, item_id, rank FROM rnd UNION ALL SELECT 'item_knn', user_id, item_id, rank FROM knn),
+covered AS (SELECT model, CAST(count(DISTINCT item_id) AS DOUBLE) / (SELECT count(*) FROM counts) AS coverage FROM lists GROUP BY 1),
+hits AS (SELECT l.model, l.user_id, l.rank, CASE WHEN t.item_id IS NULL THEN 0 ELSE 1 END AS hit FROM lists l LEFT JOIN truth t USING (user_id, item_id)),
+running AS (SELECT *, sum(hit) OVER (PARTITION BY model, user_id ORDER BY rank) AS seen_hits FROM hits),
+relevant AS (SELECT user_id, count(*) AS relevant FROM truth GROUP BY 1),
+ideal AS (SELECT CAST(n AS BIGINT) AS n, sum(1e0 / log2(n + 1)) OVER (ORDER BY n) AS gain FROM range(1, 11) t(n)),
+per_user AS (SELECT model, user_id, CAST(sum(hit) AS DOUBLE) / 10 AS precision, CAST(sum(hit) AS DOUBLE) / relevant AS recall,
+  sum(hit / log2(rank + 1e0)) / any_value(gain) AS ndcg, sum(CASE WHEN hit = 1 THEN seen_hits / CAST(rank AS DOUBLE) ELSE 0 END) / least(relevant, 10) AS map,
+  CAST(max(hit) AS DOUBLE) AS hit_rate FROM running JOIN relevant USING (user_id) JOIN ideal ON n = least(relevant, 10) GROUP BY model, user_id, relevant),
+means AS (SELECT model, avg(precision) AS precision, avg(recall) AS recall, avg(ndcg) AS ndcg, avg(map) AS map, avg(hit_rate) AS hit_rate FROM per_user GROUP BY model),
+hm AS (SELECT *, CASE WHEN least(precision, recall, ndcg, map) > 0 THEN 4e0 / (1e0 / precision + 1e0 / recall + 1e0 / ndcg + 1e0 / map) ELSE 0e0 END AS harmonic_mean
+  FROM means JOIN covered USING (model))"""
+
+
+CHECKED = ("popularity", "recent_items", "random", "item_knn")
+
+
+def _checked_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    train, truth, _ = holdout(spark, folder)
+    models = {n: m for n, m in comparison.model_registry().items() if n in CHECKED}
+    return comparison.compare_models(train, truth, models, (10,))
+
+
+@query(
+    "baseline_comparison",
+    f"WITH {_four_sql(q.HOLDOUT)} SELECT model, " + ", ".join(f"round({m}, 6) AS {m}" for m in (*ranking_metrics.METRICS, "coverage", "harmonic_mean")) + " FROM hm",
+)
+def _(spark, folder):
+    scored = _checked_metrics(spark, folder).withColumn("harmonic_mean", comparison.harmonic_mean())
+    return scored.select("model", *(F.round(m, 6).alias(m) for m in (*ranking_metrics.METRICS, "coverage", "harmonic_mean")))
+
+
+@query(
+    "trade_off",
+    f"""WITH {_four_sql(q.HOLDOUT)} SELECT model, 'baseline' AS role, round(harmonic_mean, 6) AS harmonic_mean, round(1e0 - coverage, 6) AS unused,
+      coalesce(max(harmonic_mean) OVER (ORDER BY 1e0 - coverage, harmonic_mean DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > harmonic_mean, false) AS dominated FROM hm""",
+)
+def _(spark, folder):
+    """Quality against the share of the catalogue that a model never shows; times differ from run to run."""
+    metrics = _checked_metrics(spark, folder).withColumn("unused", F.lit(1.0) - F.col("coverage"))
+    table = comparison.trade_off(metrics, cost="unused")
+    return table.select("model", "role", F.round("harmonic_mean", 6).alias("harmonic_mean"), F.round("unused", 6).alias("unused"), "dominated")
+
+
+@query(
+    "champion_lookup",
+    f"""WITH {THREE_SQL} SELECT 'compare_' || model AS run_name, round(harmonic_mean, 6) AS harmonic_mean FROM hm
+    WHERE k = 20 AND model <> 'no_such' ORDER BY harmonic_mean DESC, model LIMIT 1""",
+)
+def _(spark, folder):
+    """The best usable run of a run table: comparison runs with an artefact, among others that must not win."""
+    scored = _baseline_metrics(spark, folder).filter("k = 20")
+    logged = scored.select(F.concat(F.lit("compare_"), "model").alias("run_name"), F.lit(True).alias("has_artifact"), *ranking_metrics.METRICS)
+    better = [F.lit(1.0).alias(m) for m in ranking_metrics.METRICS]
+    others = scored.select(F.explode(F.array(F.lit("compare_lost"), F.lit("train_kept"))).alias("run_name"), *better)
+    runs = logged.unionByName(others.select("run_name", (F.col("run_name") == "train_kept").alias("has_artifact"), *ranking_metrics.METRICS))
+    return comparison.best_logged_run(runs).select("run_name", F.round("harmonic_mean", 6).alias("harmonic_mean"))
+
+
+@query(
+    "temporal_holdout",
+    f"WITH {q.HOLDOUT} SELECT 'train' AS part, user_id, item_id FROM train UNION ALL SELECT 'truth', user_id, item_id FROM truth",
+)
+def _(spark, folder):
+    train, truth = splits.temporal_holdout(clicks(spark, folder).select("visitorid", "itemid", "timestamp"))
+    parts = [frame.select(F.lit(name).alias("part"), USER, ITEM) for name, frame in (("train", train), ("truth", truth))]
+    return parts[0].unionByName(parts[1])
+
+
+CUSTOMERS_SQL = q.HOLDOUT.replace("SELECT DISTINCT user_id FROM truth", "SELECT CAST(c_custkey AS VARCHAR) AS user_id FROM customer")
+
+
+@query("reco_cold_users", _knn_sql(CUSTOMERS_SQL, False, 19, 10))
+def _(spark, folder):
+    """All customers as users of the click model, which knows only some of them: the others get the popular items."""
+    train, _, _ = holdout(spark, folder)
+    customers = table(spark, folder, "customer").select(F.col("c_custkey").cast("string").alias(USER))
+    return rounded(neighbours.item_knn(train, materialise(customers, "customers"), 10))
+
+
+@query(
+    "reco_ease_cold",
+    f"""WITH {CUSTOMERS_SQL}, counts AS (SELECT item_id, CAST(count(*) AS DOUBLE) AS score FROM train GROUP BY 1),
+    top AS (SELECT item_id, score, row_number() OVER (ORDER BY score DESC, item_id) AS rank FROM counts)
+    SELECT user_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM users CROSS JOIN top WHERE rank <= 10 AND user_id NOT IN (SELECT user_id FROM train)""",
+)
+def _(spark, folder):
+    """What users unknown to the fit get from it."""
+    train, _, _ = holdout(spark, folder)
+    customers = table(spark, folder, "customer").select(F.col("c_custkey").cast("string").alias(USER))
+    lists = ease.ease(train, materialise(customers, "customers"), 10)
+    return rounded(lists.join(train.select(USER).distinct(), USER, "left_anti"))
+
+
 # ---------------------------------------------------------------- stages
 
 
