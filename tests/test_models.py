@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from trailmark.models import conjugate, ease, latent, logistic, neighbours, simple
+from trailmark.models import conjugate, ease, latent, logistic, neighbours, pairwise, simple
 from trailmark.models.blocked import fold_scores, from_bytes, multiply_rows
 from trailmark.operators.cooccurrence import cooccurrence
 
@@ -247,3 +247,48 @@ def test_network_scores_are_those_of_the_fitted_model(spark, train):
     score = latent.network_scorer(network, [9, 5, 4, 2])
     for r in scored:
         assert abs(score(own[r.user_id][None], items[r.item_id][None])[0, 0] - r.probability[1]) < 1e-8
+
+
+def grouped_pairs(spark):
+    """Users and items of three groups; users like items of their own group, the first item of each more than the rest."""
+    rng = np.random.default_rng(30)
+    pairs = {(f"u{u:02}", f"i{(g := u % 3)}{n:02}") for u in range(60) for n in rng.choice(20, 8, replace=False, p=np.arange(20, 0, -1) / 210)}
+    pairs |= {(f"u{u:02}", f"i{int(rng.integers(3))}{int(rng.integers(20)):02}") for u in range(60)}
+    return pairs, spark.createDataFrame(sorted(pairs), "user_id string, item_id string")
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_pairwise_ranks_own_group_first(spark, blocks):
+    pairs, frame = grouped_pairs(spark)
+    model = pairwise.fit_pairwise(frame, rank=6, epochs=10, blocks=blocks)
+    lists = as_dict(latent.recommend_latent(model, users(spark, "u00", "u01", "u02", "u30", "nobody"), 5, block=7, users_per_shard=2))
+    assert "nobody" not in lists
+    own = [(u, i) for u, items in lists.items() for i in items]
+    assert len(own) == 20 and not set(own) & pairs
+    assert sum(int(i[1]) == int(u[1:]) % 3 for u, i in own) >= 16
+    rng = np.random.default_rng(31)
+    catalogue = sorted({i for _, i in pairs})
+    triplets = [(u, i, j) for u, i in sorted(pairs) for j in rng.choice(catalogue, 3) if (u, j) not in pairs]
+    table = spark.createDataFrame(triplets, "user_id string, positive string, negative string")
+    loss = pairwise.pairwise_loss(model, table)
+    squared = pairwise.pairwise_loss(latent.fit_latent(frame.withColumn("weight", F.lit(1.0)), rank=6), table)
+    assert loss < 0.4 < squared
+    again = pairwise.fit_pairwise(frame.repartition(7).orderBy(F.desc("item_id")), rank=6, epochs=10, blocks=blocks)
+    values = lambda m: {r["user_id"]: r["factors"] for r in m.user_factors.collect()}
+    assert values(model) == values(again)
+
+
+def test_pairwise_step_lowers_the_loss_of_its_cell():
+    rng = np.random.default_rng(32)
+    of_user, of_item = np.nonzero(rng.random((20, 15)) < 0.3)
+    users_, items_ = rng.normal(0, 0.1, (20, 5)), rng.normal(0, 0.1, (15, 5))
+    users_[:, -1] = 1.0
+    unseen = [(u, i, j) for u, i in zip(of_user, of_item) for j in range(15) if j not in of_item[of_user == u]]
+    loss = lambda: np.mean([np.log1p(np.exp(-users_[u] @ (items_[i] - items_[j]))) for u, i, j in unseen])
+    squares = np.zeros_like(users_), np.zeros_like(items_)
+    before = loss()
+    for turn in range(30):
+        pairwise.descend(users_, squares[0], items_, squares[1], (of_user, of_item), np.random.default_rng(turn), 0.1, 0.0)
+    assert loss() < 0.5 * before and (users_[:, -1] == 1).all()
+    full = np.nonzero(np.ones((2, 3)))  # users who have seen the whole block
+    pairwise.descend(users_[:2], squares[0][:2], items_[:3], squares[1][:3], full, rng, 0.1, 0.0)
