@@ -5,8 +5,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from trailmark.models import conjugate, ease, latent, logistic, neighbours, pairwise, simple
+from trailmark.models import conjugate, ease, latent, logistic, neighbours, neural, pairwise, simple
 from trailmark.models.blocked import fold_scores, from_bytes, multiply_rows
+from trailmark.operators import ranking_metrics
 from trailmark.operators.cooccurrence import cooccurrence
 
 CATALOGUE = [f"p{i}" for i in range(7)]
@@ -292,3 +293,40 @@ def test_pairwise_step_lowers_the_loss_of_its_cell():
     assert loss() < 0.5 * before and (users_[:, -1] == 1).all()
     full = np.nonzero(np.ones((2, 3)))  # users who have seen the whole block
     pairwise.descend(users_[:2], squares[0][:2], items_[:3], squares[1][:3], full, rng, 0.1, 0.0)
+
+
+def test_network_slopes_are_numerical_slopes():
+    rng = np.random.default_rng(40)
+    rank, layers = 3, (5, 4)
+    flat = neural.first_network(rank, layers, 1) + rng.normal(0, 0.1, sum(int(np.prod(s)) for s in neural.shapes(rank, layers)))
+    own, items, labels = rng.normal(size=(7, 6)), rng.normal(size=(7, 6)), rng.integers(0, 2, 7).astype(float)
+    loss, *slopes = neural.losses(flat, rank, layers, own, items, labels)
+    for place, slope in zip((flat, own, items), slopes):
+        for at in rng.choice(place.size, min(40, place.size), replace=False):
+            cell = np.unravel_index(at, place.shape)
+            kept = place[cell]
+            ends = []
+            for step in (1e-6, -1e-6):
+                place[cell] = kept + step
+                ends.append(neural.losses(flat, rank, layers, own, items, labels)[0])
+            place[cell] = kept
+            assert abs((ends[0] - ends[1]) / 2e-6 - slope[cell]) < 1e-5
+    scores = neural.pair_scores(flat, rank, layers)(own, items)
+    told = [neural.losses(flat, rank, layers, own[[u]], items[[i]], np.zeros(1))[0] for u, i in ((0, 1), (3, 3), (6, 2))]
+    assert np.allclose([-np.log(1 - scores[u, i]) for u, i in ((0, 1), (3, 3), (6, 2))], told, atol=1e-6)
+
+
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_neural_model_tells_groups_apart(spark, blocks):
+    pairs, frame = grouped_pairs(spark)
+    model = neural.fit_neural(frame, rank=4, layers=(8, 4), epochs=8, blocks=blocks)
+    catalogue, everyone = sorted({i for _, i in pairs}), sorted({u for u, _ in pairs})
+    unknown = [(u, i, int(i[1] == str(int(u[1:]) % 3))) for u in everyone for i in catalogue if (u, i) not in pairs]
+    held = spark.createDataFrame(unknown, "user_id string, item_id string, label int")
+    area = ranking_metrics.auc(neural.score_pairs(model, held).select("score", "label"), digits=6).first()[0]
+    assert area > 0.85
+    lists = as_dict(neural.recommend_neural(model, users(spark, "u00", "u30", "nobody"), 5, block=7))
+    assert set(lists) == {"u00", "u30"} and not {(u, i) for u, items in lists.items() for i in items} & pairs
+    if blocks > 1:
+        again = neural.fit_neural(frame.repartition(5), rank=4, layers=(8, 4), epochs=8, blocks=blocks)
+        assert (again.network == model.network).all()

@@ -9,11 +9,11 @@ those of another. A pass over all strata visits every interaction once.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.models.blocked import from_bytes, to_bytes
@@ -29,6 +29,28 @@ REDRAWS = 32
 FACTORS = "side string, block long, factors binary, squares binary"
 
 
+def unseen_draws(of_user: np.ndarray, of_item: np.ndarray, users: np.ndarray, count: int, rng: np.random.Generator) -> np.ndarray:
+    """For each of ``users`` an item below ``count`` that the sorted pairs do not have, -1 if none turned up in REDRAWS draws."""
+    known, base = of_user.astype(np.int64) * count + of_item, users.astype(np.int64) * count
+    seen = lambda code: known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code
+    drawn = rng.integers(0, count, len(users))
+    for _ in range(REDRAWS):
+        again = np.flatnonzero(seen(base + drawn))
+        if not len(again):
+            return drawn
+        drawn[again] = rng.integers(0, count, len(again))
+    return np.where(seen(base + drawn), -1, drawn)
+
+
+def climb(target: np.ndarray, squares: np.ndarray, rows: np.ndarray, slopes: np.ndarray, rate: float) -> None:
+    """Add the slopes of each row, scaled by the squares of all its sums so far, in place."""
+    by_row = np.argsort(rows, kind="stable")
+    unique, starts = np.unique(rows[by_row], return_index=True)
+    total = np.add.reduceat(slopes[by_row], starts)
+    squares[unique] += total**2
+    target[unique] += rate * total / np.sqrt(squares[unique] + 1e-8)
+
+
 def descend(
     users: np.ndarray, user_squares: np.ndarray, items: np.ndarray, item_squares: np.ndarray, pairs: tuple[np.ndarray, np.ndarray],
     rng: np.random.Generator, rate: float, decay: float,
@@ -41,27 +63,9 @@ def descend(
     of the block may find no such item in its redraws and is passed over in this visit.
     """
     of_user, of_item = pairs
-    count = len(items)
-    known = of_user.astype(np.int64) * count + of_item
-    other = rng.integers(0, count, len(of_user))
-    for _ in range(REDRAWS):
-        code = of_user.astype(np.int64) * count + other
-        at = np.minimum(np.searchsorted(known, code), len(known) - 1)
-        seen = np.flatnonzero(known[at] == code)
-        if not len(seen):
-            break
-        other[seen] = rng.integers(0, count, len(seen))
-    code = of_user.astype(np.int64) * count + other
-    fresh = known[np.minimum(np.searchsorted(known, code), len(known) - 1)] != code
+    other = unseen_draws(of_user, of_item, of_user, len(items), rng)
     order = rng.permutation(len(of_user))
-    order = order[fresh[order]]
-
-    def move(target: np.ndarray, squares: np.ndarray, rows: np.ndarray, slopes: np.ndarray) -> None:
-        by_row = np.argsort(rows, kind="stable")
-        unique, starts = np.unique(rows[by_row], return_index=True)
-        total = np.add.reduceat(slopes[by_row], starts)
-        squares[unique] += total**2
-        target[unique] += rate * total / np.sqrt(squares[unique] + 1e-8)
+    order = order[other[order] >= 0]
 
     for start in range(0, len(order), BATCH):
         some = order[start : start + BATCH]
@@ -70,32 +74,30 @@ def descend(
         pull = (1 / (1 + np.exp((own * difference).sum(1))))[:, None]
         toward = pull * difference - decay * own
         toward[:, -1] = 0.0
-        move(users, user_squares, u, toward)
-        move(items, item_squares, np.concatenate([i, j]), np.concatenate([pull * own - decay * items[i], -pull * own - decay * items[j]]))
+        slopes = np.concatenate([pull * own - decay * items[i], -pull * own - decay * items[j]])
+        climb(users, user_squares, u, toward, rate)
+        climb(items, item_squares, np.concatenate([i, j]), slopes, rate)
 
 
-def fit_pairwise(
-    train: DataFrame, rank: int = 32, epochs: int = 15, rate: float = 0.1, decay: float = 0.01, blocks: int = 0, seed: int = 42
-) -> LatentModel:
-    """Factors of users and items and item biases that rank seen items of (user_id, item_id) above unseen ones.
+def block_count(sizes: dict[str, int], pairs: int) -> int:
+    """Blocks a side so that neither a block nor an average cell is large."""
+    return max(1, math.ceil(max(sizes.values()) / BLOCK_ROWS), math.ceil(math.sqrt(pairs / CELL_PAIRS)))
 
-    ``blocks`` is the number of blocks a side (0: by size). Draws depend on seed, epoch and
-    cell, and cells are sorted, so the result is the same on any layout. Every
-    stratum stores the moved factors and deletes those before; a task holds two factor blocks and one cell.
-    """
-    encoded, users, items = encode_ids(pairs_of(train), USER, ITEM)
-    pairs = materialise(encoded.select("user_index", "item_index"), "pairs")
-    spark, sizes = pairs.sparkSession, {"user": users.count(), "item": items.count()}
-    blocks = blocks or max(1, math.ceil(max(sizes.values()) / BLOCK_ROWS), math.ceil(math.sqrt(pairs.count() / CELL_PAIRS)))
-    width = rank + 1
+
+def cells_of(pairs: DataFrame, blocks: int) -> DataFrame:
+    """Interactions (user_index, item_index) packed by cell: (ub, ib, u, i) with sorted rows within the blocks, stored."""
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["u", "i"])
         return pd.DataFrame({"ub": [int(key[0])], "ib": [int(key[1])], "u": [rows["u"].to_numpy(np.int32).tobytes()], "i": [rows["i"].to_numpy(np.int32).tobytes()]})
 
     deal = lambda c, block, row: (F.pmod(F.col(c), F.lit(blocks)).cast("long").alias(block), F.floor(F.col(c) / blocks).cast("int").alias(row))
-    cells = pairs.select(*deal("user_index", "ub", "u"), *deal("item_index", "ib", "i")).groupBy("ub", "ib").applyInPandas(pack, "ub long, ib long, u binary, i binary")
-    cells = materialise(cells, "cells")
+    dealt = pairs.select(*deal("user_index", "ub", "u"), *deal("item_index", "ib", "i"))
+    return materialise(dealt.groupBy("ub", "ib").applyInPandas(pack, "ub long, ib long, u binary, i binary"), "cells")
+
+
+def first_factors(spark: SparkSession, sizes: dict[str, int], blocks: int, width: int, seed: int, biased: bool) -> DataFrame:
+    """Small random factors per block and zero squares; with ``biased`` the last column is 1 for users and 0 for items."""
 
     def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -103,13 +105,56 @@ def fit_pairwise(
             for block in batch["id"]:
                 for number, side in enumerate(("user", "item")):
                     start = np.random.default_rng([seed, number, block]).normal(0, 0.1, (len(range(block, sizes[side], blocks)), width))
-                    start[:, -1] = 1.0 if side == "user" else 0.0
+                    if biased:
+                        start[:, -1] = 1.0 if side == "user" else 0.0
                     out.append((side, block, to_bytes(start), to_bytes(np.zeros_like(start))))
             yield pd.DataFrame(out, columns=["side", "block", "factors", "squares"])
 
-    factors = materialise(spark.range(blocks).mapInPandas(begin, FACTORS), "factors")
+    return materialise(spark.range(blocks).mapInPandas(begin, FACTORS), "factors")
+
+
+def meet(factors: DataFrame, cells: DataFrame, blocks: int, stratum: int) -> DataFrame:
+    """The block pairs of a stratum with their cells: (ub, ib, users, user_squares, items, item_squares, u, i)."""
+
+    def side_of(name: str, block: str) -> DataFrame:
+        return factors.filter(F.col("side") == name).select(F.col("block").alias(block), F.col("factors").alias(f"{name}s"), F.col("squares").alias(f"{name}_squares"))
+
+    left = side_of("user", "ub").withColumn("ib", F.pmod(F.col("ub") + stratum, F.lit(blocks)))
+    return left.join(side_of("item", "ib"), "ib").join(cells, ["ub", "ib"], "left")
+
+
+def named_factors(factors: DataFrame, users: DataFrame, items: DataFrame, blocks: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """Stored tables (user_id, factors) and (item_id, idx, factors)."""
+
+    def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                data = from_bytes(r.factors, width)
+                yield pd.DataFrame({"idx": r.block + blocks * np.arange(len(data)), "factors": list(data)})
+
+    table = lambda name: factors.filter(F.col("side") == name).mapInPandas(rows_of, "idx long, factors array<double>")
+    user_factors = table("user").join(users.withColumnRenamed("id", USER), "idx").select(USER, "factors")
+    item_factors = table("item").join(items.withColumnRenamed("id", ITEM), "idx").select(ITEM, "idx", "factors")
+    return materialise(user_factors, "user-factors"), materialise(item_factors, "item-factors")
+
+
+def fit_pairwise(
+    train: DataFrame, rank: int = 32, epochs: int = 15, rate: float = 0.1, decay: float = 0.01, blocks: int = 0, seed: int = 42
+) -> LatentModel:
+    """Factors of users and items and item biases that rank seen items of (user_id, item_id) above unseen ones.
+
+    ``blocks`` is the number of blocks a side (0: by size). Draws depend on seed, epoch and
+    cell, and cells are sorted, so the result is the same on any layout. Every
+    stratum stores the moved factors and deletes those before; a task holds two factor blocks and one cell.
+    """
+    encoded, users, items = encode_ids(pairs_of(train), USER, ITEM)
+    pairs = materialise(encoded.select("user_index", "item_index"), "pairs")
+    sizes = {"user": users.count(), "item": items.count()}
+    blocks, width = blocks or block_count(sizes, pairs.count()), rank + 1
+    cells = cells_of(pairs, blocks)
+    factors = first_factors(pairs.sparkSession, sizes, blocks, width, seed, biased=True)
 
-    def visit(epoch: int):
+    def visit(epoch: int) -> Callable:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 out = []
@@ -124,26 +169,12 @@ def fit_pairwise(
 
         return run
 
-    def side_of(name: str, block: str, prefix: str) -> DataFrame:
-        return factors.filter(F.col("side") == name).select(F.col("block").alias(block), F.col("factors").alias(f"{prefix}s"), F.col("squares").alias(f"{prefix}_squares"))
-
     for epoch in range(epochs):
         for stratum in range(blocks):
-            left = side_of("user", "ub", "user").withColumn("ib", F.pmod(F.col("ub") + stratum, F.lit(blocks)))
-            met = left.join(side_of("item", "ib", "item"), "ib").join(cells, ["ub", "ib"], "left")
-            factors = materialise(met.mapInPandas(visit(epoch), FACTORS), "factors", replaces=factors)
+            factors = materialise(meet(factors, cells, blocks, stratum).mapInPandas(visit(epoch), FACTORS), "factors", replaces=factors)
     discard(cells)
-
-    def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples():
-                data = from_bytes(r.factors, width)
-                yield pd.DataFrame({"idx": r.block + blocks * np.arange(len(data)), "factors": list(data)})
-
-    table = lambda name: factors.filter(F.col("side") == name).mapInPandas(rows_of, "idx long, factors array<double>")
-    user_factors = table("user").join(users.withColumnRenamed("id", USER), "idx").select(USER, "factors")
-    item_factors = table("item").join(items.withColumnRenamed("id", ITEM), "idx").select(ITEM, "idx", "factors")
-    return LatentModel(materialise(user_factors, "user-factors"), materialise(item_factors, "item-factors"), materialise(pairs_of(train), "history"), width, sizes["item"])
+    tables = named_factors(factors, users, items, blocks, width)
+    return LatentModel(*tables, materialise(pairs_of(train), "history"), width, sizes["item"])
 
 
 def pairwise_loss(model: LatentModel, triplets: DataFrame) -> float | None:

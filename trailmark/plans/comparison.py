@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.models import ease, latent, logistic, neighbours, pairwise, simple
+from trailmark.models import ease, latent, logistic, neighbours, neural, pairwise, simple
 from trailmark.models.common import ITEM, USER, as_lists
 from trailmark.operators.ranking_metrics import K_VALUES, catalogue_coverage, mean_metrics
 from trailmark.operators.splits import first_users
@@ -31,6 +31,7 @@ ROLES = {
     "ease": "challenger",
     "latent": "challenger",
     "pairwise": "challenger",
+    "neural": "challenger",
     "neural_rerank": "challenger",
 }
 
@@ -50,6 +51,7 @@ def model_registry(rank: int = 64) -> dict[str, Recommender]:
         "ease": lambda train, users, k: ease.ease(train, users, k),
         "latent": lambda train, users, k: latent.recommend_latent(latent.fit_latent(_counted(train), rank), users, k),
         "pairwise": lambda train, users, k: latent.recommend_latent(pairwise.fit_pairwise(train, rank), users, k),
+        "neural": lambda train, users, k: neural.recommend_neural(neural.fit_neural(train, max(1, rank // 2)), users, k),
         "neural_rerank": lambda train, users, k: latent.neural_rerank(train, _counted(train), users, k, rank),
     }
 

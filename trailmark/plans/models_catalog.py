@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.models import ease, latent, logistic, neighbours, pairwise, simple
+from trailmark.models import ease, latent, logistic, neighbours, neural, pairwise, simple
 from trailmark.models.common import ITEM, USER
 from trailmark.operators import cleaning, encoding, profiling, ranking_metrics, sampling, splits
 from trailmark.plans import comparison, stages
@@ -541,6 +541,12 @@ def _(spark, folder):
     return rounded(latent.recommend_latent(pairwise.fit_pairwise(train), users, 10))
 
 
+@query("reco_neural")
+def _(spark, folder):
+    train, _, users = holdout(spark, folder)
+    return rounded(neural.recommend_neural(neural.fit_neural(train), users, 10))
+
+
 @query("reco_rerank")
 def _(spark, folder):
     train, _, users = holdout(spark, folder)
