@@ -111,15 +111,15 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     both are they numbered to keep one.
     """
     rows = duplicate_groups(docs, id_col, text_col, block_bytes)
-    same = rows.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("_copies"), F.max("kept").alias("_kept"))
-    kept = same.filter("_kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "_copies")
-    kept = materialise(kept, "kept")
+    same = rows.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("copies"), F.max("kept").alias("kept"))
+    kept = materialise(same.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"), "copies"), "kept")
+    # the row travels as one column, so that its columns may have any names
     digest = F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))).cast("binary"), 256)
-    match = docs[id_col].eqNullSafe(kept["_id"]) & (digest == kept["_sha"])
-    if kept.filter("_copies > 1").isEmpty():
-        return docs.join(kept, match, "left_semi")
-    found = docs.join(kept, match)
-    rest = F.xxhash64(*(docs[c] for c in docs.columns))
-    number = F.row_number().over(Window.partitionBy("_id", "_sha").orderBy(rest))
-    once = found.filter("_copies > 1").withColumn("_number", number).filter("_number = 1").select(*docs.columns)
-    return found.filter("_copies = 1").select(*docs.columns).unionByName(once)
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].alias("id"), digest.alias("sha"))
+    match = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha"))
+    if kept.filter("copies > 1").isEmpty():
+        return whole.join(kept, match, "left_semi").select("row.*")
+    found = whole.join(kept, match)
+    number = F.row_number().over(Window.partitionBy("kept_id", "kept_sha").orderBy(F.xxhash64("row")))
+    once = found.filter("copies > 1").withColumn("number", number).filter("number = 1")
+    return found.filter("copies = 1").select("row.*").unionByName(once.select("row.*"))
