@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.llm.common import LOWER, UPPER, ascii_lower
+from trailmark.storage import materialise
 
 TOKEN = r"[^\p{L}\p{N}]+"
 RULE_SCHEMA = "rule string, action string, pattern string, literals array<string>, listed boolean, length int"
@@ -92,9 +93,10 @@ def judge_urls(
     """
     urls = pages.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("page_id"), F.col(url_col).alias("_url"))
     urls = urls.select("_row", "page_id", host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"))
-    # the empty token fetches the rules without tokens and keeps urls that have none
+    urls = materialise(urls, "urls")  # rows are numbered once, as they are met again below
+    # the empty token fetches the rules without tokens
     tokens = F.array_distinct(F.concat(F.array(F.lit("")), F.split(ascii_lower(F.concat("host", "path")), TOKEN)))
-    probes = urls.withColumn("token", F.explode(tokens))
+    probes = urls.select("_row", F.explode(tokens).alias("token"))
 
     named = rules.select(*(F.col(c) for c in ("rule", "action", "pattern", "literals", "listed", "length")))
     wanted = named.select("rule", "pattern", "action", "listed", "length", F.explode(F.when(F.size("literals") > 0, F.col("literals")).otherwise(F.array(F.lit("")))).alias("token"))
@@ -102,13 +104,15 @@ def judge_urls(
     rarest = F.min(F.struct(F.coalesce("_urls", F.lit(0)).alias("n"), "token"))["token"]
     index = wanted.join(counts, "token", "left").groupBy("rule", "pattern", "action", "listed", "length").agg(rarest.alias("token"))
 
-    fetched = probes.join(index, "token", "left")
-    fits = F.col("pattern").isNotNull() & F.rlike(F.concat("host", "path"), F.col("pattern"))
+    # a token carries its row number and nothing else; the url comes back for the rules that were fetched
+    fetched = probes.join(index, "token").drop("token").join(urls.select("_row", F.concat("host", "path").alias("_text")), "_row")
+    fits = fetched.filter(F.rlike("_text", F.col("pattern")))
     ranked = F.struct(F.col("length"), (F.col("action") == "block").alias("block"), "rule", "action")
-    best = fetched.groupBy("_row", "page_id", "host", "path").agg(
-        F.max(F.when(fits & F.col("listed"), ranked)).alias("_listed"),
-        F.max(F.when(fits & ~F.col("listed"), F.struct((F.col("action") == "block").alias("block"), "length", "rule", "action"))).alias("_other"),
+    decided = fits.groupBy("_row").agg(
+        F.max(F.when(F.col("listed"), ranked)).alias("_listed"),
+        F.max(F.when(~F.col("listed"), F.struct((F.col("action") == "block").alias("block"), "length", "rule", "action"))).alias("_other"),
     )
+    best = urls.join(decided, "_row", "left")
     return best.select(
         "page_id",
         "host",
