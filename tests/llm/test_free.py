@@ -1,6 +1,7 @@
 """Decontamination, language-model scoring, quality, n-gram join and language id on small tables."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -32,7 +33,25 @@ def test_tiles_match_brute_force():
         assert len({k for i, _, n in tiles for k in range(i, i + n)}) == sum(n for *_, n in tiles)
         lengths = [n for *_, n in tiles]
         assert lengths == sorted(lengths, reverse=True)
-        assert bool(tiles) == bool(best_tiles(list(item), list(doc), 3))
+        assert sum(lengths) == best_tiles(list(item), list(doc), 3)
+
+
+def test_repetitive_texts_are_tiled_in_time():
+    start = time.perf_counter()
+    same = lambda n: np.ones(n, np.int64)
+    assert decontaminate.tiles_of(same(100), same(20_000)) == [(0, 0, 100)]
+    assert decontaminate.tiles_of(same(1_000), same(1_000_000)) == [(0, 0, 1_000)]
+    assert sum(n for *_, n in decontaminate.tiles_of(same(5_000), np.tile([1, 1, 1, 1, 1, 1, 1, 2], 3_000))) == 5_000 // 7 * 7
+    turns = np.tile([1, 2, 3], 40_000)
+    assert sum(n for *_, n in decontaminate.tiles_of(turns[1:3_001], turns)) == 3_000
+    assert time.perf_counter() - start < 20
+
+
+def test_item_ids_of_any_type(spark):
+    text = " ".join(VOCABULARY[:30])
+    bench = spark.createDataFrame([("a-1", text), (None, text), ("b", "other words here")], "item_id string, text string")
+    found = decontaminate.find_leaks(documents(spark, [(1, "x " + text), (2, "y")]), bench).collect()
+    assert sorted((r.doc_id, r.item_id or "") for r in found) == [(1, ""), (1, "a-1")]
 
 
 def test_leaks(spark):

@@ -1,6 +1,7 @@
 """Chat formatting, mixing, personal data, url rules and exact dedup on small tables with awkward rows."""
 
 import random
+import time
 
 import duckdb
 import pandas as pd
@@ -139,6 +140,17 @@ def test_drop_duplicates_keeps_columns_and_one_row(spark):
     assert out.count() == len(bodies)
 
 
+def test_drop_duplicates_with_clashing_names(spark):
+    schema = "doc_id long, text string, _id string, _sha long, _copies int, copies int, row long, sha string, kept boolean, number int, kept_id long, id long"
+    rows = [(1, "a", "x", 5, 6, 7, 8, "y", True, 9, 10, 11), (1, "a", "x", 5, 6, 7, 8, "y", True, 9, 10, 11), (2, "A", "z", 1, 1, 1, 1, "q", False, 1, 1, 1), (None, None, None, 5, 6, 7, 8, "y", True, 9, 10, 11), (3, "b", "x", 5, 6, 7, 8, "y", True, 9, 10, 11), (3, "b", "w", 5, 6, 7, 8, "y", True, 9, 10, 11)]
+    docs = spark.createDataFrame(rows, schema)
+    out = exact_dedup.drop_duplicates(docs)
+    assert out.columns == docs.columns
+    assert sorted(str((r.doc_id, r.text)) for r in out.collect()) == ["(2, 'A')", "(3, 'b')", "(None, None)"]
+    single = exact_dedup.drop_duplicates(docs.filter("doc_id = 2 or doc_id is null"))
+    assert single.columns == docs.columns and single.count() == 2
+
+
 # ------------------------------------------------------------------ personal data
 
 HARD = [
@@ -189,3 +201,18 @@ def test_rules_without_tokens_and_cut_tokens(spark):
     rules = [url_filter.prefix_rule("block", "a.b", "/foo"), url_filter.UrlRule("any", "block", "/q$", ())]
     got = {r.page_id: (r.rule, r.verdict, r.pattern_rule) for r in url_filter.judge_urls(frame, url_filter.rule_table(spark, rules)).collect()}
     assert got == {1: ("a.b/foo", "block", None), 2: (None, "block", "any"), 3: (None, "allow", None)}
+
+
+def test_many_rules_and_long_urls(spark):
+    """Thousands of rules, of which a url only tries those it fetched; a url of very many tokens takes little longer."""
+    path = "/".join(f"t{i}" for i in range(60_000))
+    urls = [(i, f"x://h{i}.org/part{i}/x") for i in range(300)] + [(1_000, f"x://h7.org/{path}"), (1_001, f"x://long.net/{path}/bad-1999")]
+    rules = [url_filter.prefix_rule("block", f"h{i}.org", f"/part{i}/") for i in range(0, 3_000, 2)]
+    rules += [url_filter.word_rule("block", f"bad-{i}") for i in range(2_000)]
+    frame = spark.createDataFrame(urls, "page_id long, url string")
+    start = time.perf_counter()
+    got = {r.page_id: (r.rule, r.verdict, r.pattern_rule) for r in url_filter.judge_urls(frame, url_filter.rule_table(spark, rules)).collect()}
+    assert time.perf_counter() - start < 60
+    for i in range(300):
+        assert got[i] == ((f"h{i}.org/part{i}/", "block", None) if i % 2 == 0 else (None, "allow", None))
+    assert got[1_000] == (None, "allow", None) and got[1_001] == (None, "block", "*bad-1999*")

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: words a tile has at least; shorter common runs say nothing
 MIN_TILE = 5
@@ -24,7 +25,6 @@ COVERAGE = 0.6
 #: characters of benchmark text that one pass over the documents holds in a task
 BLOCK_CHARS = 4_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
-MATCH = "array<struct<item_id:bigint,coverage:double,tiles:array<struct<item_start:int,doc_start:int,length:int>>>>"
 
 _WORD = re.compile(r"\w+")
 
@@ -57,9 +57,11 @@ def tiles_of(item: np.ndarray, doc: np.ndarray, least: int = MIN_TILE) -> list[t
     """Greedy string tiling: item start, doc start and length of every tile, longest first.
 
     Ids of 0 match nothing. A common unmarked run of some length implies shorter
-    ones, so bisection over hashed windows finds the longest length; every
-    match of that length is compared word by word and marked if still free,
-    from the left.
+    ones, so bisection over hashed windows finds the longest length. Every
+    unmarked item window of that length then takes the first unmarked document
+    window that is equal to it word by word, and both are marked. Windows of one hash
+    share a list of document starts that is walked once, so that repetitive
+    texts cost no more than others.
     """
     free_item, free_doc = item > 0, doc > 0
     tiles = []
@@ -68,25 +70,33 @@ def tiles_of(item: np.ndarray, doc: np.ndarray, least: int = MIN_TILE) -> list[t
         low, high, found = least, most, None
         while low <= high:
             middle = (low + high + 1) // 2 if found is not None else low
-            pairs = _common(item, doc, free_item, free_doc, middle)
-            if pairs:
-                found, low = (middle, pairs), middle + 1
+            windows = _common(item, doc, free_item, free_doc, middle)
+            if windows is not None:
+                found, low = (middle, windows), middle + 1
             else:
                 high = middle - 1
         if found is None:
             return tiles
-        most, pairs = found
-        for i, starts in pairs:
-            for d in starts:
-                if free_item[i : i + most].all() and free_doc[d : d + most].all():
-                    tiles.append((int(i), int(d), most))
+        most, (at, first, last, places) = found
+        walked: dict[int, int] = {}
+        for i, a, b in zip(at.tolist(), first.tolist(), last.tolist()):
+            if not free_item[i : i + most].all():
+                continue
+            walk = walked.get(a, a)
+            while walk < b and not free_doc[places[walk] : places[walk] + most].all():
+                walk += 1
+            walked[a] = walk
+            for d in places[walk:b].tolist():  # the first is equal, unless two windows share a hash
+                if np.array_equal(item[i : i + most], doc[d : d + most]) and free_doc[d : d + most].all():
+                    tiles.append((i, d, most))
                     free_item[i : i + most] = False
                     free_doc[d : d + most] = False
                     break
 
 
-def _common(item, doc, free_item, free_doc, length: int) -> list[tuple[int, np.ndarray]]:
-    """Unmarked windows of the item with the starts of equal unmarked windows of the document."""
+def _common(item, doc, free_item, free_doc, length: int) -> tuple[np.ndarray, ...] | None:
+    """Unmarked item windows that some unmarked document window equals: their starts, and where their hash's document
+    starts begin and end in the last array. None if there is no such pair."""
 
     def windows(ids, free):
         hashes = window_hashes(ids, length)
@@ -99,19 +109,19 @@ def _common(item, doc, free_item, free_doc, length: int) -> list[tuple[int, np.n
     order = np.argsort(other, kind="stable")
     other, places = other[order], places[order]
     first, last = np.searchsorted(other, own, "left"), np.searchsorted(other, own, "right")
-    found = []
-    for i, a, b in zip(at, first, last):
-        same = [d for d in places[a:b] if np.array_equal(item[i : i + length], doc[d : d + length])]
-        if same:
-            found.append((i, same))
-    return found
+    hit = np.flatnonzero(last > first)
+    for k in hit:  # ends at the first, unless two windows share a hash
+        i = at[k]
+        if any(np.array_equal(item[i : i + length], doc[d : d + length]) for d in places[first[k] : last[k]]):
+            return at[hit], first[hit], last[hit], places
+    return None
 
 
 @dataclass
 class SeedIndex:
     """Seeds of a block of items: sorted hashes, each with the item positions it stands at."""
 
-    items: list[tuple[int, str]]
+    items: list[tuple[object, str]]
     least: int = MIN_TILE
 
     def build(self) -> SeedIndex:
@@ -201,29 +211,30 @@ def find_leaks(
     Returns doc_id, item_id, coverage, tiles (item_start, doc_start, length in words).
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
+    kind, item_kind = rows.schema["doc_id"].dataType, benchmark.schema[item_col].dataType
+    tile = "struct<item_start:int,doc_start:int,length:int>"
+    schema = f"doc_id {kind.simpleString()}, matches array<struct<item_id:{item_kind.simpleString()},coverage:double,tiles:array<{tile}>>>"
     found = None
     for items in benchmark_blocks(benchmark, item_col, item_text_col, block_chars):
-        part = rows.mapInArrow(_pairs(items, coverage, least), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, matches {MATCH}")
+        part = rows.mapInArrow(_pairs(items, coverage, least, to_arrow_type(item_kind)), schema)
         found = part if found is None else found.unionByName(part)
     return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
 
 
-def _pairs(items, coverage, least):
+def _pairs(items, coverage, least, item_kind):
+    tile = pa.struct([("item_start", pa.int32()), ("doc_start", pa.int32()), ("length", pa.int32())])
+    match = pa.list_(pa.struct([("item_id", item_kind), ("coverage", pa.float64()), ("tiles", pa.list_(tile))]))
+
     def run(batches):
         index = SeedIndex(items, least).build()
         for batch in batches:
             found = [(i, m) for i, m in enumerate(index.matches(t, coverage) for t in batch.column(1).to_pylist()) if m]
             ids = batch.column(0).take(pa.array([i for i, _ in found], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([m for _, m in found], _ARROW_MATCH)], ["doc_id", "matches"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([m for _, m in found], match)], ["doc_id", "matches"])
 
     return run
 
 
-_ARROW_MATCH = pa.list_(
-    pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.list_(pa.struct([("item_start", pa.int32()), ("doc_start", pa.int32()), ("length", pa.int32())])))])
-)
-
-
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = MIN_TILE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that no benchmark item covers."""
     place = docs.columns.index(text_col)
