@@ -13,6 +13,7 @@ import math
 from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -22,7 +23,7 @@ from pyspark.sql.window import Window, WindowSpec
 
 from trailmark.storage import materialise
 
-PLACE, PART, COPY, TIE = "_tm_place", "_tm_part", "_tm_copy", "_tm_tie"  # internal columns; input may not have them
+PLACE, PART, COPY, TIE, RANGE = "_tm_place", "_tm_part", "_tm_copy", "_tm_tie", "_tm_range"  # internal columns; input may not have them
 POSITION_BITS = 33  # monotonically_increasing_id keeps the row position in its lower 33 bits
 DRIVER_ROWS = 50_000  # rows of order keys the driver may hold to finish a rank search
 PIVOT_SAMPLE = 4_000
@@ -125,20 +126,20 @@ class _Range:
     below: int
     size: int
 
-    def rows(self, keys: DataFrame, order: Sequence[str]) -> DataFrame:
+    def inside(self, schema: T.StructType, order: Sequence[str]) -> Column:
         """The first order column is compared on its own as well, so that the scan can skip data.
 
         Nulls come first: they are above no bound and below every other value.
         """
-        lead, row = F.col(order[0]), _row(order)
+        lead, row, test = F.col(order[0]), _row(order), F.lit(True)
         if self.low is not None:
-            keys = keys.filter(row > _literal(keys.schema, order, self.low))
+            test = test & (row > _literal(schema, order, self.low))
             if self.low[0] is not None:
-                keys = keys.filter(lead >= F.lit(self.low[0]))
+                test = test & (lead >= F.lit(self.low[0]))
         if self.high is not None:
-            keys = keys.filter(row < _literal(keys.schema, order, self.high))
-            keys = keys.filter(lead.isNull() if self.high[0] is None else lead.isNull() | (lead <= F.lit(self.high[0])))
-        return keys
+            test = test & (row < _literal(schema, order, self.high))
+            test = test & (lead.isNull() if self.high[0] is None else lead.isNull() | (lead <= F.lit(self.high[0])))
+        return test
 
 
 def keys_at_ranks(
@@ -148,8 +149,9 @@ def keys_at_ranks(
 
     The candidate range is narrowed around each rank with sampled pivots and
     exact counts until at most ``DRIVER_ROWS`` order keys are left to sort, so
-    neither a global sort nor a large collect happens. All ranks share the
-    passes over the full table.
+    neither a global sort nor a large collect happens. All ranges share the
+    passes: a round is one pass that fetches the rows of short ranges and a
+    sample of the others, and one that counts around all pivots.
     """
     keys = frame.select(*order)
     if total is None:
@@ -159,27 +161,47 @@ def keys_at_ranks(
         raise ValueError(f"ranks {wanted} outside 0..{total - 1}")
     found: dict[int, RankKey] = {}
     open_ranges = {_Range(None, None, 0, total): wanted} if wanted else {}
-    attempt = 0
+    attempt, short = 0, max(DRIVER_ROWS, PIVOT_SAMPLE)
     while open_ranges:
         attempt += 1
+        spans = list(open_ranges)
+        shares = [1.0 if span.size <= short else min(1.0, PIVOT_SAMPLE / span.size) for span in spans]
+        fetched = _fetch(keys, order, spans, shares, attempt)
         narrowed: dict[_Range, list[int]] = {}
-        for span, inside in open_ranges.items():
-            candidates = span.rows(keys, order)
-            if span.size <= max(DRIVER_ROWS, PIVOT_SAMPLE):
-                found.update(_sorted_ranks(candidates, span, inside))
-                continue
-            for rank, outcome in _probe(candidates, order, span, inside, attempt).items():
-                if isinstance(outcome, RankKey):
-                    found[rank] = outcome
-                else:
-                    narrowed.setdefault(outcome, []).append(rank)
+        pivots: dict[tuple[_Range, int], tuple[tuple, tuple]] = {}
+        for span, rows in zip(spans, fetched):
+            inside = open_ranges[span]
+            if span.size <= short:
+                found.update(_sorted_ranks(rows, span, inside))
+            elif rows:
+                pivots |= {(span, rank): pair for rank, pair in _pivots(rows, span, inside).items()}
+            else:
+                narrowed[span] = inside
+        for rank, outcome in _brackets(keys, order, pivots).items():
+            if isinstance(outcome, RankKey):
+                found[rank] = outcome
+            else:
+                narrowed.setdefault(outcome, []).append(rank)
         open_ranges = narrowed
     return found
 
 
-def _sorted_ranks(candidates: DataFrame, span: _Range, ranks: Sequence[int]) -> dict[int, RankKey]:
+def _fetch(keys: DataFrame, order: Sequence[str], spans: Sequence[_Range], shares: Sequence[float], seed: int) -> list[list[tuple]]:
+    """Sampled order keys of every range, all in one pass."""
+    tests = [span.inside(keys.schema, order) for span in spans]
+    which = F.coalesce(*(F.when(test, F.lit(n)) for n, test in enumerate(tests)))
+    rows = keys.filter(reduce(Column.__or__, tests)).select(*order, which.alias(RANGE))
+    if min(shares) < 1.0:
+        rows = rows.filter(F.rand(seed) < F.element_at(F.array(*(F.lit(s) for s in shares)), F.col(RANGE) + 1))
+    result: list[list[tuple]] = [[] for _ in spans]
+    for row in rows.collect():
+        result[row[RANGE]].append(tuple(row)[:-1])
+    return result
+
+
+def _sorted_ranks(candidates: list[tuple], span: _Range, ranks: Sequence[int]) -> dict[int, RankKey]:
     """Answer from the few candidates left, sorted by the driver."""
-    rows = sorted((_key(r), tuple(r)) for r in candidates.collect())
+    rows = sorted((_key(r), r) for r in candidates)
     marks = [mark for mark, _ in rows]
     result = {}
     for rank in ranks:
@@ -189,32 +211,36 @@ def _sorted_ranks(candidates: DataFrame, span: _Range, ranks: Sequence[int]) ->
     return result
 
 
-def _probe(
-    candidates: DataFrame, order: Sequence[str], span: _Range, ranks: Sequence[int], attempt: int
-) -> dict[int, RankKey | _Range]:
-    """Bracket each rank between two sampled rows and count exactly how many rows they enclose.
-
-    The new range leaves the pivots out, so it shrinks even when few values fill it.
-    """
-    fraction = min(1.0, PIVOT_SAMPLE / span.size)
-    sample = sorted((tuple(r) for r in candidates.sample(fraction=fraction, seed=attempt).collect()), key=_key)
-    if not sample:
-        return dict.fromkeys(ranks, span)
+def _pivots(sampled: list[tuple], span: _Range, ranks: Sequence[int]) -> dict[int, tuple[tuple, tuple]]:
+    """Two sampled rows that most likely enclose each rank."""
+    sample = sorted(sampled, key=_key)
     margin = 2 + 2 * math.sqrt(len(sample))
     pivots = {}
     for rank in ranks:
         centre = (rank - span.below) / span.size * len(sample)
-        pivots[rank] = (sample[max(0, int(centre - margin))], sample[min(len(sample) - 1, int(centre + margin))])
-    row, schema = _row(order), candidates.schema
+        pivots[rank] = (sample[max(0, min(len(sample) - 1, int(centre - margin)))], sample[min(len(sample) - 1, int(centre + margin))])
+    return pivots
+
+
+def _brackets(keys: DataFrame, order: Sequence[str], pivots: dict[tuple[_Range, int], tuple[tuple, tuple]]) -> dict[int, RankKey | _Range]:
+    """Count exactly how many rows the pivots of every rank enclose, in one pass, and narrow each range.
+
+    The new range leaves the pivots out, so it shrinks even when few values fill it.
+    """
+    if not pivots:
+        return {}
+    row, schema = _row(order), keys.schema
+    spans = {span for span, _ in pivots}
     counts = []
-    for pair in pivots.values():
+    for (span, _), pair in pivots.items():
+        inside = span.inside(schema, order)
         for pivot in pair:
             at = _literal(schema, order, pivot)
-            counts += [F.count_if(row < at), F.count_if(row <= at)]
-    counted = [span.below + n for n in candidates.agg(*counts).first()]
+            counts += [F.count_if(inside & (row < at)), F.count_if(inside & (row <= at))]
+    counted = keys.filter(reduce(Column.__or__, (span.inside(schema, order) for span in spans))).agg(*counts).first()
     result: dict[int, RankKey | _Range] = {}
-    for i, (rank, (first, last)) in enumerate(pivots.items()):
-        under_first, upto_first, under_last, upto_last = counted[4 * i : 4 * i + 4]
+    for i, ((span, rank), (first, last)) in enumerate(pivots.items()):
+        under_first, upto_first, under_last, upto_last = (span.below + n for n in counted[4 * i : 4 * i + 4])
         if under_first <= rank < upto_first:
             result[rank] = RankKey(first, under_first, upto_first - under_first)
         elif under_last <= rank < upto_last:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from trailmark.functions.columns import FUNNEL, date_parts, is_event, lenient_long, minutes_between, percent
 from trailmark.operators.cleaning import number_events
-from trailmark.operators.ordering import Lanes
+from trailmark.operators.ordering import Lanes, running_totals
 from trailmark.operators.profiling import membership_rate, metric_rows
+from trailmark.storage import materialise
 
 EVENT_ORDER = ("timestamp", "visitorid", "itemid", "event")
 ASOF_PROPERTIES = {"categoryid": "categoryid_asof", "available": "available_asof"}
@@ -174,35 +175,25 @@ def feature_readiness(
 def prior_count_percentile(events: DataFrame, key: str, fraction: float) -> float | None:
     """Percentile of the number of earlier rows with the same key, from group sizes alone.
 
-    A key with s rows contributes the counts 0..s-1, so the histogram of sizes
-    says how many rows have each count; no row has to be numbered.
+    A key with s rows contributes the counts 0..s-1. Over the histogram of sizes
+    in order, with K keys of which A are smaller than s and hold S rows, the rows
+    of a count below s are S + (K - A) * s; the first size at which this passes a
+    rank holds it. The sums are formed over a range shuffle, so that the
+    number of distinct sizes is not bounded by the driver.
     """
     sizes = events.groupBy(key).agg(F.count("*").alias("s")).groupBy("s").agg(F.count("*").alias("keys"))
-    return _percentile_of_prefixes([(r["s"], r["keys"]) for r in sizes.orderBy("s").collect()], fraction)
-
-
-def _percentile_of_prefixes(sizes: list[tuple[int, int]], fraction: float) -> float | None:
-    """Linear percentile of the values 0..s-1 repeated for every key of size s (sizes ascending).
-
-    The list has one entry per distinct size: at most about sqrt(2 * rows).
-    """
-    total = sum(s * k for s, k in sizes)
-    if total == 0:
+    placed = running_totals(sizes.withColumn("held", F.col("s") * F.col("keys")), ["s"], {"_keys": "keys", "_held": "held"})
+    stored = materialise(placed, "sizes")
+    keys, rows = stored.agg(F.max("_keys"), F.max("_held")).first()
+    if not rows:
         return None
-
-    def value_at(rank: int) -> int:
-        alive, start, passed = sum(k for _, k in sizes), 0, 0
-        for size, keys in sizes:  # counts start..size-1 occur once per key still alive
-            block = (size - start) * alive
-            if rank < passed + block:
-                return start + (rank - passed) // alive
-            passed, start, alive = passed + block, size, alive - keys
-        raise AssertionError("rank beyond the last row")
-
-    place = fraction * (total - 1)
-    low = value_at(int(place))
-    high = value_at(min(int(place) + 1, total - 1))
-    return low + (high - low) * (place - int(place))
+    alive, before = F.lit(keys) - F.col("_keys") + F.col("keys"), F.col("_held") - F.col("held")
+    place = fraction * (rows - 1)
+    ranks = [int(place), min(int(place) + 1, rows - 1)]
+    at = F.struct("s", alive.alias("alive"), before.alias("before"))
+    found = stored.agg(*(F.min(F.when(before + alive * F.col("s") > rank, at)) for rank in ranks)).first()
+    low, high = ((rank - f["before"]) // f["alive"] for rank, f in zip(ranks, found))
+    return low + (high - low) * (place - ranks[0])
 
 
 def category_conversion(events: DataFrame, changes: DataFrame, tree: DataFrame, digits: int = 2) -> DataFrame:
