@@ -114,10 +114,11 @@ def _common_shift(rows: DataFrame, users: DataFrame, items: DataFrame, intercept
     These move the score of every row alike, so per-key steps alone trade them
     off very slowly. Solving the 3 x 3 system first removes that.
     """
-    g, h = rows.agg(F.sum("g"), F.sum("h")).first()
-    sums = [table.agg(F.count("*"), F.sum(weight)).first() for table, weight in ((users, "w_user"), (items, "w_item"))]
-    gradient = np.array([intercept, sums[0][1], sums[1][1]]) + c * g
-    curvature = np.diag([1.0, sums[0][0], sums[1][0]]) + c * h
+    held = {f"{f.__name__}_{w}": table.agg(f(w)).scalar() for table, w in ((users, "w_user"), (items, "w_item")) for f in (F.count, F.sum)}
+    sums = rows.agg(F.sum("g").alias("g"), F.sum("h").alias("h")).withColumns(held).first()
+    g, h = sums["g"], sums["h"]
+    gradient = np.array([intercept, sums["sum_w_user"], sums["sum_w_item"]]) + c * g
+    curvature = np.diag([1.0, sums["count_w_user"], sums["count_w_item"]]) + c * h
     step = np.linalg.solve(curvature, gradient)
     return np.clip(step, -STEP_LIMIT, STEP_LIMIT)
 
