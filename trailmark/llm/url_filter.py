@@ -100,9 +100,11 @@ def judge_urls(
 
     named = rules.select(*(F.col(c) for c in ("rule", "action", "pattern", "literals", "listed", "length")))
     wanted = named.select("rule", "pattern", "action", "listed", "length", F.explode(F.when(F.size("literals") > 0, F.col("literals")).otherwise(F.array(F.lit("")))).alias("token"))
-    counts = probes.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("_urls"))
+    wanted = materialise(wanted, "rules")  # their size is known then, and decides how they are joined
+    counts = probes.join(wanted.select("token"), "token", "left_semi").groupBy("token").agg(F.count("*").alias("_urls"))
     rarest = F.min(F.struct(F.coalesce("_urls", F.lit(0)).alias("n"), "token"))["token"]
     index = wanted.join(counts, "token", "left").groupBy("rule", "pattern", "action", "listed", "length").agg(rarest.alias("token"))
+    index = materialise(index, "index")
 
     # a token carries its row number and nothing else; the url comes back for the rules that were fetched
     fetched = probes.join(index, "token").drop("token").join(urls.select("_row", F.concat("host", "path").alias("_text")), "_row")
