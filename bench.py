@@ -37,6 +37,9 @@ HEADLINE = (
     "cooccurrence_orders",
     "reco_logreg",
     "flagship_evaluation",
+    "negatives_per_positive",
+    "reco_ease_conjugate",
+    "reco_pairwise",
 )
 
 

@@ -124,7 +124,7 @@ def fit_ease(
     shift = items.select(F.col("idx").alias("i"), F.col("idx").alias("j"), F.lit(float(regularisation)).alias("w"))
     rows, width = (max(1, min(size, n)) for size in (conjugate.ROWS, min(block, conjugate.PANEL)))
     matrix = conjugate.compress(gram.unionByName(shift), n, rows)
-    fitting = columns_at_once or STORED_BYTES // (24 * n)
+    fitting = columns_at_once or STORED_BYTES // (24 * max(1, n))
     return EaseModel(items, history, counts, n, rows, width, matrix=matrix, columns_at_once=fitting)
 
 
