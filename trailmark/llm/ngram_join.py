@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trailmark.llm.components import components
-from trailmark.storage import materialise
+from trailmark.storage import discard, materialise
 
 #: near tokens, as a multiple of the share of a set that its first tokens make up
 NEAR = 1.25
@@ -33,10 +33,10 @@ FREQUENT, CHUNK_TOKENS, CHUNK_COPIES = 65_536, 500_000, 8
 STAR_ROUNDS = 2
 #: a bucket of more sets is crowded; tokens that only one set of the crowded buckets has are counted
 CROWD = 24
-#: parts that tokens fall into when what two sets of a crowded bucket can share is bounded
-CELLS = 32
+#: parts that tokens fall into when what two sets of a crowded bucket can share is bounded, and the most that a part can tell
+CELLS, CELL_MOST = 64, 127
 #: sets and shingles, about, in a block of a component whose pairs are counted
-BLOCK_SETS, BLOCK_SHINGLES = 256, 500_000
+BLOCK_SETS, BLOCK_SHINGLES = 1_000, 500_000
 #: rows of ids that may be broadcast to thin a scan; more are joined by a shuffle
 BROADCAST_ROWS = 1_000_000
 OTHER_ORDERS = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -133,22 +133,25 @@ def _first_rows(n, percent, frequent):
             beyond = tokens[near:][~often[near:]]
             first = np.concatenate([first, beyond[: need - len(first)]])
             first = np.concatenate([first, tokens[often][: need - len(first)]])
-        return first.view(np.int64)
+            near = int((~often[:near]).sum())
+        return first.view(np.int64), min(near, len(first))
 
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            sizes, ones, twos, firsts = [], [], [], []
+            sizes, ones, twos, firsts, nears = [], [], [], [], []
             for text in _texts(batch, 3):
                 tokens = shingles(text, n, hashes)
                 sizes.append(len(tokens))
                 ones.append(int(tokens.sum(dtype=np.uint64).view(np.int64)))
                 twos.append(int(mixed(tokens + _M1).sum(dtype=np.uint64).view(np.int64)))
-                firsts.append(chosen(tokens))
+                first, near = chosen(tokens)
+                firsts.append(first)
+                nears.append(near)
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32)
             values = pa.array(np.concatenate([np.empty(0, np.int64), *firsts]))
-            arrays = [batch.column(0), batch.column(1), batch.column(2), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)]
-            yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "text_hash", "size", "one", "two", "first"])
+            arrays = [batch.column(0), batch.column(1), batch.column(2), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(nears, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), values)]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "text_hash", "size", "one", "two", "near", "first"])
 
     return run
 
@@ -211,24 +214,30 @@ def _groups(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, c
     frequent = [r["token"] for r in frequent.collect()]
     rows = slim.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("_text").alias("text_hash"), "_text")
     rows = materialise(
-        rows.mapInArrow(_first_rows(n, percent, frequent), f"row long, doc_id {kind}, text_hash long, size long, one long, two long, first array<long>"), "firsts"
+        rows.mapInArrow(_first_rows(n, percent, frequent), f"row long, doc_id {kind}, text_hash long, size long, one long, two long, near int, first array<long>"), "firsts"
     )
     some = rows.filter("size > 0")
     sets = materialise(some.groupBy(*_KEY).agg(F.min("row").alias("set"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "sets")
     again = some.select("row", *_KEY).join(sets.filter("copies > 1"), _KEY).filter("row <> set").select(F.col("row").alias("_again"))
     again = materialise(again, "again")
-    once = _thinned(some.select(F.col("row").alias("set"), "size", "first"), again, F.col("set") == F.col("_again"), "left_anti")
+    once = _thinned(some.select(F.col("row").alias("set"), "size", "near", "first"), again, F.col("set") == F.col("_again"), "left_anti")
 
-    tokens = once.select("set", "size", F.size("first").alias("held"), F.explode("first").alias("token"))
+    tokens = once.select("set", "size", "near", F.size("first").alias("held"), F.posexplode("first").alias("index", "token"))
     # a token of one set, or of two whose sizes do not allow a link, is in no link; in the order such tokens come first
     counts = tokens.groupBy("token").agg(F.count("*").alias("sets"), F.min("size").alias("low"), F.max("size").alias("high"))
     counts = counts.filter((F.col("sets") > 2) | ((F.col("sets") == 2) & (F.col("low") * 100 >= F.col("high") * percent)))
     shared = materialise(tokens.join(counts.select("token", "sets"), "token"), "shared")
+    discard(again)
     need = F.col("size") - F.floor((F.col("size") * percent + 99) / 100) + 1
     unshared = F.col("held") - F.count("*").over(Window.partitionBy("set"))
-    place = F.row_number().over(Window.partitionBy("set").orderBy("sets", "token"))
-    placed = shared.select("set", "size", "token", place.alias("place"), unshared.alias("alone"))
-    probes = materialise(placed.filter(F.col("place") <= need - F.col("alone")).select("token", "set", "size"), "probes")
+    is_near = F.col("index") < F.col("near")
+    place = F.row_number().over(Window.partitionBy("set").orderBy(~is_near, "sets", "token"))
+    # the place in the whole set: unshared near tokens come first, and what follows the near ones is listed in order
+    shared_near = F.count(F.when(is_near, 1)).over(Window.partitionBy("set"))
+    at = F.when(is_near, F.col("near") - shared_near + place).otherwise(F.col("index") + 1)
+    placed = shared.select("set", "size", "token", place.alias("place"), unshared.alias("alone"), at.cast("int").alias("at"))
+    probes = materialise(placed.filter(F.col("place") <= need - F.col("alone")).select("token", "set", "size", "at"), "probes")
+    discard(shared)
 
     wanted = probes.select("set").distinct().join(rows.select(F.col("row").alias("set"), F.col("doc_id").alias("_wanted"), *_KEY), "set")
     wanted = materialise(wanted, "wanted")
@@ -236,18 +245,21 @@ def _groups(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, c
     bodies = texts.select("_text").mapInArrow(_set_rows(n, percent), f"size long, one long, two long, body array<long>, {', '.join(f'{c} array<long>' for c in _ORDER_COLUMNS)}")
     bodies = bodies.dropDuplicates(_KEY).join(wanted.select("set", *_KEY), _KEY)
     bodies = materialise(bodies.select("set", "size", "body", *_ORDER_COLUMNS), "bodies")
+    discard(wanted)
 
-    probes = materialise(_with_cells(probes, bodies), "capped")
+    probes = _with_cells(probes, bodies)
     links = None
     roots = None
     for turn in range(STAR_ROUNDS + 1):
         members = probes if roots is None else _with_root(probes, roots)
         members = members.withColumn("root", F.col("set")) if roots is None else members
         pairs = _star_pairs(members, percent, turn) if turn < STAR_ROUNDS else _cross_pairs(members, percent)
-        found = _verified(materialise(pairs, "pairs"), bodies, percent)
-        found = materialise(found, "found")
+        pairs = materialise(pairs, "pairs")
+        found = _verified(pairs, bodies, percent)
+        discard(pairs)
         links = found if links is None else links.unionByName(found)
-        roots = materialise(components(links), "roots")
+        roots = materialise(components(links), "roots", replaces=roots)
+    discard(probes)
     return _labelled(rows, sets, _link_counts(bodies, roots, percent) if counted else None, roots)
 
 
@@ -257,6 +269,7 @@ def _with_cells(probes: DataFrame, bodies: DataFrame) -> DataFrame:
     Only sets of crowded buckets get them, for each other. Tokens that no second one has are not counted. In a
     family of near copies they are the edits. Two sets share at most the
     smaller count of every part, so copies with too many edits, or edits in too many places, do not meet.
+    A set with more than CELL_MOST tokens in a part has no ``cells`` and is bounded by ``most`` alone.
     """
     crowded = probes.groupBy("token").agg(F.count("*").alias("sets")).filter(F.col("sets") > CROWD).select("token")
     close = materialise(probes.join(crowded, "token", "left_semi").select("set").distinct(), "crowd")
@@ -264,9 +277,14 @@ def _with_cells(probes: DataFrame, bodies: DataFrame) -> DataFrame:
     lone = tokens.groupBy("token").agg(F.count("*").alias("sets"), F.min("set").alias("set")).filter("sets = 1")
     signed = tokens.select("set", "token", F.lit(1).alias("sign")).unionByName(lone.select("set", "token", F.lit(-1).alias("sign")))
     part = F.col("token").bitwiseAND(F.lit(CELLS - 1))
-    counts = [F.sum(F.when(part == c, F.col("sign")).otherwise(0)).cast("int").alias(f"c{c}") for c in range(CELLS)]
-    counted = signed.groupBy("set").agg(F.sum("sign").alias("most"), *counts).select("set", "most", F.array(*(f"c{c}" for c in range(CELLS))).alias("cells"))
-    return probes.join(materialise(counted, "cells"), "set", "left").select("token", "set", "size", "most", "cells")
+    counts = [F.sum(F.when(part == c, F.col("sign")).otherwise(0)).alias(f"c{c}") for c in range(CELLS)]
+    parts = F.array(*(f"c{c}" for c in range(CELLS)))
+    cells = F.when(F.array_max(parts) <= CELL_MOST, F.transform(parts, lambda c: c.cast("tinyint")))
+    counted = materialise(signed.groupBy("set").agg(F.sum("sign").alias("most"), *counts).select("set", "most", cells.alias("cells")), "cells")
+    capped = materialise(probes.join(counted, "set", "left").select("token", "set", "size", "at", "most", "cells"), "capped")
+    for table in (probes, close, counted):
+        discard(table)
+    return capped
 
 
 def _with_root(frame: DataFrame, roots: DataFrame, node: str = "set") -> DataFrame:
@@ -277,12 +295,13 @@ def _with_root(frame: DataFrame, roots: DataFrame, node: str = "set") -> DataFra
 def _close(one: str, other: str, percent: int) -> Column:
     """The sizes allow the similarity, and so does what both sets can share where that is known; the dear test comes last."""
     size, size_2, most, most_2, cells, cells_2 = (F.col(f"{side}{c}") for c in ("size", "most", "cells") for side in (one, other))
-    shared = F.aggregate(F.zip_with(cells, cells_2, lambda a, b: F.least(a, b)), F.lit(0), lambda total, n: total + n)
+    shared = F.aggregate(F.zip_with(cells, cells_2, lambda a, b: F.least(a, b)), F.lit(0), lambda total, n: total + n.cast("int"))
     enough = lambda count: count * (100 + percent) >= (size + size_2) * percent
     return (
         F.when(F.least(size, size_2) * 100 < F.greatest(size, size_2) * percent, False)
         .when(most.isNull() | most_2.isNull(), True)
         .when(~enough(F.least(most, most_2)), False)
+        .when(cells.isNull() | cells_2.isNull(), True)
         .otherwise(enough(shared))
     )
 
@@ -302,7 +321,9 @@ def _star_pairs(members: DataFrame, percent: int, turn: int) -> DataFrame:
 
 
 def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """All pairs of sets of different components in a bucket whose sizes allow a link.
+    """All pairs of sets of different components in a bucket whose sizes, and the token's places in both, allow a link.
+
+    Of two linked sets, the bucket of the first token they share passes: what comes before it in either is not shared.
 
     Of two components in a bucket one is not its largest, so the sets outside
     of the largest meet all the others; a bucket of one component makes no pair.
@@ -311,10 +332,11 @@ def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     largest = groups.groupBy("token").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count("*").alias("roots"))
     mixed_buckets = members.join(largest.filter("roots > 1"), "token")
     mixed_buckets = materialise(mixed_buckets, "buckets")
-    left = mixed_buckets.filter("root <> main").select("token", F.col("set").alias("a"), F.col("size").alias("a_size"), F.col("most").alias("a_most"), F.col("cells").alias("a_cells"), F.col("root").alias("a_root"))
-    right = mixed_buckets.select("token", F.col("set").alias("b"), F.col("size").alias("b_size"), F.col("most").alias("b_most"), F.col("cells").alias("b_cells"), F.col("root").alias("b_root"), "main")
+    left = mixed_buckets.filter("root <> main").select("token", F.col("set").alias("a"), F.col("size").alias("a_size"), F.col("at").alias("a_at"), F.col("most").alias("a_most"), F.col("cells").alias("a_cells"), F.col("root").alias("a_root"))
+    right = mixed_buckets.select("token", F.col("set").alias("b"), F.col("size").alias("b_size"), F.col("at").alias("b_at"), F.col("most").alias("b_most"), F.col("cells").alias("b_cells"), F.col("root").alias("b_root"), "main")
     either = (F.col("b_root") == F.col("main")) | (F.col("a") < F.col("b"))
-    met = left.join(right, "token").filter((F.col("a_root") != F.col("b_root")) & either & _close("a_", "b_", percent))
+    rest = lambda side: (F.col(f"{side}_size") - F.col(f"{side}_at") + 1) * (100 + percent) >= (F.col("a_size") + F.col("b_size")) * percent
+    met = left.join(right, "token").filter((F.col("a_root") != F.col("b_root")) & either & rest("a") & rest("b") & _close("a_", "b_", percent))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -326,11 +348,13 @@ def _verified(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(side("a", _ORDER_COLUMNS), "a").join(side("b", _ORDER_COLUMNS), "b")
     for order in _ORDER_COLUMNS:
         both = both.filter(F.arrays_overlap(f"a_{order}", f"b_{order}"))
-    pairs = materialise(both.select("a", "b"), "filtered")
-    both = pairs.join(side("a", ["body"]), "a").join(side("b", ["body"]), "b")
+    filtered = materialise(both.select("a", "b"), "filtered")
+    both = filtered.join(side("a", ["body"]), "a").join(side("b", ["body"]), "b")
     common = F.size(F.array_intersect("a_body", "b_body"))
     union = F.size("a_body") + F.size("b_body") - common
-    return both.filter(common * F.lit(100).cast("long") >= union * F.lit(percent).cast("long")).select("a", "b")
+    found = materialise(both.filter(common * F.lit(100).cast("long") >= union * F.lit(percent).cast("long")).select("a", "b"), "found")
+    discard(filtered)
+    return found
 
 
 def _link_counts(bodies: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
@@ -382,7 +406,7 @@ def _block_rows(percent):
 def similar_counts(bodies: list[np.ndarray], blocks: np.ndarray, across: bool, percent: int) -> np.ndarray:
     """For each set the number of similar ones, ``across`` in other blocks only."""
     sizes = np.array([len(b) for b in bodies], np.int64)
-    owners = np.repeat(np.arange(len(bodies)), sizes)
+    owners = np.repeat(np.arange(len(bodies), dtype=np.int32), sizes)
     tokens = np.concatenate(bodies)
     order = np.argsort(tokens, kind="stable")
     tokens, owners = tokens[order], owners[order]
@@ -393,16 +417,20 @@ def similar_counts(bodies: list[np.ndarray], blocks: np.ndarray, across: bool, p
         if b - a > 1:
             holders = owners[a:b].tobytes()
             runs[holders] = runs.get(holders, 0) + 1
-    common = np.zeros((len(bodies), len(bodies)), np.int64)
+    common = np.zeros((len(bodies), len(bodies)), np.int32)
     for holders, times in runs.items():
         held = np.frombuffer(holders, owners.dtype)
         common[held[:, None], held] += times
-    union = sizes[:, None] + sizes - common
-    similar = common * 100 >= union * percent
-    np.fill_diagonal(similar, False)
-    if across:
-        similar &= blocks[:, None] != blocks
-    return similar.sum(axis=1)
+    # row by row, so that no second matrix is held
+    counts = np.zeros(len(bodies), np.int64)
+    for at, row in enumerate(common):
+        shared = row.astype(np.int64)
+        similar = shared * 100 >= (sizes[at] + sizes - shared) * percent
+        similar[at] = False
+        if across:
+            similar &= blocks != blocks[at]
+        counts[at] = similar.sum()
+    return counts
 
 
 def _labelled(rows: DataFrame, sets: DataFrame, counts: DataFrame | None, roots: DataFrame) -> DataFrame:
