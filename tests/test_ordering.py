@@ -168,3 +168,11 @@ def test_hot_null_keys_are_cut(hot):
         total[r.k], nth[r.k] = total.get(r.k, 0) + r.v, nth.get(r.k, 0) + 1
         assert (r.before, r.total, r.nth) == (last.get(r.k), total[r.k], nth[r.k])
         last[r.k] = r.v
+
+
+def test_rank_search_fetches_a_row_for_every_range_it_is_in(spark):
+    frame = spark.range(100).select("id")
+    spans = [ordering._Range((9,), (50,), 10, 40), ordering._Range((19,), (60,), 20, 40)]
+    low, high = ordering._fetch(frame, ["id"], spans, [1.0, 1.0], 1)
+    assert sorted(low) == [(i,) for i in range(10, 50)]
+    assert sorted(high) == [(i,) for i in range(20, 60)]
