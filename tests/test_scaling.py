@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from trailmark import session
-from trailmark.operators import grammar, profiling
+from trailmark.operators import cooccurrence, grammar, profiling, sampling
 from trailmark.sources import driver_tables
 
 
@@ -69,3 +69,45 @@ def test_part_values_are_made_by_tasks_of_bounded_size(spark, tmp_path, monkeypa
     values = driver_tables.part_values(spark, str(tmp_path))
     sizes = [r["n"] for r in values.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert sum(sizes) == 800 and len(sizes) > 5 and max(sizes) <= 8 * 30
+
+
+def exchanges(frame):
+    return [line for line in frame._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_item_pairs_are_not_shuffled(spark):
+    data = [(f"u{u}", f"i{i:02}") for u in range(12) for i in range(20) if (u * i + i) % 3]
+    frame = spark.createDataFrame([*data, (None, "i01"), (None, "i02"), ("u1", None)], "u string, i string")
+    met = cooccurrence.cooccurrence(frame, "u", "i")
+    near = cooccurrence.cosine_neighbours(frame, "u", "i", None, 4)
+    for result in (met, near):
+        assert not any("_i" in line and "_j" in line for line in exchanges(result))
+    users = {i: {u for u, j in data if j == i} for _, i in data}
+    both = {(a, b): len(users[a] & users[b]) for a in users for b in users if a != b and users[a] & users[b]}
+    assert {(r["item_i"], r["item_j"]): r["dot"] for r in met.collect()} == {(a, b): float(n) for (a, b), n in both.items() if a < b}
+    got = {}
+    size = lambda i: sum(j == i for _, j in data) + (i in ("i01", "i02"))
+    for r in near.collect():
+        got.setdefault(r["item"], {})[r["rank"]] = (r["neighbour"], r["similarity"])
+    for a, ranked in got.items():
+        best = sorted((-int(n / (size(a) ** 0.5 * size(b) ** 0.5) * 1e12 + 0.5), b) for (x, b), n in both.items() if x == a)[:4]
+        assert [ranked[k + 1] for k in range(len(best))] == [(b, -s / 1e12) for s, b in best]
+
+
+def test_meetings_decide_the_number_of_tasks(spark, monkeypatch):
+    monkeypatch.setattr(cooccurrence, "TASK_MEETINGS", 50)
+    frame = spark.createDataFrame([(u, i) for u in range(5) for i in range(10)], "u int, i int")
+    assert any("_i" in line and ", 11)" in line for line in exchanges(cooccurrence.cooccurrence(frame, "u", "i")))
+
+
+def test_draws_are_not_shuffled(spark, monkeypatch):
+    data = [(u, i) for u in range(6) for i in range(9) if (u + i) % (u + 2)]
+    frame = spark.createDataFrame(data, "user_index long, item_index long")
+    lists = sampling.negatives_bounded(frame, 9)
+    few = {tuple(r) for r in lists.collect()}
+    monkeypatch.setattr(sampling, "LIST_ITEMS", 6)
+    mixed = sampling.negatives_bounded(frame, 9)
+    monkeypatch.setattr(sampling, "LIST_ITEMS", 0)
+    rows = {tuple(r) for r in sampling.negatives_bounded(frame, 9).collect()}
+    assert few == rows == {tuple(r) for r in mixed.collect()} and len(few) > len(data)
+    assert not {(u, n) for u, _, n, _ in few} & set(data)
