@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from trailmark import session
+from trailmark.models import ease
 from trailmark.operators import cooccurrence, grammar, profiling, sampling
 from trailmark.sources import driver_tables
+from trailmark.storage import materialise
 
 
 def plan_of(frame):
@@ -111,3 +113,15 @@ def test_draws_are_not_shuffled(spark, monkeypatch):
     rows = {tuple(r) for r in sampling.negatives_bounded(frame, 9).collect()}
     assert few == rows == {tuple(r) for r in mixed.collect()} and len(few) > len(data)
     assert not {(u, n) for u, _, n, _ in few} & set(data)
+
+
+def test_residual_products_are_dealt_by_user(spark, monkeypatch):
+    monkeypatch.setattr(ease, "TASK_MEETINGS", 4)
+    history = spark.createDataFrame([("u", "a"), ("u", "b"), ("v", "a"), ("w", "b")], "user_id string, item_id string")
+    # G + 1 is 3, 1 / 1, 3, its inverse 3, -1 / -1, 3 over 8; the last entry is 0.125 too large
+    columns = spark.createDataFrame([("a", "a", 0.375), ("a", "b", -0.125), ("b", "a", -0.125), ("b", "b", 0.5)], "i string, j string, value double")
+    history, columns = materialise(history, "history"), materialise(columns, "columns")
+    result = ease.gram_residuals(history, columns, 1.0)
+    assert any("user_id" in line and ", 3)" in line for line in exchanges(result))
+    got = {r["item_id"]: r["residual"] for r in result.collect()}
+    assert abs(got["a"]) < 1e-12 and abs(got["b"] - 0.375) < 1e-12
