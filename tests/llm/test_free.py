@@ -322,3 +322,30 @@ def test_steps_follow_the_gradient():
     before = loss()
     pseudo_likelihood.learn(pseudo_likelihood.unpacked(flat), around, target, 0.05)
     assert loss() < before
+
+
+def test_texts_in_slices_have_the_tokens_and_scores_of_single_texts(monkeypatch):
+    looked_up = []
+    monkeypatch.setattr(pseudo_likelihood.zlib, "crc32", lambda w, crc32=zlib.crc32: looked_up.append(w) or crc32(w))
+    texts = [None, b"", b" \t\n ", b"  A b\x0bB\xc3\x84 \xff c ", b"rare " * 900, b"\x1c a\x85b", None, b"c rare a"]
+    words, owners = pseudo_likelihood.split_words(pa.array(texts, pa.binary()))
+    assert [(o, w) for o, w in zip(owners.tolist(), words.to_pylist())] == [(i, w) for i, t in enumerate(texts) for w in pseudo_likelihood.words_of(t)]
+    ids = pseudo_likelihood.token_ids(words, pseudo_likelihood.TokenIds((b"a", b"b")))
+    assert looked_up.count(b"rare") == 1
+    assert ids.tolist() == [i for t in texts for i in pseudo_likelihood.ids_of(t, pseudo_likelihood.TokenIds((b"a", b"b")))]
+
+    rng = np.random.default_rng(2)
+    flat = rng.normal(0, 0.3, sum(int(np.prod(s)) for s in pseudo_likelihood.SHAPES)).astype(np.float32)
+    model, kind = pseudo_likelihood.WindowModel((b"a", b"b"), flat), pa.int64()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8), kind), pa.array(range(8), kind), pa.array(texts, pa.binary())], ["row", "doc_id", "_text"])
+    single = [model.log_probability(t, pseudo_likelihood.TokenIds(model.words), pseudo_likelihood.unpacked(flat)) for t in texts]
+    trained = list(pseudo_likelihood._trained(model.words, flat, 0)([batch.select(["_text"])]))[0].column("weights").to_pylist()
+    for size in (1, 20, 1 << 20):
+        monkeypatch.setattr(pseudo_likelihood, "SLICE", size)
+        told = pa.Table.from_batches(pseudo_likelihood._scored(model, kind)([batch]))
+        scores = [r for r in told.to_pylist() if r["word"] is None]
+        assert [r["n_tokens"] for r in scores] == [n for n, _ in single] and np.allclose([r["log_prob"] for r in scores], [p for _, p in single])
+        rare = sorted((r["word"], row) for r in told.to_pylist() if r["word"] is not None for row in r["rows"])
+        assert rare == sorted((w, i) for i, t in enumerate(texts) for w in pseudo_likelihood.words_of(t) if w not in model.words)
+        again = list(pseudo_likelihood._trained(model.words, flat, 0)([batch.select(["_text"])]))[0].column("weights").to_pylist()
+        assert again == trained

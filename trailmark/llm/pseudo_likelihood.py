@@ -15,12 +15,14 @@ score is the sum of the log-probabilities of its words.
 from __future__ import annotations
 
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate, chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -33,15 +35,20 @@ OFFSETS = (-2, -1, 1, 2)
 WIDTH = 16
 ROUNDS = 2  # round r trains on positions r, r + ROUNDS, ... of every text
 BATCH, RATE = 512, 0.5
-CHUNK = 1024
+CHUNK = 512
 FLUSH = 200_000  # distinct words a task counts before it passes the counts on
+SLICE = 4 << 20  # bytes of text split into words at a time, unless one text is longer
 PLACES = 500_000  # rare words of texts a task holds before it passes them on
 PART = 512  # weights per row while averaging
 TOKENS = WORDS + RARE
 EDGE = TOKENS  # stands for what lies beyond the ends of a text
+REACH = max(map(abs, OFFSETS))
+LIMIT = 60  # of a logit, either way
 
 #: shapes of the weights, in the order of the flat vector
 SHAPES = ((len(OFFSETS), TOKENS + 1, WIDTH), (WIDTH,), (WIDTH, TOKENS), (TOKENS,))
+#: the numbers of each row of the position embeddings in the flat table
+EMBEDDED = np.arange(len(OFFSETS) * (TOKENS + 1) * WIDTH).reshape(-1, WIDTH)
 
 
 class TokenIds(dict):
@@ -69,6 +76,41 @@ def ids_of(text: bytes | None, tokens: TokenIds) -> np.ndarray:
     return np.fromiter(map(tokens.__getitem__, words), np.int64, len(words))
 
 
+def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Neighbouring texts of about SLICE bytes together, and the number of the first."""
+    ends, start = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + SLICE, "right")))
+        yield start, texts.slice(start, stop - start)
+        start = stop
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts as :func:`words_of` has them, and the number of the text of each."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    words, owners = lists.flatten(), pc.list_parent_indices(lists)
+    some = pc.greater(pc.binary_length(words), 0)
+    return words.filter(some).view(pa.binary()), owners.filter(some).to_numpy()
+
+
+def token_ids(words: pa.Array, tokens: TokenIds) -> np.ndarray:
+    """Token of each word; every different word is looked up once."""
+    coded = words.dictionary_encode()
+    different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    known = np.fromiter(map(tokens.words.get, different, repeat(-1)), np.int64, len(different))
+    rare = WORDS + np.fromiter(map(zlib.crc32, different), np.int64, len(different)) % RARE
+    return np.where(known < 0, rare, known)[coded.indices.to_numpy()]
+
+
+def side_by_side(ids: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts in a row with EDGE before, between and after them, and where each token stands in it."""
+    at = np.arange(len(ids)) + REACH * (owners + 1)
+    row = np.full((at[-1] if len(at) else 0) + 1 + REACH, EDGE)
+    row[at] = ids
+    return row, at
+
+
 def unpacked(flat: np.ndarray) -> list[np.ndarray]:
     parts, at = [], 0
     for shape in SHAPES:
@@ -93,17 +135,26 @@ def first_weights(counts: list[int], total: int, seed: int = 3) -> np.ndarray:
 
 def contexts(ids: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Token at each offset from each place, EDGE outside of the text."""
-    reach = max(map(abs, OFFSETS))
-    padded = np.concatenate([np.full(reach, EDGE), ids, np.full(reach, EDGE)])
-    return np.stack([padded[places + reach + o] for o in OFFSETS])
+    padded = np.concatenate([np.full(REACH, EDGE), ids, np.full(REACH, EDGE)])
+    return np.stack([padded[places + REACH + o] for o in OFFSETS])
+
+
+def _cells(around: np.ndarray) -> np.ndarray:
+    """Row of the position embeddings, all offsets in one table, of each token of the contexts."""
+    return around + np.arange(len(OFFSETS))[:, None] * (TOKENS + 1)
 
 
-def _logits(parts: list[np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _logits(parts: list[np.ndarray], around: np.ndarray, into: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hidden state and logits of all tokens, those written to the first rows of ``into``."""
     table, shift, output, bias = parts
-    hidden = np.tanh(sum(table[k][around[k]] for k in range(len(OFFSETS))) + shift)
-    logits = hidden @ output
+    hidden = table.reshape(-1, WIDTH).take(_cells(around), axis=0).sum(axis=0)
+    hidden += shift
+    np.tanh(hidden, out=hidden)
+    logits = np.matmul(hidden, output, out=None if into is None else into[: len(hidden)])
     logits += bias
-    return hidden, np.clip(logits, -60, 60, out=logits)
+    if np.abs(output).sum(axis=0).max() + np.abs(bias).max() > LIMIT:  # the hidden state is between -1 and 1
+        np.clip(logits, -LIMIT, LIMIT, out=logits)
+    return hidden, logits
 
 
 def forward(parts: list[np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,28 +163,27 @@ def forward(parts: list[np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np
     return hidden, logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
 
-def target_log_p(parts: list[np.ndarray], around: np.ndarray, target: np.ndarray) -> np.ndarray:
+def target_log_p(parts: list[np.ndarray], around: np.ndarray, target: np.ndarray, into: np.ndarray | None = None) -> np.ndarray:
     """Log-probability of each target."""
-    _, logits = _logits(parts, around)
+    _, logits = _logits(parts, around, into)
     picked = logits[np.arange(len(target)), target]
-    return picked - np.log(np.exp(logits, out=logits).sum(axis=1))
+    return picked - np.log(np.exp(logits, out=logits) @ np.ones(TOKENS, logits.dtype))
 
 
-def learn(parts: list[np.ndarray], around: np.ndarray, target: np.ndarray, rate: float) -> None:
+def learn(parts: list[np.ndarray], around: np.ndarray, target: np.ndarray, rate: float, into: np.ndarray | None = None) -> None:
     """One step of gradient descent on the mean negative log-probability."""
     table, shift, output, bias = parts
-    hidden, error = _logits(parts, around)
+    hidden, error = _logits(parts, around, into)
     np.exp(error, out=error)
-    error /= error.sum(axis=1, keepdims=True)
-    error[np.arange(len(target)), target] -= 1
-    error /= len(target)
+    error *= (1 / (len(target) * (error @ np.ones(TOKENS, error.dtype))))[:, None]
+    error[np.arange(len(target)), target] -= 1 / len(target)
     back = (error @ output.T) * (1 - hidden * hidden)
-    output -= rate * (hidden.T @ error)
-    bias -= rate * error.sum(axis=0)
+    output -= rate * (error.T @ hidden).T
+    bias -= rate * (np.ones(len(target), error.dtype) @ error)
     shift -= rate * back.sum(axis=0)
-    cells = (np.arange(len(OFFSETS))[:, None] * (TOKENS + 1) + around)[:, :, None] * WIDTH + np.arange(WIDTH)
+    numbers = EMBEDDED.take(_cells(around), axis=0)
     step = (-rate * len(OFFSETS) * back).astype(table.dtype)
-    np.add.at(table.reshape(-1), cells.ravel(), np.broadcast_to(step, cells.shape).ravel())
+    np.add.at(table.reshape(-1), numbers.ravel(), np.broadcast_to(step, numbers.shape).ravel())
 
 
 def _counted(batches):
@@ -177,15 +227,23 @@ def _trained(words, flat, turn):
         tokens, parts = TokenIds(words), unpacked(flat.copy())
         arounds, targets, waiting, seen = [], [], 0, 0
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                ids = ids_of(text, tokens)
-                places = np.arange(turn, len(ids), ROUNDS)
-                arounds.append(contexts(ids, places))
-                targets.append(ids[places])
-                waiting += len(places)
-                if waiting >= BATCH * 16:
-                    seen += _steps(parts, arounds, targets, turn)
-                    arounds, targets, waiting = [], [], 0
+            for _, texts in slices(batch.column(0).cast(pa.binary())):
+                words_here, owners = split_words(texts)
+                ids = token_ids(words_here, tokens)
+                row, at = side_by_side(ids, owners)
+                first = np.searchsorted(owners, np.arange(len(texts)))
+                chosen = np.flatnonzero((np.arange(len(ids)) - first[owners]) % ROUNDS == turn)
+                ends, start = np.cumsum(np.bincount(owners[chosen], minlength=len(texts))), 0
+                while start < len(chosen):
+                    # whole texts up to the one that fills what is waiting
+                    full = int(np.searchsorted(ends, start + BATCH * 16 - waiting))
+                    some = chosen[start : ends[min(full, len(ends) - 1)]]
+                    arounds.append(np.stack([row[at[some] + o] for o in OFFSETS]))
+                    targets.append(ids[some])
+                    waiting, start = waiting + len(some), start + len(some)
+                    if waiting >= BATCH * 16:
+                        seen += _steps(parts, arounds, targets, turn)
+                        arounds, targets, waiting = [], [], 0
         if waiting:
             seen += _steps(parts, arounds, targets, turn)
         if seen:
@@ -200,8 +258,9 @@ def _trained(words, flat, turn):
 
 def _steps(parts, arounds, targets, turn) -> int:
     around, target = np.concatenate(arounds, axis=1), np.concatenate(targets)
+    into = np.empty((BATCH, TOKENS), parts[2].dtype)
     for at in range(0, len(target), BATCH):
-        learn(parts, around[:, at : at + BATCH], target[at : at + BATCH], RATE / (1 + turn))
+        learn(parts, around[:, at : at + BATCH], target[at : at + BATCH], RATE / (1 + turn), into)
     return len(target)
 
 
@@ -212,11 +271,18 @@ class WindowModel:
 
     def log_probability(self, text: bytes | None, tokens: TokenIds, parts: list[np.ndarray]) -> tuple[int, float]:
         """Number of tokens and the sum of their conditional log-probabilities over the whole text; for a rare word that of its bucket."""
-        ids, total = ids_of(text, tokens), 0.0
+        ids = ids_of(text, tokens)
+        told = self.log_probabilities(ids, np.zeros(len(ids), np.int64), parts)
+        return len(ids), float(told.sum())
+
+    def log_probabilities(self, ids: np.ndarray, owners: np.ndarray, parts: list[np.ndarray]) -> np.ndarray:
+        """Conditional log-probability of each token of texts in a row; ``owners`` has the number of each token's text."""
+        row, at = side_by_side(ids, owners)
+        told, into = np.empty(len(ids)), np.empty((min(CHUNK, len(ids)), TOKENS), parts[2].dtype)
         for start in range(0, len(ids), CHUNK):
-            places = np.arange(start, min(start + CHUNK, len(ids)))
-            total += float(target_log_p(parts, contexts(ids, places), ids[places]).sum(dtype=np.float64))
-        return len(ids), total
+            some = at[start : start + CHUNK]
+            told[start : start + CHUNK] = target_log_p(parts, np.stack([row[some + o] for o in OFFSETS]), ids[start : start + CHUNK], into)
+        return told
 
 
 def train(docs: DataFrame, counts: DataFrame, text_col: str = "text") -> WindowModel:
@@ -241,29 +307,31 @@ def _scored(model: WindowModel, kind: pa.DataType):
     names = ["row", "doc_id", "n_tokens", "log_prob", "word", "rows"]
 
     def places(rare):
-        offsets = pa.array(accumulate(map(len, rare.values()), initial=0), pa.int32())
-        rows = pa.ListArray.from_arrays(offsets, pa.array(chain.from_iterable(rare.values()), pa.int64()))
-        empty = [pa.nulls(len(rare), t) for t in (pa.int64(), kind, pa.int64(), pa.float64())]
-        return pa.RecordBatch.from_arrays([*empty, pa.array(list(rare), pa.binary()), rows], names)
+        held = pa.table({n: pa.chunked_array(c) for n, c in zip(("word", "rows"), zip(*rare))})
+        found = held.group_by("word", use_threads=False).aggregate([("rows", "list")]).combine_chunks()
+        empty = [pa.nulls(len(found), t) for t in (pa.int64(), kind, pa.int64(), pa.float64())]
+        return pa.RecordBatch.from_arrays([*empty, *(found[n].chunk(0) for n in ("word", "rows_list"))], names)
 
     def run(batches):
         tokens, parts = TokenIds(model.words), unpacked(model.flat)
-        rare, held = defaultdict(list), 0
+        rare, held = [], 0
         for batch in batches:
-            told = []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
-                words = words_of(text)
-                told.append(model.log_probability(text, tokens, parts))
-                for word in words:
-                    if word not in tokens.words:
-                        rare[word].append(row)
-                        held += 1
-                        if held >= PLACES:
-                            yield places(rare)
-                            rare, held = defaultdict(list), 0
-            size = len(told)
-            numbers = [pa.array([n for n, _ in told], pa.int64()), pa.array([p for _, p in told], pa.float64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, pa.nulls(size, pa.binary()), pa.nulls(size, pa.list_(pa.int64()))], names)
+            counts, sums = np.zeros(len(batch), np.int64), np.zeros(len(batch))
+            for first, texts in slices(batch.column(2).cast(pa.binary())):
+                words, owners = split_words(texts)
+                ids = token_ids(words, tokens)
+                counts[first : first + len(texts)] = np.bincount(owners, minlength=len(texts))
+                sums[first : first + len(texts)] = np.bincount(owners, model.log_probabilities(ids, owners, parts), len(texts))
+                outside = np.flatnonzero(ids >= WORDS)
+                for start in range(0, len(outside), PLACES):
+                    some = outside[start : start + PLACES]
+                    rare.append((words.take(pa.array(some)), batch.column(0).take(pa.array(first + owners[some]))))
+                    held += len(some)
+                    if held >= PLACES:
+                        yield places(rare)
+                        rare, held = [], 0
+            size = len(counts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts), pa.array(sums), pa.nulls(size, pa.binary()), pa.nulls(size, pa.list_(pa.int64()))], names)
         if rare:
             yield places(rare)
 
