@@ -332,3 +332,32 @@ def test_neural_model_tells_groups_apart(spark, blocks):
     if blocks > 1:
         again = neural.fit_neural(frame.repartition(5), rank=4, layers=(8, 4), epochs=8, blocks=blocks)
         assert (again.network == model.network).all()
+
+
+def test_recommenders_score_the_catalogue_and_no_padding(spark, train):
+    """The last block ends with the last item: the scorer of a catalogue of 7 gets 7 item vectors, of blocks of 4 it gets 4 and 3."""
+    model = latent.fit_latent(train.selectExpr("*", "1e0 AS weight"), rank=4, iterations=1)
+    told = lambda own, items: np.full((len(own), len(items)), float(len(items)))
+    for block, sizes in ((512, {7.0}), (4, {4.0, 3.0})):
+        rows = latent._recommend(model, users(spark, "v1", "v2"), 7, told, block, 100).collect()
+        assert {r.score for r in rows} == sizes and all(len({r.item_id for r in rows if r.user_id == u}) == len(unseen(u)) for u in ("v1", "v2"))
+
+
+def test_networks_score_pairs_together_as_one_by_one(monkeypatch):
+    rng, layers = np.random.default_rng(4), (6, 5)
+    own, items = rng.normal(0, 1, (9, 6)), rng.normal(0, 1, (7, 6))
+    sizes = [18, *layers, 2]
+
+    class Network:
+        weights = type("Weights", (), {"toArray": staticmethod(lambda: np.random.default_rng(5).normal(0, 1, sum((a + 1) * b for a, b in zip(sizes, sizes[1:]))))})
+
+    scorers = lambda: (latent.network_scorer(Network, sizes), neural.pair_scores(neural.first_network(3, layers, 1), 3, layers))
+    for number, score in enumerate(scorers()):
+        whole = score(own, items)
+        single = np.vstack([np.hstack([score(own[[u]], items[[i]]) for i in range(7)]) for u in range(9)])
+        assert whole.shape == (9, 7) and np.allclose(whole, single, atol=2e-9)
+        for most in (1, 20):
+            monkeypatch.setattr(latent, "PAIRS_AT_ONCE", most)
+            monkeypatch.setattr(neural, "PAIRS_AT_ONCE", most)
+            assert np.allclose(scorers()[number](own, items), whole, atol=2e-9)
+        assert score(own[:0], items).shape == (0, 7)
