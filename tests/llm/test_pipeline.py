@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -94,3 +95,11 @@ def test_stages_on_empty_tables(spark, folder):
     docs = spark.read.parquet(f"{path}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, path).count() == 0, name
+
+
+def test_tasks_get_texts_in_batches_of_bounded_size(spark):
+    from trailmark.session import configure
+
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["rows"]) for b in batches)
+    rows = configure(spark).range(2500).coalesce(1).mapInArrow(sizes, "rows long").collect()
+    assert sum(r.rows for r in rows) == 2500 and max(r.rows for r in rows) <= 1000
