@@ -1,6 +1,7 @@
 """Recommenders against the fixtures and against dense numpy solutions."""
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -361,3 +362,11 @@ def test_networks_score_pairs_together_as_one_by_one(monkeypatch):
             monkeypatch.setattr(neural, "PAIRS_AT_ONCE", most)
             assert np.allclose(scorers()[number](own, items), whole, atol=2e-9)
         assert score(own[:0], items).shape == (0, 7)
+
+
+def test_moved_blocks_of_a_cell_are_passed_on_before_the_next_is_moved():
+    moved = []
+    move = lambda r: moved.append(r.ub) or [("user", r.ub, b"", b""), ("item", r.ib, b"", b"")]
+    passed = pairwise.by_cell(iter([pd.DataFrame({"ub": [0, 1, 2], "ib": [1, 2, 0]})]), move)
+    assert list(next(passed)["block"]) == [0, 1] and moved == [0]
+    assert sum(len(rows) for rows in passed) == 4 and moved == [0, 1, 2]
