@@ -3,6 +3,7 @@
 import random
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -261,6 +262,40 @@ def test_language_hashes_slices_as_a_whole(monkeypatch):
 # ------------------------------------------------------------------ language model
 
 
+def test_words_are_counted_as_split_whatever_is_held(monkeypatch):
+    texts = [b"a B b", None, b"", b"c\x0bc a", " é É a ".encode(), b"A"] * 3
+    expected = Counter(w for t in texts for w in pseudo_likelihood.words_of(t))
+    # words are not made one by one in Python
+    monkeypatch.setattr(pseudo_likelihood, "words_of", None)
+    for flush, size in ((1, 1), (5, 4), (400_000, 4 << 20)):
+        monkeypatch.setattr(pseudo_likelihood, "FLUSH", flush)
+        monkeypatch.setattr(pseudo_likelihood, "SLICE", size)
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["_text"])
+        told = Counter()
+        for counted in pseudo_likelihood._counted([batch, batch.slice(0, 0)]):
+            for word, count in zip(*(c.to_pylist() for c in counted.columns)):
+                told[word] += count
+        assert told == expected
+    assert not list(pseudo_likelihood._counted([]))
+
+
+def test_a_task_passes_a_rare_word_on_once_for_many_places():
+    model = pseudo_likelihood.WindowModel((b"a",), pseudo_likelihood.first_weights([1], 2))
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([7, 8]), pa.array([b"x y " * 400_000, b"y x a"])], ["row", "doc_id", "_text"])
+    told = pa.Table.from_batches(pseudo_likelihood._scored(model, pa.int64())([batch])).to_pylist()
+    assert sorted((r["word"], len(r["rows"]), sum(r["rows"])) for r in told if r["word"]) == [(b"x", 400_001, 1), (b"y", 400_001, 1)]
+
+
+def test_a_step_of_any_size_is_the_mean_gradient():
+    rng = np.random.default_rng(4)
+    flat = rng.normal(0, 0.3, sum(int(np.prod(s)) for s in pseudo_likelihood.SHAPES))
+    around, target = rng.integers(0, pseudo_likelihood.TOKENS, (4, 8)), rng.integers(0, pseudo_likelihood.TOKENS, 8)
+    eight, twentyfour = flat.copy(), flat.copy()
+    pseudo_likelihood.learn(pseudo_likelihood.unpacked(eight), around, target, 0.05)
+    pseudo_likelihood.learn(pseudo_likelihood.unpacked(twentyfour), np.tile(around, 3), np.tile(target, 3), 0.05)
+    assert np.abs(eight - flat).max() > 1e-4 and np.allclose(eight, twentyfour, rtol=0, atol=1e-12)
+
+
 def test_pseudo_likelihood(spark):
     rng = random.Random(6)
     fixed = [" ".join("the cat sat on a mat by the door".split() * 20) for _ in range(150)]

@@ -15,7 +15,6 @@ score is the sum of the log-probabilities of its words.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -36,9 +35,9 @@ WIDTH = 16
 ROUNDS = 2  # round r trains on positions r, r + ROUNDS, ... of every text
 BATCH, RATE = 512, 0.5
 CHUNK = 512
-FLUSH = 200_000  # distinct words a task counts before it passes the counts on
+FLUSH = 400_000  # counts of words a task holds before it adds them up, and passes them on if half as many are left
 SLICE = 4 << 20  # bytes of text split into words at a time, unless one text is longer
-PLACES = 500_000  # rare words of texts a task holds before it passes them on
+PLACES = 1_000_000  # rare words of texts a task holds before it passes them on
 PART = 512  # weights per row while averaging
 TOKENS = WORDS + RARE
 EDGE = TOKENS  # stands for what lies beyond the ends of a text
@@ -177,7 +176,11 @@ def learn(parts: list[np.ndarray], around: np.ndarray, target: np.ndarray, rate:
     np.exp(error, out=error)
     error /= error.sum(axis=1, keepdims=True)
     error[np.arange(len(target)), target] -= 1
-    error /= len(target)
+    size = len(target)
+    if size & (size - 1):
+        error /= size
+    else:  # a power of two divides without rounding, so the rate can take it
+        rate /= size
     back = (error @ output.T) * (1 - hidden * hidden)
     output -= rate * (hidden.T @ error)
     bias -= rate * error.sum(axis=0)
@@ -188,18 +191,25 @@ def learn(parts: list[np.ndarray], around: np.ndarray, target: np.ndarray, rate:
 
 
 def _counted(batches):
-    counts: Counter = Counter()
+    held, size = [], 0
 
-    def told():
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "count"])
+    def added():
+        parts = pa.Table.from_arrays([pa.chunked_array([h.field(f) for h in held]) for f in (0, 1)], ["word", "count"])
+        sums = parts.group_by("word", use_threads=False).aggregate([("count", "sum")]).combine_chunks()
+        return pa.StructArray.from_arrays([sums[n].chunk(0) for n in ("word", "count_sum")], ["word", "count"])
 
     for batch in batches:
-        for text in batch.column(0).cast(pa.binary()).to_pylist():
-            counts.update(words_of(text))
-            if len(counts) >= FLUSH:
-                yield told()
-                counts.clear()
-    yield told()
+        for _, texts in slices(batch.column(0).cast(pa.binary())):
+            held.append(split_words(texts)[0].value_counts())
+            size += len(held[-1])
+            if size >= FLUSH:
+                held = [added()]
+                size = len(held[0])
+                if 2 * size >= FLUSH:
+                    yield pa.RecordBatch.from_struct_array(held[0])
+                    held, size = [], 0
+    if size:
+        yield pa.RecordBatch.from_struct_array(added())
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
