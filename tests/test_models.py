@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from trailmark.models import conjugate, ease, latent, logistic, neighbours, neur
 from trailmark.models.blocked import fold_scores, from_bytes, multiply_rows
 from trailmark.operators import ranking_metrics
 from trailmark.operators.cooccurrence import cooccurrence
+from trailmark.storage import LARGE_ROWS, materialise
 
 CATALOGUE = [f"p{i}" for i in range(7)]
 _draws = np.random.default_rng(21)
@@ -139,6 +141,20 @@ def test_ease_matches_dense_inverse(spark, monkeypatch, regularisation, block, s
             assert lists[f"u{u:02}"] == [names[j] for j in order if np.isfinite(scores[u, j])][:4]
 
 
+def test_panels_are_made_and_stored_a_few_rows_at_a_time(spark, monkeypatch):
+    entries, made = spark.createDataFrame([(i, i, 300.0) for i in range(40)], "i long, j long, w double"), []
+    blocks = conjugate.compress(entries, 40, 2)
+    map_in_pandas = type(entries).mapInPandas
+    monkeypatch.setattr(type(entries), "mapInPandas", lambda self, run, schema: made.append(run) or map_in_pandas(self, run, schema))
+    panels = materialise(conjugate.unit_panels(blocks, 0, 2, 20).coalesce(1), "panels", large=True)
+    batch = pd.DataFrame({"panel": [0, 1, 1], "block": [0, 1, 2], "scale": [np.ones(2).tobytes()] * 3})
+    assert [len(frame) for frame in made[0](iter([batch]))] == [1, 1, 1]
+    files = [f.removeprefix("file:") for f in panels.inputFiles()]
+    stored = [pq.ParquetFile(f).metadata for f in files]
+    assert sum(m.num_rows for m in stored) == 40
+    assert max(m.row_group(g).num_rows for m in stored for g in range(m.num_row_groups)) <= LARGE_ROWS
+
+
 def test_conjugate_columns(spark, monkeypatch):
     monkeypatch.setattr(conjugate, "FAN", 2)
     rng = np.random.default_rng(8)
