@@ -1,5 +1,7 @@
 """Ranking metrics, model ranking, promotion gate and batch inference."""
 
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +117,25 @@ def test_comparison_tells_of_failing_models(spark):
         comparison.compare_models(train, held, {}, [1])
 
 
+def test_compared_models_run_side_by_side(spark):
+    train = spark.createDataFrame([("u1", "a", 1), ("u1", "b", 2), ("u2", "a", 3)], "user_id string, item_id string, timestamp long")
+    held, both = truth(spark, {"u1": ["a"], "u2": ["b"]}), threading.Barrier(2, timeout=60)
+
+    def waits(train, users, k):
+        both.wait()  # only passes while the other model is at it as well
+        return simple.popularity(train, users, k)
+
+    def broken(train, users, k):
+        raise RuntimeError("no")
+
+    alone = comparison.compare_models(train, held, {"x": simple.popularity, "y": simple.popularity}, [1, 2])
+    result = comparison.compare_models(train, held, {"x": waits, "y": waits}, [1, 2], at_once=2)
+    rows = lambda metrics: [r.asDict() for r in metrics.drop("seconds").collect()]
+    assert rows(result) == rows(alone)
+    with pytest.raises(RuntimeError, match="no"):
+        comparison.compare_models(train, held, {"broken": broken, "x": simple.popularity}, [1], at_once=2)
+
+
 def test_batch_inference(spark):
     train = spark.createDataFrame([("u1", "a"), ("u2", "a"), ("u3", "b"), ("u1", "c")], "user_id string, item_id string")
     asked = spark.createDataFrame([("u1", 1), ("new", None)], "user_id string, limit int")
