@@ -363,7 +363,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = f"row long, doc_id {id_type.simpleString()}, n_tokens long, log_prob double, word binary, rows array<long>"
     scored = materialise(rows.mapInArrow(_scored(model, to_arrow_type(id_type)), schema), "scored")
     rare = scored.filter("word IS NOT NULL").select("word", "rows")
-    shares = rare.join(within_buckets(counts, model.words), "word").select(F.explode("rows").alias("row"), "within")
+    # each word stands once on the right, so a table of a task's words spares sorting all places by word
+    shares = rare.join(within_buckets(counts, model.words).hint("shuffle_hash"), "word").select(F.explode("rows").alias("row"), "within")
     shares = shares.groupBy("row").agg(F.sum("within").alias("within"))
     told = scored.filter("word IS NULL").select("row", "doc_id", "n_tokens", "log_prob").join(shares, "row", "left")
     told = told.select("doc_id", "n_tokens", (F.col("log_prob") + F.coalesce("within", F.lit(0.0))).alias("log_prob"))
