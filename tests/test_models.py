@@ -108,6 +108,55 @@ def test_cooccurrence_blocks(spark, group):
     assert got == expected
 
 
+def test_conjugate_lists_need_no_stored_panels(spark, monkeypatch):
+    """Panels are solved and scored in tasks that hold the interactions: nothing of the size of the inverse is stored or exchanged."""
+    rng = np.random.default_rng(12)
+    matrix = (rng.random((50, 30)) < 0.2).astype(float)
+    pairs = [(f"u{u:02}", f"i{j:02}") for u, j in zip(*np.nonzero(matrix))] + [(None, "i03"), (None, "i07")]
+    frame = spark.createDataFrame(pairs, "user_id string, item_id string")
+    asked = users(spark, *(f"u{u:02}" for u in range(0, 50, 3)), "nobody")
+    ready = lambda solver: sorted((r["user_id"], r["rank"], r["item_id"], round(r["score"], 7)) for r in ease.ease(frame, asked, 7, 5.0, popularity_weight=0.1, solver=solver).collect())
+    expected = ready("dense")
+
+    def stored(*_, **__):
+        raise AssertionError("panels were stored")
+
+    monkeypatch.setattr(conjugate, "solve_panels", stored)
+    monkeypatch.setattr(ease, "TASK_BYTES", 8 * (4 * 30 + 2 * 52) * 4)  # panels of four columns
+    monkeypatch.setattr(ease, "PART_USERS", 16)
+    assert ready("conjugate") == expected
+    monkeypatch.setattr(ease, "TASK_ENTRIES", 10)
+    with pytest.raises(AssertionError):  # more than a task may hold: in stored blocks as before
+        ready("conjugate")
+
+
+def test_places_multiply_as_their_matrix(monkeypatch):
+    monkeypatch.setattr(conjugate, "SLOT_ROWS", 4)
+    rng = np.random.default_rng(13)
+    matrix = (rng.random((23, 17)) < rng.random((23, 1))).astype(float)
+    matrix[[0, 5]] = 0
+    starts, columns = np.concatenate([[0], np.cumsum(matrix.sum(1).astype(int))]), np.nonzero(matrix)[1].astype(np.int32)
+    dense = rng.random((17, 3))
+    across = conjugate.Places(starts, columns)
+    assert np.allclose(across.times(dense, np.empty((23, 3))), matrix @ dense)
+    down = conjugate.Places(*conjugate.transposed(starts, columns, 17))
+    assert np.allclose(down.times(dense[np.arange(23) % 17], np.empty((17, 3))), matrix.T @ dense[np.arange(23) % 17])
+    inverse = np.linalg.inv(matrix.T @ matrix + 2 * np.eye(17))
+    assert np.allclose(conjugate.solve_columns(across, down, matrix.sum(0) + 2, 2.0, range(3, 9)), inverse[:, 3:9], atol=1e-10)
+
+
+def test_best_lists_keep_the_smaller_of_equal_columns():
+    rng = np.random.default_rng(14)
+    scores = rng.integers(0, 6, (9, 40)).astype(float)
+    scores[rng.random(scores.shape) < 0.2] = -np.inf
+    scores[4, 3:] = -np.inf
+    lists = ease.BestLists(9, 5)
+    for first in range(0, 40, 7):
+        lists.add(scores[:, first : first + 7], first)
+    got = list(zip(*(c.tolist() for c in lists.ended())))
+    assert got == [(u, i, scores[u, i]) for u in range(9) for i in sorted(range(40), key=lambda i: (-scores[u, i], i))[:5] if np.isfinite(scores[u, i])]
+
+
 @pytest.mark.parametrize("regularisation,block,solver", [(250.0, 512, "dense"), (1.0, 5, "dense"), (250.0, 512, "conjugate"), (20.0, 5, "conjugate")])
 def test_ease_matches_dense_inverse(spark, monkeypatch, regularisation, block, solver):
     monkeypatch.setattr(conjugate, "ROWS", block - 1)
