@@ -1,9 +1,11 @@
 """What a task holds must not grow with the tables: partition counts and plans."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from trailmark import session
-from trailmark.models import ease
+from trailmark.models import ease, neighbours
 from trailmark.operators import cooccurrence, grammar, profiling, sampling
 from trailmark.sources import driver_tables
 from trailmark.storage import materialise
@@ -102,6 +104,40 @@ def test_meetings_decide_the_number_of_tasks(spark, monkeypatch):
     assert any("_i" in line and ", 11)" in line for line in exchanges(cooccurrence.cooccurrence(frame, "u", "i")))
 
 
+def test_item_lists_are_shuffled_strip_by_strip(spark, monkeypatch):
+    """What lies on disk of item lists at a time follows the rows, not the pairs; neighbours and votes are the same in one strip and in many."""
+    data = [(f"u{u}", f"i{i:02}") for u in range(15) for i in range(20) if (u * i + i) % 3]
+    frame = spark.createDataFrame([*data, (None, "i01"), ("u1", None)], "user_id string, item_id string")
+    asked = spark.createDataFrame([("u1",), ("u7",), ("u11",), ("nobody",)], "user_id string")
+    weighed = frame.withColumn("w", F.length("item_id") + F.ascii(F.substring("item_id", 3, 1)) / 7)
+    results = lambda: [
+        sorted(tuple(map(str, r)) for r in got.collect())
+        for got in (
+            neighbours.item_knn(frame, asked, 4, 6),
+            cooccurrence.cosine_neighbours(weighed, "user_id", "item_id", "w", 3),
+            cooccurrence.cosine_neighbours(frame, "user_id", "item_id", None, 3, group_items=4),
+        )
+    ]
+    whole, stored = results(), []
+    for module in (cooccurrence, neighbours):
+        monkeypatch.setattr(module, "materialise", lambda part, label, *a, _m=module.materialise, **b: stored.append(label) or _m(part, label, *a, **b))
+    monkeypatch.setattr(cooccurrence, "STRIP_MEETINGS", 1)
+    assert results() == whole and stored.count("elected") == 2 and stored.count("strip") >= 9
+    monkeypatch.undo()
+    assert cooccurrence.strip_count(10_000_000_000, 300_000_000) == 9 and cooccurrence.strip_count(100, 5) == 1
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before = shuffles()
+    materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before
+
+
 def test_draws_are_not_shuffled(spark, monkeypatch):
     data = [(u, i) for u in range(6) for i in range(9) if (u + i) % (u + 2)]
     frame = spark.createDataFrame(data, "user_index long, item_index long")
